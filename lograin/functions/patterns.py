@@ -1,7 +1,8 @@
 """Patterns of the template key, spelled for java.util.regex.
 
 The word edges are ASCII-only lookarounds because Java's own word boundary
-follows Unicode letters.
+follows Unicode letters. Matching these patterns is most of the work of a
+distillation, so what several alternatives begin with is tested once.
 """
 
 from __future__ import annotations
@@ -28,13 +29,22 @@ DATES = [
 IPV4 = r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}"
 ID_DIGITS = r"\d{1,9}"
 SPACE = r"\s\x{85}\p{Z}"
+# The same class as characters: Unicode White_Space.
+SPACES = "\t\n\v\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 _LEFT, _RIGHT = "(?<![0-9A-Za-z_])", "(?![0-9A-Za-z_])"
 
-DATE = "|".join(DATES)
-LEVEL = f"(?i){_LEFT}(?:{'|'.join(LEVELS)}){_RIGHT}"
+
+def _after_two_digits(pattern: str) -> str:
+    if pattern.startswith(r"\d{4}"):
+        return r"\d{2}" + pattern.removeprefix(r"\d{4}")
+    return pattern.removeprefix(r"\d{2}")
+
+
+*_NUMERIC, _MONTH = DATES
+DATE = rf"\d{{2}}(?:{'|'.join(map(_after_two_digits, _NUMERIC))})|{_MONTH}"
+LEVEL = f"(?i)(?=[{''.join(word[0] for word in LEVELS)}]){_LEFT}(?:{'|'.join(LEVELS)}){_RIGHT}"
 IP = f"{_LEFT}{IPV4}{_RIGHT}"
-EDGE_SPACE = f"^[{SPACE}]+|[{SPACE}]+$"
 
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _STRICT_V4 = rf"{_OCTET}(?:\.{_OCTET}){{3}}"
@@ -47,9 +57,15 @@ _V6 = "|".join(
     + [f"(?:{_H}(?::{_H}){{0,6}})::"]
     + [f"(?:{_H}(?::{_H}){{0,{n}}})?::(?:{_H}:){{0,{4 - n}}}{_STRICT_V4}" for n in range(5)]
 )
-IP_TOKEN = (
-    rf"^(?:{_STRICT_V4}(?:/0*(?:3[0-2]|[12]?[0-9]))?"
-    rf"|(?:{_V6})(?:/0*(?:12[0-8]|1[01][0-9]|[1-9]?[0-9]))?)$"
+_MASK_V4 = "/0*(?:3[0-2]|[12]?[0-9])"
+_MASK_V6 = "/0*(?:12[0-8]|1[01][0-9]|[1-9]?[0-9])"
+# An address, or a block whose address part is wanted.
+IP_TOKEN = f"(?:{_STRICT_V4}(?:{_MASK_V4})?|(?:{_V6})(?:{_MASK_V6})?)"
+_END_OF_TOKEN = f"(?![^{SPACE}])"
+# Only as a whole blank-separated token; the first lookaheads turn words away early.
+LONE_IP = (
+    f"(?=[0-9A-Fa-f]{{0,4}}[.:])(?<![^{SPACE}])(?=[0-9A-Fa-f.:]+(?:/[0-9]+)?{_END_OF_TOKEN})"
+    f"{IP_TOKEN}{_END_OF_TOKEN}"
 )
 
 

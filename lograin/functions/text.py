@@ -11,7 +11,7 @@ from lograin.params import Params
 
 def trim_space(text: Column) -> Column:
     """Trim Unicode white space (``trim`` alone strips only the plain space)."""
-    return F.regexp_replace(text, P.EDGE_SPACE, "")
+    return F.btrim(text, F.lit(P.SPACES))
 
 
 def strip_ipv4(text: Column) -> Column:
@@ -73,8 +73,8 @@ def first_ip(content: Column) -> Column:
 
     Returns the address part as written, NULL when no token qualifies.
     """
-    tokens = F.filter(F.split(content, f"[{P.SPACE}]+"), lambda t: t.rlike(P.IP_TOKEN))
-    return F.split_part(F.get(tokens, F.lit(0)), F.lit("/"), F.lit(1))
+    token = F.regexp_extract(content, P.LONE_IP, 0)
+    return F.nullif(F.split_part(token, F.lit("/"), F.lit(1)), F.lit(""))
 
 
 def with_message(entries: DataFrame, params: Params) -> DataFrame:

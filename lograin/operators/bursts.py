@@ -16,12 +16,11 @@ from pyspark.sql import functions as F
 
 from lograin.functions.text import extract_level, first_ip
 from lograin.functions.times import from_micros, micros
-from lograin.operators.chain import assign_windows, event_counts, window_starts
+from lograin.operators.chain import WINDOW, event_counts, placed_counts, window_starts
 from lograin.operators.stats import severity_filter
 from lograin.params import Params
 from lograin.session import materialize
 
-_WINDOW = ["category", "start_us"]
 _ID_BAND_BITS = 20
 
 
@@ -36,9 +35,6 @@ class Bursts:
             micros(F.col("ts")).alias("us"),
         )
 
-    def _starts(self, counts: DataFrame) -> DataFrame:
-        return window_starts(counts, self.params.limit_us, self.params.max_group_rows)
-
     @cached_property
     def counts(self) -> DataFrame:
         """Events per severe level and microsecond; all others under ``''``."""
@@ -47,61 +43,54 @@ class Bursts:
         return event_counts(self.events, category, F.col("us"))
 
     @cached_property
-    def severity_starts(self) -> DataFrame:
-        return self._starts(self.counts.filter("category <> ''"))
+    def severity_counts(self) -> DataFrame:
+        """Counts of severe levels with their windows."""
+        return self._placed(self.counts.filter("category <> ''"))
 
-    def _severity_counts(self) -> DataFrame:
-        severe = self.counts.filter("category <> ''")
-        return assign_windows(severe, self.severity_starts, self.params.limit_us)
+    def _placed(self, counts: DataFrame) -> DataFrame:
+        params = self.params
+        starts = window_starts(counts, params.limit_us, params.max_group_rows)
+        return materialize(placed_counts(counts, starts, params.limit_us))
 
-    def _severity_events(self) -> DataFrame:
-        severe = severity_filter(self.events, self.params).withColumn("category", F.col("level"))
-        return assign_windows(severe.select("event_id", "ts", "us", "category"), self.severity_starts, self.params.limit_us)
+    def _severe_events(self) -> DataFrame:
+        severe = severity_filter(self.events, self.params)
+        return severe.select("event_id", "ts", F.col("level").alias("category"), "us")
 
     @cached_property
     def overall_counts(self) -> DataFrame:
-        """Events per microsecond that feed the overall counter.
+        """Counts that feed the overall counter, with their windows.
 
-        A severe event feeds it while its window counts at most the threshold;
-        those events lie among the window's first distinct times.
+        A severe event feeds it while its window counts at most the threshold.
         """
-        threshold = self.params.severity_threshold
-        order = Window.partitionBy(*_WINDOW).orderBy("us")
-        opening = (
-            self._severity_counts()
-            .withColumn("_rank", F.row_number().over(order))
-            .filter(F.col("_rank") <= threshold)
-            .withColumn("_before", F.sum("n").over(order) - F.col("n"))
-            .select("us", F.least(F.col("n"), threshold - F.col("_before")).alias("n"))
-            .filter("n > 0")
-        )
+        left = self.params.severity_threshold - F.col("before")
+        opening = self.severity_counts.filter(left > 0).select("us", F.least("n", left).alias("n"))
         other = self.counts.filter("category = ''").select("us", "n")
         feed = other.unionByName(opening).groupBy("us").agg(F.sum("n").alias("n"))
-        return materialize(feed.select(F.lit(self.params.overall_category).alias("category"), "us", "n"))
-
-    @cached_property
-    def overall_starts(self) -> DataFrame:
-        return self._starts(self.overall_counts)
+        category = F.lit(self.params.overall_category).alias("category")
+        return self._placed(materialize(feed.select(category, "us", "n")))
 
     def severity_windows(self) -> DataFrame:
         """Each severe event with its window and the running count there."""
-        counted = running_count(self._severity_events())
+        counted = running_count(self._severe_events(), self.severity_counts)
         return counted.select(
             "event_id", "ts", F.col("category").alias("level"),
-            from_micros(F.col("start_us")).alias("window_start"), "count",
+            from_micros(F.col("start_us")).alias("window_start"), F.col("place").alias("count"),
         )
 
     def overall_input(self) -> DataFrame:
         """Events that feed the overall counter.
 
-        The rank limit is applied before the shuffle as well, so no task sees a
-        whole window.
+        Of the severe events only those at a window's first times come into
+        question, and of one time only as many as the threshold has left.
         """
-        order = Window.partitionBy(*_WINDOW).orderBy("us", "event_id")
+        threshold = self.params.severity_threshold
+        times = self.severity_counts.filter(F.col("before") < threshold).select("category", "us", "before")
+        of_time = Window.partitionBy("category", "us").orderBy("event_id")
         opening = (
-            self._severity_events()
-            .withColumn("_rank", F.row_number().over(order))
-            .filter(F.col("_rank") <= self.params.severity_threshold)
+            self._severe_events()
+            .join(times, ["category", "us"])
+            .withColumn("_rank", F.row_number().over(of_time))
+            .filter((F.col("_rank") <= threshold) & (F.col("before") + F.col("_rank") <= threshold))
         )
         other = self.events.filter(~F.col("level").isin(*self.params.severity_levels))
         return other.select("event_id", "ts", "us", "level").unionByName(
@@ -114,15 +103,15 @@ class Bursts:
         The first window counts its opener, later windows do not.
         """
         feed = self.overall_input().withColumn("category", F.lit(self.params.overall_category))
-        counted = running_count(assign_windows(feed, self.overall_starts, self.params.limit_us))
+        counted = running_count(feed, self.overall_counts)
         return counted.select(
             "event_id", "ts", from_micros(F.col("start_us")).alias("window_start"),
-            (F.col("count") - F.when(F.col("first"), 0).otherwise(1)).alias("count"),
+            (F.col("place") - F.when(F.col("first"), 0).otherwise(1)).alias("count"),
         )
 
     def severity_alerts(self) -> DataFrame:
         params = self.params
-        windows = self._severity_counts().withColumns(
+        windows = self.severity_counts.withColumns(
             {"rank": F.lit(params.severity_threshold + 1), "uncounted": F.lit(0), "cap": F.lit(params.alert_cap)}
         )
         return self._alerts(windows)
@@ -131,8 +120,7 @@ class Bursts:
         """Later windows start with an uncounted opener and one alert spent."""
         params = self.params
         later = F.when(F.col("first"), 0).otherwise(1)
-        counts = assign_windows(self.overall_counts, self.overall_starts, params.limit_us)
-        windows = counts.withColumns(
+        windows = self.overall_counts.withColumns(
             {
                 "rank": F.lit(params.overall_threshold) + later,
                 "uncounted": later,
@@ -186,33 +174,30 @@ def _literal_ts(us: int, events: DataFrame) -> Column:
     return F.timestamp_micros(F.lit(us)).cast(events.schema["ts"].dataType)
 
 
-def running_count(events: DataFrame) -> DataFrame:
-    """Add ``count``, each event's place in its window by (us, event_id).
+def running_count(events: DataFrame, counts: DataFrame) -> DataFrame:
+    """Add each event's window and its ``place`` there by (us, event_id).
 
-    Places are sums over three nested pieces - a part of the window, a band of
-    ids at one time, the events in it - so no task sorts a whole window, not
-    even one whose events all share a timestamp.
+    The counts tell how many events a window has before each time, so only
+    events of one time remain to be numbered. Times shared by very many events
+    are numbered by bands of ids instead.
     """
-    part = F.floor((F.col("us") - F.col("start_us")) / 1_000_000)
-    events = events.withColumns({"_part": part, "_band": F.shiftright("event_id", _ID_BAND_BITS)})
-    bands = events.groupBy(*_WINDOW, "_part", "us", "_band").agg(F.count("*").alias("_n"))
-    parts = bands.groupBy(*_WINDOW, "_part").agg(F.sum("_n").alias("_m"))
-
-    by_part = Window.partitionBy(*_WINDOW).orderBy("_part")
-    by_band = Window.partitionBy(*_WINDOW, "_part").orderBy("us", "_band")
-    in_band = Window.partitionBy(*_WINDOW, "_part", "us", "_band").orderBy("event_id")
-
-    parts = parts.select(*_WINDOW, "_part", (F.sum("_m").over(by_part) - F.col("_m")).alias("_before_part"))
-    bands = bands.withColumn("_before_band", F.sum("_n").over(by_band) - F.col("_n"))
-    offsets = bands.join(parts, [*_WINDOW, "_part"]).select(
-        *_WINDOW, "_part", "us", "_band", (F.col("_before_part") + F.col("_before_band")).alias("_before")
-    )
-    return (
-        events.withColumn("_place", F.row_number().over(in_band))
-        .join(offsets, [*_WINDOW, "_part", "us", "_band"])
-        .withColumn("count", F.col("_before") + F.col("_place"))
-        .drop("_part", "_band", "_place", "_before")
-    )
+    events = events.join(counts.select("category", "us", "n", "start_us", "first", "before"), ["category", "us"])
+    time = ["category", "us"]
+    crowded = F.col("n") > (1 << _ID_BAND_BITS)
+    if counts.filter(crowded).isEmpty():
+        in_time = Window.partitionBy(*time).orderBy("event_id")
+        return events.withColumn("place", F.col("before") + F.row_number().over(in_time))
+
+    band = F.when(crowded, F.shiftright("event_id", _ID_BAND_BITS)).otherwise(0)
+    events = events.withColumn("_band", band)
+    by_band = Window.partitionBy(*time).orderBy("_band")
+    bands = events.filter(crowded).groupBy(*time, "_band").agg(F.count("*").alias("_n"))
+    bands = bands.select(*time, "_band", (F.sum("_n").over(by_band) - F.col("_n")).alias("_lower"))
+    in_band = Window.partitionBy(*time, "_band").orderBy("event_id")
+    # the explicit shuffle leaves the joins before it free to split hot times
+    numbered = events.join(bands, [*time, "_band"], "left").repartition(*time, "_band")
+    place = F.col("before") + F.coalesce("_lower", F.lit(0)) + F.row_number().over(in_band)
+    return numbered.withColumn("place", place).drop("_band", "_lower")
 
 
 def alert_points(windows: DataFrame, params: Params) -> DataFrame:
@@ -227,15 +212,15 @@ def alert_points(windows: DataFrame, params: Params) -> DataFrame:
     """
     cooldown_us = params.cooldown_us
     windows = windows.withColumn("_cell", F.floor((F.col("us") - F.col("start_us")) / cooldown_us))
-    by_cell = Window.partitionBy(*_WINDOW).orderBy("_cell")
-    of_window = Window.partitionBy(*_WINDOW)
+    by_cell = Window.partitionBy(*WINDOW).orderBy("_cell")
+    of_window = Window.partitionBy(*WINDOW)
     cells = (
-        windows.groupBy(*_WINDOW, "_cell")
+        windows.groupBy(*WINDOW, "_cell")
         .agg(F.sum("n").alias("_n"), F.first("rank").alias("_rank"))
         .withColumns({"_no": F.row_number().over(by_cell), "_sum": F.sum("_n").over(by_cell)})
         .withColumn("_first", F.min(F.when(F.col("_sum") >= F.col("_rank"), F.col("_no"))).over(of_window))
         .filter(F.col("_no") <= F.col("_first") + 2 * params.alert_cap)
-        .select(*_WINDOW, "_cell")
+        .select(*WINDOW, "_cell")
     )
 
     def points(key, rows):
@@ -247,8 +232,8 @@ def alert_points(windows: DataFrame, params: Params) -> DataFrame:
         return pd.DataFrame({"category": key[0], "start_us": key[1], "us": us, "count": counts})
 
     return (
-        windows.join(cells, [*_WINDOW, "_cell"], "left_semi")
-        .groupBy(*_WINDOW)
+        windows.join(cells, [*WINDOW, "_cell"], "left_semi")
+        .groupBy(*WINDOW)
         .applyInPandas(points, "category string, start_us long, us long, count long")
     )
 

@@ -15,11 +15,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lograin.session import materialize
 
+WINDOW = ["category", "start_us"]
 _BEFORE_ALL = np.iinfo(np.int64).min
 _STEP = "category string, slice long, upto long, deadline long"
 _ENTRY = "category string, slice long, entry long"
@@ -48,6 +49,7 @@ def window_starts(counts: DataFrame, limit_us: int, max_group_rows: int) -> Data
     else:
         span = max(1, min(64, max_group_rows // max(densest, 1)))
         starts = _starts_by_slices(counts, limit_us, span, max_group_rows)
+    starts = materialize(starts)
     earliest = starts.groupBy("category").agg(F.min("start_us").alias("_earliest"))
     return starts.join(earliest, "category").select(
         "category", "start_us", (F.col("start_us") == F.col("_earliest")).alias("first")
@@ -181,17 +183,30 @@ def _compose(steps: pd.DataFrame, domain_end: int) -> tuple[np.ndarray, np.ndarr
     return _compress(upto[:reach], out[:reach])
 
 
-def assign_windows(events: DataFrame, starts: DataFrame, limit_us: int) -> DataFrame:
-    """Give each event, having ``category`` and ``us``, the window it falls in.
+def placed_counts(counts: DataFrame, starts: DataFrame, limit_us: int) -> DataFrame:
+    """Add to each count its window and ``before``, the events there before it.
 
     Windows reach at most the limit past their opening and never overlap; one
     touches two slots of that length, which makes the range join an equi-join.
+    Sums run over seconds and inside each second, so no task sorts a window.
     """
     slot = F.floor(F.col("start_us") / limit_us)
     cover = starts.withColumn("_slot", F.explode(F.array(slot, slot + 1)))
-    return (
-        events.withColumn("_slot", F.floor(F.col("us") / limit_us))
+    second = F.floor((F.col("us") - F.col("start_us")) / 1_000_000)
+    inside = (
+        counts.withColumn("_slot", F.floor(F.col("us") / limit_us))
         .join(cover, ["category", "_slot"])
         .filter((F.col("us") >= F.col("start_us")) & (F.col("us") <= F.col("start_us") + limit_us))
+        .withColumn("_second", second)
         .drop("_slot")
     )
+    by_second = Window.partitionBy(*WINDOW).orderBy("_second")
+    in_second = Window.partitionBy(*WINDOW, "_second").orderBy("us")
+    seconds = inside.groupBy(*WINDOW, "_second").agg(F.sum("n").alias("_n"))
+    seconds = seconds.select(*WINDOW, "_second", (F.sum("_n").over(by_second) - F.col("_n")).alias("_earlier"))
+    placed = inside.withColumn("_within", F.sum("n").over(in_second) - F.col("n"))
+    return (
+        placed.join(seconds, [*WINDOW, "_second"])
+        .withColumn("before", F.col("_earlier") + F.col("_within"))
+        .drop("_second", "_earlier", "_within")
+    )

@@ -61,7 +61,7 @@ def _key(text: str) -> str:
 
 
 def _first_ip(text: str) -> str:
-    tokens = f"[t for t in string_split_regex({text}, '{_SPACE}') if regexp_matches(t, '{P.IP_TOKEN}')]"
+    tokens = f"[t for t in string_split_regex({text}, '{_SPACE}') if regexp_full_match(t, '{P.IP_TOKEN}')]"
     return f"split_part(({tokens})[1], '/', 1)"
 
 
