@@ -40,7 +40,13 @@ def file_stats(entries: DataFrame, params: Params) -> DataFrame:
 
 
 def nonempty_shape(documents: DataFrame) -> DataFrame:
-    return documents.filter(F.col("shape") != "")
+    """Documents that have a fingerprint.
+
+    A plain filter would be pushed below the fingerprint and compute it twice,
+    so an empty one generates no row instead.
+    """
+    shape = F.explode(F.when(F.col("shape") != "", F.array("shape"))).alias("shape")
+    return documents.select(*[name for name in documents.columns if name != "shape"], shape)
 
 
 def json_shape_counts(documents: DataFrame) -> DataFrame:

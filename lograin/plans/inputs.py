@@ -11,7 +11,13 @@ ID_LOG = "app"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table, spread over all cores where its files alone would not do so.
+
+    Inputs that have a split per core or more are read as they are.
+    """
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
 def event_lines(events: DataFrame) -> DataFrame:
