@@ -23,6 +23,7 @@ from lograin.session import materialize
 WINDOW = ["category", "start_us"]
 _BEFORE_ALL = np.iinfo(np.int64).min
 _STEP = "category string, slice long, upto long, deadline long"
+_START = "category string, start_us long"
 _ENTRY = "category string, slice long, entry long"
 
 
@@ -39,16 +40,21 @@ def event_counts(events: DataFrame, category: Column, us: Column) -> DataFrame:
 def window_starts(counts: DataFrame, limit_us: int, max_group_rows: int) -> DataFrame:
     """Openings ``(category, start_us, first)``; ``first`` marks the earliest.
 
-    ``counts`` has to be materialized. A slice spans as many limits as fit in
-    one task by measured density.
+    ``counts`` has to be materialized; its measured size decides the way. Where
+    all times of a category fit in one task they are walked there. Otherwise
+    slices span as many limits as fit in a task, and where not even one limit
+    fits, openings are looked up one by one.
     """
     slots = counts.groupBy("category", F.floor(F.col("us") / limit_us)).count()
-    densest = slots.agg(F.max("count")).first()[0] or 0
-    if densest > max_group_rows:
-        starts = _starts_by_hops(counts, limit_us)
-    else:
-        span = max(1, min(64, max_group_rows // max(densest, 1)))
+    sizes = slots.groupBy("category").agg(F.max("count").alias("densest"), F.sum("count").alias("rows"))
+    densest, rows = (size or 0 for size in sizes.agg(F.max("densest"), F.max("rows")).first())
+    if rows <= max_group_rows:
+        starts = _starts_in_one_go(counts, limit_us)
+    elif densest <= max_group_rows:
+        span = max(1, min(64, max_group_rows // densest))
         starts = _starts_by_slices(counts, limit_us, span, max_group_rows)
+    else:
+        starts = _starts_by_hops(counts, limit_us)
     starts = materialize(starts)
     earliest = starts.groupBy("category").agg(F.min("start_us").alias("_earliest"))
     return starts.join(earliest, "category").select(
@@ -56,6 +62,23 @@ def window_starts(counts: DataFrame, limit_us: int, max_group_rows: int) -> Data
     )
 
 
+def _openings(category: str, times: np.ndarray, deadline: int, limit_us: int) -> pd.DataFrame:
+    """Openings among sorted ``times`` after a window that reaches to ``deadline``."""
+    found, at = [], np.searchsorted(times, deadline, side="right")
+    while at < len(times):
+        found.append(times[at])
+        at = np.searchsorted(times, times[at] + limit_us, side="right")
+    return pd.DataFrame({"category": category, "start_us": np.array(found, dtype=np.int64)})
+
+
+def _starts_in_one_go(counts: DataFrame, limit_us: int) -> DataFrame:
+    def openings(key, rows):
+        return _openings(key[0], np.sort(rows["us"].to_numpy()), _BEFORE_ALL, limit_us)
+
+    times = counts.select("category", "us")
+    return times.groupBy("category").applyInPandas(openings, _START)
+
+
 def _starts_by_hops(counts: DataFrame, limit_us: int) -> DataFrame:
     """Openings found one after another, for limits too long for slices.
 
@@ -70,7 +93,7 @@ def _starts_by_hops(counts: DataFrame, limit_us: int) -> DataFrame:
         for row in frontier:
             ahead |= (F.col("category") == row["category"]) & (F.col("us") > row["us"] + limit_us)
         frontier = counts.filter(ahead).groupBy("category").agg(F.min("us").alias("us")).collect()
-    return counts.sparkSession.createDataFrame(openings, "category string, start_us long")
+    return counts.sparkSession.createDataFrame(openings, _START)
 
 
 def _starts_by_slices(counts: DataFrame, limit_us: int, span: int, max_group_rows: int) -> DataFrame:
@@ -81,19 +104,14 @@ def _starts_by_slices(counts: DataFrame, limit_us: int, span: int, max_group_row
         return _step_rows(key, *_slice_steps(np.sort(rows["us"].to_numpy()), key[1] * width + limit_us, limit_us))
 
     def openings(key, rows, entry):
-        times = np.sort(rows["us"].to_numpy())
-        found, at = [], np.searchsorted(times, entry["entry"].iloc[0], side="right")
-        while at < len(times):
-            found.append(times[at])
-            at = np.searchsorted(times, times[at] + limit_us, side="right")
-        return pd.DataFrame({"category": key[0], "start_us": np.array(found, dtype=np.int64)})
+        return _openings(key[0], np.sort(rows["us"].to_numpy()), entry["entry"].iloc[0], limit_us)
 
     functions = sliced.groupBy("category", "slice").applyInPandas(steps, _STEP)
     entries = _entry_deadlines(functions, width, limit_us, max(2, span), max_group_rows)
     return (
         sliced.groupBy("category", "slice")
         .cogroup(entries.groupBy("category", "slice"))
-        .applyInPandas(openings, "category string, start_us long")
+        .applyInPandas(openings, _START)
     )
 
 

@@ -25,12 +25,12 @@ def origin_payload(stats: DataFrame, params: Params, keys: tuple[str, ...] = ())
     """Per origin a JSON object listing its messages.
 
     An origin with more than ``params.payload_messages`` messages is spread over
-    several objects of about that many, told apart by ``part``.
+    several objects of about that many, numbered by ``part`` of ``parts``.
     """
     stats = materialize(stats)
     group = [*keys, "source"]
     parts = stats.groupBy(*group).agg(
-        F.ceil(F.count("*") / params.payload_messages).alias("_parts")
+        F.ceil(F.count("*") / params.payload_messages).alias("parts")
     )
     item = F.struct(
         "count",
@@ -42,29 +42,32 @@ def origin_payload(stats: DataFrame, params: Params, keys: tuple[str, ...] = ())
     data = F.transform(F.col("_items"), lambda entry: entry["item"]).alias("data")
     return (
         stats.join(parts, group)
-        .withColumn("part", _bucket(F.col("message"), F.col("_parts")))
-        .groupBy(*group, "part")
+        .withColumn("part", _bucket(F.col("message"), F.col("parts")))
+        .groupBy(*group, "part", "parts")
         .agg(items.alias("_items"), F.count("*").alias("messages"))
-        .select(*group, "part", "messages", F.to_json(F.struct(F.col("source").alias("origin"), data)).alias("payload"))
+        .select(*group, "part", "parts", "messages", F.to_json(F.struct(F.col("source").alias("origin"), data)).alias("payload"))
     )
 
 
 def report_payload(stats: DataFrame, params: Params, keys: tuple[str, ...] = ()) -> DataFrame:
     """JSON arrays over all origins of a report.
 
-    A report within ``params.payload_messages`` is a single body, a larger one
-    several bodies of about that many messages.
+    A report within ``params.payload_messages`` is a single body. In a larger
+    one every part of a spread origin is a body of its own and the remaining
+    origins share bodies of about that many messages.
     """
     payloads = materialize(origin_payload(stats, params, keys))
-    bodies = F.ceil(F.sum("messages") / params.payload_messages)
+    whole = F.when(F.col("parts") == 1, F.col("messages"))
+    bodies = F.ceil(F.sum(whole) / params.payload_messages)
     if keys:
         payloads = payloads.join(payloads.groupBy(*keys).agg(bodies.alias("_bodies")), list(keys))
     else:
         payloads = payloads.withColumn("_bodies", payloads.agg(bodies).scalar())
-    origin_part = F.concat(F.col("source"), F.lit("#"), F.col("part"))
+    shared = _bucket(F.col("source"), F.col("_bodies")).cast("string")
+    own = F.concat(F.col("source"), F.lit("#"), F.col("part"))
     objects = F.array_join(F.array_sort(F.collect_list("payload")), ",")
     return (
-        payloads.withColumn("body_no", _bucket(origin_part, F.col("_bodies")))
+        payloads.withColumn("body_no", F.when(F.col("parts") == 1, shared).otherwise(own))
         .groupBy(*keys, "body_no")
         .agg(F.concat(F.lit("["), objects, F.lit("]")).alias("body"))
     )

@@ -292,6 +292,13 @@ def report_payload(spark, sf_dir):
     return payloads.report_payload(log_stats(spark, sf_dir), PARAMS)
 
 
+@query
+def report_payload_parts(spark, sf_dir):
+    """Bodies of about twelve messages."""
+    small = Params(id_log=inputs.ID_LOG, payload_messages=12)
+    return payloads.report_payload(log_stats(spark, sf_dir), small)
+
+
 @query
 def payload_formatter(spark, sf_dir):
     return payloads.payload_formatter("json")(log_stats(spark, sf_dir), PARAMS)

@@ -159,22 +159,28 @@ def _lines_of(rows: str, title: str, entry: str, keys: str = "") -> str:
       union all select distinct {keys} 2, '', '{RULE}' from {rows})"""
 
 
+def _bucket(text: str, buckets: str) -> str:
+    return f"('0x' || substr(md5({text}), 1, 15))::bigint % {buckets}"
+
+
 def _payloads(rows: str, size: int, keys: str = "") -> str:
-    bucket = "('0x' || substr(md5({}), 1, 15))::bigint % {}"
-    part = bucket.format("message", f"cast(ceil(count(*) over (partition by {keys} source) / {size}) as bigint)")
+    parts = f"cast(ceil(count(*) over (partition by {keys} source) / {size}) as bigint)"
     item = (
         "{'count': count, 'firstSeen': " + _rfc3339("first_seen") + ", 'lastSeen': " + _rfc3339("last_seen")
         + ", 'message': message}"
     )
-    return f"""select {keys} source, part, count(*) as messages,
+    return f"""select {keys} source, part, parts, count(*) as messages,
       cast(to_json({{'origin': source, 'data': list(item order by message)}}) as varchar) as payload
-      from (select {keys} source, message, {item} as item, {part} as part from {rows}) group by {keys} source, part"""
+      from (select *, {_bucket('message', 'parts')} as part
+            from (select {keys} source, message, {item} as item, {parts} as parts from {rows}))
+      group by {keys} source, part, parts"""
 
 
 def _bodies(rows: str, keys: str = "", size: int = 10_000) -> str:
     by = f"partition by {keys.rstrip(', ')}" if keys else ""
-    bodies = f"cast(ceil(sum(messages) over ({by}) / {size}) as bigint)"
-    number = f"('0x' || substr(md5(source || '#' || cast(part as varchar)), 1, 15))::bigint % {bodies}"
+    bodies = f"cast(ceil(sum(messages) filter (where parts = 1) over ({by}) / {size}) as bigint)"
+    number = f"""case when parts = 1 then cast({_bucket('source', bodies)} as varchar)
+      else source || '#' || cast(part as varchar) end"""
     return f"""select {keys} body_no, '[' || string_agg(payload, ',' order by payload) || ']' as body
       from (select *, {number} as body_no from ({_payloads(rows, size, keys)})) group by {keys} body_no"""
 
@@ -358,6 +364,7 @@ def oracle_sql() -> dict[str, str]:
         "origin_payload": f"with {STATS} " + _payloads("stats", 10_000),
         "origin_payload_parts": f"with {STATS} " + _payloads("stats", 4),
         "report_payload": f"with {STATS} " + _bodies("stats"),
+        "report_payload_parts": f"with {STATS} " + _bodies("stats", size=12),
         "payload_formatter": f"with {STATS} " + _bodies("stats"),
         "day_payloads": f"with {DAILY} " + _bodies("daily", "report_day, window_start,"),
         "enabled_integrations": """select url, page_id % 2 = 0 as on_aggregation from pages where page_id % 2 = 0""",

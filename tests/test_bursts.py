@@ -2,11 +2,13 @@
 
 import datetime as dt
 import random
+from collections import Counter
 
 import pytest
 
 from lograin import Params
 from lograin.operators import bursts as bursts_module
+from lograin.operators import chain
 from lograin.operators.bursts import Bursts
 from lograin.operators.chain import window_starts
 from lograin.session import materialize
@@ -27,21 +29,59 @@ def random_times(rng, limit, size):
     return times
 
 
-@pytest.mark.parametrize("max_group_rows", [8_000_000, 400, 250, 1])
-def test_openings(spark, max_group_rows):
-    """One task per slice, composed slices, and hops all find the same chain."""
-    rng, limit = random.Random(3), 10 * SECOND
-    sizes = [1, 2, 5, 40, 400, 1500] if max_group_rows > 1 else [1, 5, 30]
-    cases = {f"case{i}": random_times(rng, limit, size) for i, size in enumerate(sizes * 3)}
+def spy(monkeypatch, *names):
+    """Count the calls of functions of the chain module."""
+    calls = Counter()
+
+    def watched(name, original):
+        def run(*args):
+            calls[name] += 1
+            return original(*args)
+
+        return run
+
+    for name in names:
+        monkeypatch.setattr(chain, name, watched(name, getattr(chain, name)))
+    return calls
+
+
+def chain_cases(spark, limit, sizes):
+    rng = random.Random(3)
+    cases = {f"case{i}": random_times(rng, limit, size) for i, size in enumerate(sizes)}
     rows = [(name, us) for name, times in cases.items() for us in sorted(set(times))]
-    counts = materialize(spark.createDataFrame(rows, "category string, us long"))
-    found = window_starts(counts, limit, max_group_rows).collect()
     expected = [(name, us) for name, times in cases.items() for us in fold.openings(times, limit)]
-    assert sorted((row["category"], row["start_us"]) for row in found) == sorted(expected)
-    firsts = {row["category"]: row["start_us"] for row in found if row["first"]}
+    return cases, materialize(spark.createDataFrame(rows, "category string, us long")), sorted(expected)
+
+
+def opening_rows(df):
+    return sorted((row["category"], row["start_us"]) for row in df.collect())
+
+
+@pytest.mark.parametrize(
+    "max_group_rows, way", [(8_000_000, "_starts_in_one_go"), (400, "_starts_by_slices"), (1, "_starts_by_hops")]
+)
+def test_openings(spark, monkeypatch, max_group_rows, way):
+    """The measured size selects the way, the openings stay the same."""
+    calls = spy(monkeypatch, "_starts_in_one_go", "_starts_by_slices", "_starts_by_hops")
+    limit, sizes = 10 * SECOND, [1, 2, 5, 40, 400, 1500] * 3 if max_group_rows > 1 else [1, 5, 30, 2]
+    cases, counts, expected = chain_cases(spark, limit, sizes)
+    found = window_starts(counts, limit, max_group_rows)
+    assert calls == {way: 1}
+    assert opening_rows(found) == expected
+    firsts = {row["category"]: row["start_us"] for row in found.filter("first").collect()}
     assert firsts == {name: min(times) for name, times in cases.items()}
 
 
+@pytest.mark.parametrize("span, max_rows, levels", [(1, 20, 3), (3, 60, 2), (5, 10**6, 1)])
+def test_composed_slices(spark, monkeypatch, span, max_rows, levels):
+    """Step functions too many for one task are composed, level upon level."""
+    calls = spy(monkeypatch, "_entry_deadlines")
+    limit = 10 * SECOND
+    _, counts, expected = chain_cases(spark, limit, [1, 3, 50, 800, 2000, 2500])
+    assert opening_rows(chain._starts_by_slices(counts, limit, span, max_rows)) == expected
+    assert calls["_entry_deadlines"] >= levels
+
+
 def entries(spark, rng, limit, size):
     """Random entries, event ids not in time order."""
     times, levels = random_times(rng, limit, size), ["error", "CRITICAL", "info", "debug", ""]
