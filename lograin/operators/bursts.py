@@ -11,7 +11,7 @@ from functools import cached_property
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from lograin.functions.text import extract_level, first_ip
@@ -24,23 +24,37 @@ from lograin.session import materialize
 _ID_BAND_BITS = 20
 
 
+_WINDOW_STATE = "category string, start_us long, first boolean, seen long, sent long, last long, ip string"
+
+
 class Bursts:
-    """Burst detection over entries with ``event_id, ts, content``."""
+    """Burst detection over entries with ``event_id, ts, content``.
+
+    ``carried`` holds, per category, the window that earlier entries left open
+    (see ``open_windows``), so that a feed can be worked on piece by piece.
+    """
 
-    def __init__(self, entries: DataFrame, params: Params):
+    def __init__(self, entries: DataFrame, params: Params, carried: list[Row] = ()):
         self.params = params
+        self.carried = {row["category"]: row for row in carried}
         self.events = entries.select(
             "event_id", "ts", "content",
             extract_level(F.col("content")).alias("level"),
             micros(F.col("ts")).alias("us"),
         )
 
+    @classmethod
+    def of_counts(cls, counts: DataFrame, params: Params, carried: list[Row]) -> Bursts:
+        """Detection from counts alone; lists of single events are not at hand."""
+        found = cls.__new__(cls)
+        found.params, found.counts = params, counts
+        found.carried = {row["category"]: row for row in carried}
+        return found
+
     @cached_property
     def counts(self) -> DataFrame:
         """Events per severe level and microsecond; all others under ``''``."""
-        level = F.col("level")
-        category = F.when(level.isin(*self.params.severity_levels), level).otherwise("")
-        return event_counts(self.events, category, F.col("us"))
+        return event_counts(self.events, burst_category(F.col("level"), self.params), F.col("us"))
 
     @cached_property
     def severity_counts(self) -> DataFrame:
@@ -49,8 +63,23 @@ class Bursts:
 
     def _placed(self, counts: DataFrame) -> DataFrame:
         params = self.params
-        starts = window_starts(counts, params.limit_us, params.max_group_rows)
-        return materialize(placed_counts(counts, starts, params.limit_us))
+        deadlines = {name: row["start_us"] + params.limit_us for name, row in self.carried.items()}
+        starts = window_starts(counts, params.limit_us, params.max_group_rows, deadlines)
+        spark = counts.sparkSession
+        # at most one row per category
+        carried = F.broadcast(spark.createDataFrame(list(self.carried.values()), _WINDOW_STATE))
+        starts = starts.unionByName(carried.select("category", "start_us", "first"))
+        placed = placed_counts(counts, starts, params.limit_us).join(
+            carried.select(*WINDOW, "seen", "sent", "last"), WINDOW, "left"
+        )
+        return materialize(
+            placed.withColumns(
+                {
+                    "before": F.col("before") + F.coalesce("seen", F.lit(0)),
+                    "sent": F.coalesce("sent", F.lit(0)),
+                }
+            ).drop("seen")
+        )
 
     def _severe_events(self) -> DataFrame:
         severe = severity_filter(self.events, self.params)
@@ -109,14 +138,16 @@ class Bursts:
             (F.col("place") - F.when(F.col("first"), 0).otherwise(1)).alias("count"),
         )
 
-    def severity_alerts(self) -> DataFrame:
+    @cached_property
+    def severity_points(self) -> DataFrame:
         params = self.params
         windows = self.severity_counts.withColumns(
             {"rank": F.lit(params.severity_threshold + 1), "uncounted": F.lit(0), "cap": F.lit(params.alert_cap)}
         )
-        return self._alerts(windows)
+        return materialize(alert_points(windows, params))
 
-    def overall_alerts(self) -> DataFrame:
+    @cached_property
+    def overall_points(self) -> DataFrame:
         """Later windows start with an uncounted opener and one alert spent."""
         params = self.params
         later = F.when(F.col("first"), 0).otherwise(1)
@@ -127,14 +158,32 @@ class Bursts:
                 "cap": F.lit(params.alert_cap) - later,
             }
         )
-        return self._alerts(windows)
-
-    def _alerts(self, windows: DataFrame) -> DataFrame:
-        return alert_points(windows, self.params).select(
-            "category",
-            from_micros(F.col("start_us")).alias("window_start"),
-            from_micros(F.col("us")).alias("ts"),
-            "count",
+        return materialize(alert_points(windows, params))
+
+    def severity_alerts(self) -> DataFrame:
+        return _alert_columns(self.severity_points)
+
+    def overall_alerts(self) -> DataFrame:
+        return _alert_columns(self.overall_points)
+
+    def open_windows(self) -> DataFrame:
+        """The last window of every category with what it has counted and sent."""
+        placed = self.severity_counts.unionByName(self.overall_counts)
+        points = self.severity_points.unionByName(self.overall_points)
+        windows = placed.groupBy(*WINDOW, "first").agg(
+            F.max(F.col("before") + F.col("n")).alias("seen"), F.max("sent").alias("sent"), F.max("last").alias("last")
+        )
+        names = ["start_us", "first", "seen", "sent", "last"]
+        newest = windows.groupBy("category").agg(F.max_by(F.struct(*names), "start_us").alias("window"))
+        alerted = points.groupBy(*WINDOW).agg(F.count("*").alias("_new"), F.max("us").alias("_last"))
+        return (
+            newest.select("category", "window.*")
+            .join(alerted, WINDOW, "left")
+            .select(
+                "category", "start_us", "first", "seen",
+                (F.col("sent") + F.coalesce("_new", F.lit(0))).alias("sent"),
+                F.coalesce("_last", "last").alias("last"),
+            )
         )
 
     def burst_ip(self) -> DataFrame:
@@ -170,6 +219,20 @@ class Bursts:
         return points.join(self.burst_ip(), "category", "left")
 
 
+def burst_category(level: Column, params: Params) -> Column:
+    """Severe levels by name, all others as ``''``."""
+    return F.when(level.isin(*params.severity_levels), level).otherwise("")
+
+
+def _alert_columns(points: DataFrame) -> DataFrame:
+    return points.select(
+        "category",
+        from_micros(F.col("start_us")).alias("window_start"),
+        from_micros(F.col("us")).alias("ts"),
+        "count",
+    )
+
+
 def _literal_ts(us: int, events: DataFrame) -> Column:
     return F.timestamp_micros(F.lit(us)).cast(events.schema["ts"].dataType)
 
@@ -201,65 +264,51 @@ def running_count(events: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def alert_points(windows: DataFrame, params: Params) -> DataFrame:
-    """Alerts of each window, from its events per microsecond.
+    """Alerts of each window, from its counts per microsecond.
 
     A window first alerts at its event number ``rank``, then at the first event
-    at least the cooldown after the previous alert, ``cap`` times at most.
+    at least the cooldown after the previous alert, ``cap`` times at most;
+    ``sent`` alerts were given before, the last one at ``last``.
 
     Cut into cells of one cooldown, every alert lies at most two occupied cells
-    after the one before. So only the occupied cells up to the first alert and
+    after the one before. So only the occupied cells from the first alert to
     twice the cap beyond can matter; windows that never alert drop out here.
     """
     cooldown_us = params.cooldown_us
-    windows = windows.withColumn("_cell", F.floor((F.col("us") - F.col("start_us")) / cooldown_us))
+    cell = F.floor((F.col("us") - F.col("start_us")) / cooldown_us)
+    due = (F.col("before") + F.col("n") >= F.col("rank")) & (
+        F.col("last").isNull() | (F.col("us") >= F.col("last") + cooldown_us)
+    )
+    windows = windows.withColumn("_cell", cell)
     by_cell = Window.partitionBy(*WINDOW).orderBy("_cell")
-    of_window = Window.partitionBy(*WINDOW)
     cells = (
         windows.groupBy(*WINDOW, "_cell")
-        .agg(F.sum("n").alias("_n"), F.first("rank").alias("_rank"))
-        .withColumns({"_no": F.row_number().over(by_cell), "_sum": F.sum("_n").over(by_cell)})
-        .withColumn("_first", F.min(F.when(F.col("_sum") >= F.col("_rank"), F.col("_no"))).over(of_window))
-        .filter(F.col("_no") <= F.col("_first") + 2 * params.alert_cap)
+        .agg(F.max(due).alias("_due"))
+        .withColumn("_due", F.max("_due").over(by_cell))
+        .filter("_due")
+        .withColumn("_no", F.row_number().over(by_cell))
+        .filter(F.col("_no") <= 2 * params.alert_cap)
         .select(*WINDOW, "_cell")
     )
 
     def points(key, rows):
         rows = rows.sort_values("us")
-        rank, uncounted, cap = (int(rows[name].iloc[0]) for name in ("rank", "uncounted", "cap"))
-        found = alert_hops(rows["us"].to_numpy(), rows["n"].to_numpy().cumsum(), rank, cap, cooldown_us)
-        us, places = zip(*found) if found else ((), ())
-        counts = [place - uncounted for place in places]
-        return pd.DataFrame({"category": key[0], "start_us": key[1], "us": us, "count": counts})
+        rank, uncounted, cap, sent = (int(rows[name].iloc[0]) for name in ("rank", "uncounted", "cap", "sent"))
+        last = rows["last"].iloc[0]
+        times, before, n = (rows[name].to_numpy() for name in ("us", "before", "n"))
+        alerts = []
+        while len(alerts) < cap - sent:
+            at = np.searchsorted(before + n, rank)
+            if not pd.isna(last):
+                at = max(at, np.searchsorted(times, int(last) + cooldown_us))
+            if at == len(times):
+                break
+            last = times[at]
+            alerts.append((key[0], key[1], last, max(rank, before[at] + 1) - uncounted))
+        return pd.DataFrame(alerts, columns=["category", "start_us", "us", "count"])
 
     return (
         windows.join(cells, [*WINDOW, "_cell"], "left_semi")
         .groupBy(*WINDOW)
         .applyInPandas(points, "category string, start_us long, us long, count long")
     )
-
-
-def alert_hops(
-    times: np.ndarray,
-    upto: np.ndarray,
-    rank: int,
-    cap: int,
-    cooldown_us: int,
-    last: int | None = None,
-    seen: int = 0,
-) -> list[tuple[int, int]]:
-    """(time, place) of up to ``cap`` alerts among the times of one window.
-
-    ``upto`` counts the window's events up to each time, ``seen`` of them before
-    the first one; ``last`` is an earlier alert to keep away from.
-    """
-    found = []
-    while len(found) < cap:
-        at = np.searchsorted(upto, rank)
-        if last is not None:
-            at = max(at, np.searchsorted(times, last + cooldown_us))
-        if at == len(times):
-            break
-        last = int(times[at])
-        before = int(upto[at - 1]) if at else seen
-        found.append((last, max(rank, before + 1)))
-    return found

@@ -37,29 +37,34 @@ def event_counts(events: DataFrame, category: Column, us: Column) -> DataFrame:
     return materialize(grouped.agg(F.count("*").alias("n")))
 
 
-def window_starts(counts: DataFrame, limit_us: int, max_group_rows: int) -> DataFrame:
+def window_starts(
+    counts: DataFrame, limit_us: int, max_group_rows: int, deadlines: dict[str, int] | None = None
+) -> DataFrame:
     """Openings ``(category, start_us, first)``; ``first`` marks the earliest.
 
+    ``deadlines`` names the end of windows that were open before, per category;
+    these have had their first opening already.
+
     ``counts`` has to be materialized; its measured size decides the way. Where
     all times of a category fit in one task they are walked there. Otherwise
     slices span as many limits as fit in a task, and where not even one limit
     fits, openings are looked up one by one.
     """
+    deadlines = deadlines or {}
     slots = counts.groupBy("category", F.floor(F.col("us") / limit_us)).count()
     sizes = slots.groupBy("category").agg(F.max("count").alias("densest"), F.sum("count").alias("rows"))
     densest, rows = (size or 0 for size in sizes.agg(F.max("densest"), F.max("rows")).first())
     if rows <= max_group_rows:
-        starts = _starts_in_one_go(counts, limit_us)
+        starts = _starts_in_one_go(counts, limit_us, deadlines)
     elif densest <= max_group_rows:
         span = max(1, min(64, max_group_rows // densest))
-        starts = _starts_by_slices(counts, limit_us, span, max_group_rows)
+        starts = _starts_by_slices(counts, limit_us, span, max_group_rows, deadlines)
     else:
-        starts = _starts_by_hops(counts, limit_us)
+        starts = _starts_by_hops(counts, limit_us, deadlines)
     starts = materialize(starts)
     earliest = starts.groupBy("category").agg(F.min("start_us").alias("_earliest"))
-    return starts.join(earliest, "category").select(
-        "category", "start_us", (F.col("start_us") == F.col("_earliest")).alias("first")
-    )
+    first = (F.col("start_us") == F.col("_earliest")) & ~F.col("category").isin(*deadlines)
+    return starts.join(earliest, "category").select("category", "start_us", first.alias("first"))
 
 
 def _openings(category: str, times: np.ndarray, deadline: int, limit_us: int) -> pd.DataFrame:
@@ -71,43 +76,48 @@ def _openings(category: str, times: np.ndarray, deadline: int, limit_us: int) ->
     return pd.DataFrame({"category": category, "start_us": np.array(found, dtype=np.int64)})
 
 
-def _starts_in_one_go(counts: DataFrame, limit_us: int) -> DataFrame:
+def _starts_in_one_go(counts: DataFrame, limit_us: int, deadlines: dict[str, int]) -> DataFrame:
     def openings(key, rows):
-        return _openings(key[0], np.sort(rows["us"].to_numpy()), _BEFORE_ALL, limit_us)
+        deadline = deadlines.get(key[0], _BEFORE_ALL)
+        return _openings(key[0], np.sort(rows["us"].to_numpy()), deadline, limit_us)
 
     times = counts.select("category", "us")
     return times.groupBy("category").applyInPandas(openings, _START)
 
 
-def _starts_by_hops(counts: DataFrame, limit_us: int) -> DataFrame:
+def _starts_by_hops(counts: DataFrame, limit_us: int, deadlines: dict[str, int]) -> DataFrame:
     """Openings found one after another, for limits too long for slices.
 
     Each hop is a filtered minimum over the counts and moves every category one
     window ahead, so there are at most (time range / limit) hops and result rows.
     """
     openings = []
-    frontier = counts.groupBy("category").agg(F.min("us").alias("us")).collect()
-    while frontier:
+    ahead = ~F.col("category").isin(*deadlines)
+    for category, deadline in deadlines.items():
+        ahead |= (F.col("category") == category) & (F.col("us") > deadline)
+    while frontier := counts.filter(ahead).groupBy("category").agg(F.min("us").alias("us")).collect():
         openings += [(row["category"], row["us"]) for row in frontier]
         ahead = F.lit(False)
         for row in frontier:
             ahead |= (F.col("category") == row["category"]) & (F.col("us") > row["us"] + limit_us)
-        frontier = counts.filter(ahead).groupBy("category").agg(F.min("us").alias("us")).collect()
     return counts.sparkSession.createDataFrame(openings, _START)
 
 
-def _starts_by_slices(counts: DataFrame, limit_us: int, span: int, max_group_rows: int) -> DataFrame:
+def _starts_by_slices(
+    counts: DataFrame, limit_us: int, span: int, max_group_rows: int, deadlines: dict[str, int]
+) -> DataFrame:
     width = limit_us * span
     sliced = counts.select("category", "us", F.floor(F.col("us") / width).alias("slice"))
 
     def steps(key, rows):
-        return _step_rows(key, *_slice_steps(np.sort(rows["us"].to_numpy()), key[1] * width + limit_us, limit_us))
+        domain_end = _domain_end(key, width, limit_us, deadlines)
+        return _step_rows(key, *_slice_steps(np.sort(rows["us"].to_numpy()), domain_end, limit_us))
 
     def openings(key, rows, entry):
         return _openings(key[0], np.sort(rows["us"].to_numpy()), entry["entry"].iloc[0], limit_us)
 
     functions = sliced.groupBy("category", "slice").applyInPandas(steps, _STEP)
-    entries = _entry_deadlines(functions, width, limit_us, max(2, span), max_group_rows)
+    entries = _entry_deadlines(functions, width, limit_us, max(2, span), max_group_rows, deadlines)
     return (
         sliced.groupBy("category", "slice")
         .cogroup(entries.groupBy("category", "slice"))
@@ -115,6 +125,15 @@ def _starts_by_slices(counts: DataFrame, limit_us: int, span: int, max_group_row
     )
 
 
+def _domain_end(key, width: int, limit_us: int, deadlines: dict[str, int]) -> int:
+    """Latest deadline that can enter a slice.
+
+    The window before opened before the slice begins, unless it was open from
+    the outset: then the slice may begin in the middle of its data.
+    """
+    return max(key[1] * width + limit_us, deadlines.get(key[0], _BEFORE_ALL))
+
+
 def _slice_steps(times: np.ndarray, domain_end: int, limit_us: int) -> tuple[np.ndarray, np.ndarray]:
     """Step function of one slice: a deadline below ``upto`` leaves as ``deadline``."""
     following = np.searchsorted(times, times + limit_us, side="right")
@@ -144,7 +163,9 @@ def _in_order(steps: pd.DataFrame) -> Iterator[tuple[int, np.ndarray, np.ndarray
         yield number, part["upto"].to_numpy(), part["deadline"].to_numpy()
 
 
-def _entry_deadlines(steps: DataFrame, width: int, limit_us: int, fan: int, max_rows: int) -> DataFrame:
+def _entry_deadlines(
+    steps: DataFrame, width: int, limit_us: int, fan: int, max_rows: int, deadlines: dict[str, int]
+) -> DataFrame:
     """Deadline entering each slice.
 
     Step functions that are few go through one task per category. Otherwise
@@ -159,7 +180,7 @@ def _entry_deadlines(steps: DataFrame, width: int, limit_us: int, fan: int, max_
     if not spread or rows <= max_rows:
 
         def walk(key, part):
-            return _walk(key[0], part, _BEFORE_ALL)
+            return _walk(key[0], part, deadlines.get(key[0], _BEFORE_ALL))
 
         return steps.groupBy("category").applyInPandas(walk, _ENTRY)
 
@@ -167,13 +188,13 @@ def _entry_deadlines(steps: DataFrame, width: int, limit_us: int, fan: int, max_
     coarse_width = width * fan
 
     def compose(key, part):
-        return _step_rows(key, *_compose(part, key[1] * coarse_width + limit_us))
+        return _step_rows(key, *_compose(part, _domain_end(key, coarse_width, limit_us, deadlines)))
 
     def hand_down(key, part, entry):
         return _walk(key[0], part, entry["entry"].iloc[0])
 
     composed = steps.groupBy("category", coarse.alias("slice")).applyInPandas(compose, _STEP)
-    above = _entry_deadlines(composed, coarse_width, limit_us, fan, max_rows)
+    above = _entry_deadlines(composed, coarse_width, limit_us, fan, max_rows, deadlines)
     return (
         steps.groupBy("category", coarse.alias("coarse"))
         .cogroup(above.groupBy("category", F.col("slice").alias("coarse")))

@@ -2,112 +2,95 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import DataStreamWriter
 
 from lograin.functions.text import extract_level, first_ip
 from lograin.functions.times import from_micros, micros
-from lograin.operators.bursts import alert_hops
+from lograin.operators.bursts import Bursts, burst_category
 from lograin.params import Params
+from lograin.session import materialize
 from lograin.streaming.stats import event_time
 
-_STATE = "start long, seen long, sent int, last long, first boolean, ip string"
-_ALERT = "category string, start_us long, us long, count long, ip string"
-
 
-def stream_alerts(entries: DataFrame, params: Params, delay: str = "0 seconds") -> DataFrame:
-    """Alerts as they become certain, in append mode.
+def stream_counts(entries: DataFrame, params: Params, delay: str = "0 seconds") -> DataFrame:
+    """Events per category and microsecond once the watermark has passed them.
 
-    Events are counted per level and microsecond first. That aggregation runs
-    in parallel, holds rows back until the watermark has passed them and so
-    hands them on in time order. Only these counts meet in the one keyed state
-    the overall counter needs.
+    The aggregation holds rows back until no earlier ones can come, so its
+    batches follow each other in event time.
     """
-    level = extract_level(F.col("content"))
-    category = F.when(level.isin(*params.severity_levels), level).otherwise("")
-    counts = (
+    category = burst_category(extract_level(F.col("content")), params)
+    return (
         event_time(entries, delay)
         .select("ts", "event_id", category.alias("category"), first_ip(F.col("content")).alias("ip"))
         .groupBy("ts", "category")
         .agg(F.count("*").alias("n"), F.min_by(F.struct("event_id", "ip"), "event_id").alias("head"))
-        .select(micros(F.col("ts")).alias("us"), "category", "n", "head.event_id", "head.ip", F.lit("all").alias("feed"))
-    )
-    alerts = counts.groupBy("feed").transformWithStateInPandas(
-        BurstProcessor(params), _ALERT, outputMode="Append", timeMode="None"
+        .select("category", micros(F.col("ts")).alias("us"), "n", "head")
     )
-    return alerts.select(
-        "category",
-        from_micros(F.col("start_us")).alias("window_start"),
-        from_micros(F.col("us")).alias("ts"),
-        "count",
-        "ip",
+
+
+def alert_writer(entries: DataFrame, params: Params, path: str, delay: str = "0 seconds") -> DataStreamWriter:
+    """Write alerts to ``path/alerts`` as soon as they are certain.
+
+    Every micro-batch goes through the partitioned batch detection, which starts
+    from the windows the batch before left open: one row per category below
+    ``path/windows``. A repeated batch starts from the same rows and overwrites
+    its own folders.
+    """
+
+    def detect(rows: DataFrame, batch_id: int) -> None:
+        spark = rows.sparkSession
+        carried = _carried(spark, path, batch_id)
+        counts = materialize(rows)
+        bursts = Bursts.of_counts(counts.select("category", "us", "n"), params, carried)
+        ips = {row["category"]: row["ip"] for row in _head_ips(counts, params).collect()}
+        ips |= {row["category"]: row["ip"] for row in carried}
+
+        alerts = bursts.severity_points.unionByName(bursts.overall_points).select(
+            "category",
+            from_micros(F.col("start_us")).alias("window_start"),
+            from_micros(F.col("us")).alias("ts"),
+            "count",
+            _of_category(ips).alias("ip"),
+        )
+        alerts.write.mode("overwrite").parquet(f"{path}/alerts/batch={batch_id}")
+
+        windows = bursts.open_windows().withColumn("ip", _of_category(ips))
+        idle = spark.createDataFrame(carried, _schema(windows)).join(windows, "category", "left_anti")
+        windows.unionByName(idle).coalesce(1).write.mode("overwrite").parquet(f"{path}/windows/batch={batch_id}")
+
+    return stream_counts(entries, params, delay).writeStream.outputMode("append").foreachBatch(detect)
+
+
+def _schema(windows: DataFrame) -> str:
+    return ", ".join(f"{field.name} {field.dataType.simpleString()}" for field in windows.schema)
+
+
+def _carried(spark: SparkSession, path: str, batch_id: int) -> list[Row]:
+    if batch_id == 0:
+        return []
+    return spark.read.parquet(f"{path}/windows/batch={batch_id - 1}").collect()
+
+
+def _head_ips(counts: DataFrame, params: Params) -> DataFrame:
+    """Address in the first event of each category and, for overall, of all."""
+    categories = F.array_distinct(F.array(F.col("category"), F.lit(params.overall_category)))
+    return (
+        counts.withColumn("category", F.explode(categories))
+        .filter("category <> ''")
+        .groupBy("category")
+        .agg(F.min_by("head.ip", F.struct("us", "head.event_id")).alias("ip"))
     )
 
 
-class BurstProcessor(StatefulProcessor):
-    """Carries the open window of every category from batch to batch."""
-
-    def __init__(self, params: Params):
-        self.params = params
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        names = [*self.params.severity_levels, self.params.overall_category]
-        self.windows = {name: handle.getValueState(name, _STATE) for name in names}
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        params = self.params
-        batch = pd.concat(rows).sort_values(["us", "event_id"], ignore_index=True)
-        feed = [batch.loc[batch["category"] == "", ["us", "n"]]]
-        alerts = []
-        for name in params.severity_levels:
-            mine = batch[batch["category"] == name]
-            if mine.empty:
-                continue
-            found, places = self._advance(name, mine["us"], mine["n"], mine["ip"].iloc[0])
-            alerts += found
-            n = np.minimum(mine["n"].to_numpy(), params.severity_threshold - places)
-            feed.append(pd.DataFrame({"us": mine["us"], "n": n})[n > 0])
-        overall = pd.concat(feed).groupby("us", as_index=False, sort=True)["n"].sum()
-        if not overall.empty:
-            # the first event ever always feeds the counter
-            found, _ = self._advance(params.overall_category, overall["us"], overall["n"], batch["ip"].iloc[0])
-            alerts += found
-        yield pd.DataFrame(alerts, columns=["category", "start_us", "us", "count", "ip"])
-
-    def _advance(self, name: str, us: pd.Series, n: pd.Series, head_ip: str | None):
-        """Move a category over its next counts; alerts and events before each."""
-        params, state = self.params, self.windows[name]
-        times, counts = us.to_numpy(), n.to_numpy()
-        before = np.zeros(len(times), dtype=np.int64)
-        start, seen, sent, last, first, ip = state.get() if state.exists() else (None, 0, 0, None, True, head_ip)
-        alerts, at = [], 0
-        while at < len(times):
-            if start is None or times[at] > start + params.limit_us:
-                first = start is None
-                start, seen, sent, last = int(times[at]), 0, 0, None
-            end = np.searchsorted(times, start + params.limit_us, side="right")
-            upto = seen + counts[at:end].cumsum()
-            before[at:end] = upto - counts[at:end]
-            rank, uncounted, cap = self._rule(name, first)
-            hops = alert_hops(times[at:end], upto, rank, cap - sent, params.cooldown_us, last, seen)
-            for moment, place in hops:
-                alerts.append((name, start, moment, place - uncounted, ip))
-                sent, last = sent + 1, moment
-            seen, at = int(upto[-1]), end
-        state.update((start, seen, sent, last, first, ip))
-        return alerts, before
-
-    def _rule(self, name: str, first: bool) -> tuple[int, int, int]:
-        params = self.params
-        if name != params.overall_category:
-            return params.severity_threshold + 1, 0, params.alert_cap
-        later = 0 if first else 1
-        return params.overall_threshold + later, later, params.alert_cap - later
-
-    def close(self) -> None:
-        pass
+def _of_category(ips: dict[str, str | None]) -> Column:
+    ip = F.lit(None).cast("string")
+    for name, value in ips.items():
+        ip = F.when(F.col("category") == name, value).otherwise(ip)
+    return ip
+
+
+def stream_alerts(spark: SparkSession, path: str) -> DataFrame:
+    """Alerts written so far."""
+    return spark.read.parquet(f"{path}/alerts").drop("batch")

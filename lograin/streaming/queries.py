@@ -10,8 +10,6 @@ from lograin.plans import inputs
 from lograin.session import scratch_path
 from lograin.streaming import alerts, stats
 
-_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as a stream of entries, file by file."""
@@ -43,5 +41,8 @@ def stream_log_stats(spark: SparkSession, sf_dir: str, params: Params) -> DataFr
 
 
 def stream_alerts(spark: SparkSession, sf_dir: str, params: Params) -> DataFrame:
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKSDB)
-    return _run(spark, alerts.stream_alerts(event_stream(spark, sf_dir), params), "alerts")
+    out = scratch_path(spark, "alerts")
+    writer = alerts.alert_writer(event_stream(spark, sf_dir), params, out)
+    writer = writer.option("checkpointLocation", f"{out}-progress").trigger(availableNow=True)
+    writer.start().awaitTermination()
+    return alerts.stream_alerts(spark, out)

@@ -12,7 +12,7 @@ from lograin.operators import chain
 from lograin.operators.bursts import Bursts
 from lograin.operators.chain import window_starts
 from lograin.session import materialize
-from lograin.streaming.alerts import stream_alerts
+from lograin.streaming.alerts import alert_writer, stream_alerts
 from tests import fold
 
 START = dt.datetime(2024, 5, 1)
@@ -78,13 +78,45 @@ def test_composed_slices(spark, monkeypatch, span, max_rows, levels):
     calls = spy(monkeypatch, "_entry_deadlines")
     limit = 10 * SECOND
     _, counts, expected = chain_cases(spark, limit, [1, 3, 50, 800, 2000, 2500])
-    assert opening_rows(chain._starts_by_slices(counts, limit, span, max_rows)) == expected
+    assert opening_rows(chain._starts_by_slices(counts, limit, span, max_rows, {})) == expected
     assert calls["_entry_deadlines"] >= levels
 
 
+@pytest.mark.parametrize("way", ["one_go", "slices", "composed", "hops"])
+def test_chain_goes_on_from_open_windows(spark, way):
+    limit = 10 * SECOND
+    cases, _, expected = chain_cases(spark, limit, [2, 30, 60, 400])
+    halves = {name: sorted(set(times)) for name, times in cases.items()}
+    later = [(name, us) for name, times in halves.items() for us in times[len(times) // 2 :]]
+    opened = {name: [us for case, us in expected if case == name and us < halves[name][len(halves[name]) // 2]] for name in cases}
+    deadlines = {name: found[-1] + limit for name, found in opened.items() if name != "case0"}
+    counts = materialize(spark.createDataFrame(later, "category string, us long"))
+    if way == "one_go":
+        found = chain._starts_in_one_go(counts, limit, deadlines)
+    elif way == "hops":
+        found = chain._starts_by_hops(counts.filter("category <> 'case3'"), limit, deadlines)
+    else:
+        found = chain._starts_by_slices(counts, limit, 2, 10**6 if way == "slices" else 5, deadlines)
+    goal = [(name, us) for name, us in expected if us > opened[name][-1] and name != "case0"]
+    goal += [("case0", us) for us in fold.openings([us for name, us in later if name == "case0"], limit)]
+    assert opening_rows(found) == sorted(row for row in goal if way != "hops" or row[0] != "case3")
+
+
+def bursty_times(rng, limit, size):
+    """Stretches of different density between gaps around the limit."""
+    us, times = 0, []
+    while len(times) < size:
+        rate = rng.choice([30, 300, 2000])
+        for _ in range(rng.randrange(1, 400)):
+            times.append(us)
+            us += rng.choice([0, 0, 1, 5 * SECOND]) if rng.random() < 0.1 else rng.randrange(1 + limit // rate)
+        us += rng.choice([0, limit - 1, limit, limit + 1, 3 * limit])
+    return times[:size]
+
+
 def entries(spark, rng, limit, size):
     """Random entries, event ids not in time order."""
-    times, levels = random_times(rng, limit, size), ["error", "CRITICAL", "info", "debug", ""]
+    times, levels = bursty_times(rng, limit, size), ["error", "CRITICAL", "info", "debug", ""]
     ids = rng.sample(range(10 * size), size)
     events = [(us, event_id, rng.choices(levels, [4, 1, 2, 1, 1])[0]) for us, event_id in zip(times, ids)]
     rows = [
@@ -103,12 +135,14 @@ def alert_rows(df):
     return sorted((r["category"], offset(r["window_start"]), offset(r["ts"]), r["count"]) for r in df.collect())
 
 
-@pytest.mark.parametrize("seed, limit_seconds, size", [(1, 10, 3000), (2, 60, 2500), (3, 60, 4000)])
+@pytest.mark.parametrize("seed, limit_seconds, size", [(11, 30, 2000), (2, 120, 5000)])
 def test_detection(spark, seed, limit_seconds, size):
     rng = random.Random(seed)
     frame, events = entries(spark, rng, limit_seconds * SECOND, size)
     alerts, severe, overall = fold.detect(events, limit_seconds * SECOND)
-    assert alerts
+    assert {alert[0] for alert in alerts} == {"ERROR", "CRITICAL", "AGGREGATE_TRAFFIC"}
+    per_window = Counter(alert[:2] for alert in alerts)
+    assert max(per_window.values()) == (10 if limit_seconds > 100 else 6)
     found = Bursts(materialize(frame), Params(limit_break=float(limit_seconds)))
     assert alert_rows(found.alerts()) == alerts
     counted = {r["event_id"]: (offset(r["window_start"]), r["count"]) for r in found.severity_windows().collect()}
@@ -151,8 +185,6 @@ def test_no_events(spark):
 
 def test_streamed_alerts_equal_the_fold(spark, tmp_path):
     """Several micro-batches, every one cutting through open windows."""
-    provider = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", provider)
     frame, events = entries(spark, random.Random(11), 30 * SECOND, 2000)
     rows = sorted(frame.collect(), key=lambda row: (row["ts"], row["event_id"]))
     for part in range(4):
@@ -160,11 +192,13 @@ def test_streamed_alerts_equal_the_fold(spark, tmp_path):
         spark.createDataFrame(piece, frame.schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     feed = spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     # late entries would be dropped: neighbouring batches share a time here
-    alerts = stream_alerts(feed, Params(limit_break=30.0), delay="1 microseconds")
     out = str(tmp_path / "out")
-    alerts.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "progress")).trigger(
-        availableNow=True
-    ).start(out).awaitTermination()
+    writer = alert_writer(feed, Params(limit_break=30.0), out, delay="1 microseconds")
+    writer.option("checkpointLocation", str(tmp_path / "progress")).trigger(availableNow=True).start().awaitTermination()
     last = max(us for us, _, _ in events)
     expected, _, _ = fold.detect(events, 30 * SECOND)
-    assert alert_rows(spark.read.parquet(out)) == [alert for alert in expected if alert[2] < last]
+    found = stream_alerts(spark, out)
+    assert found.count() > 20
+    assert alert_rows(found) == [alert for alert in expected if alert[2] < last]
+    firsts = {row["category"]: row["ip"] for row in Bursts(materialize(frame), Params()).burst_ip().collect()}
+    assert {row["category"]: row["ip"] for row in found.collect()} == firsts
