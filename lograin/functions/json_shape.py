@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_ID_LENGTH = 20  # fixed value: longer blank-free strings are identifiers
-DEPTH = 12
+DEPTH = 8  # nesting the native fingerprint covers; deeper values take another way
+NODE_DEPTH = 12
 NODES = "array<struct<path:string,kind:string,value:string>>"
 
 
@@ -89,7 +90,7 @@ def _pieces(value: Column, depth: int) -> Column:
     return F.coalesce(F.flatten(inner), leaf)
 
 
-def json_nodes(documents: DataFrame, document: str = "document", depth: int = DEPTH) -> DataFrame:
+def json_nodes(documents: DataFrame, document: str = "document", depth: int = NODE_DEPTH) -> DataFrame:
     """One row per value inside each JSON document, the document included.
 
     Columns: ``path`` (``$.key`` and ``$[index]`` steps), ``kind`` and, for

@@ -23,8 +23,8 @@ DATES = [
     r"\d{2}/\d{4}",
     r"\d{2}-\d{4}",
     r"\d{2}:\d{2}:\d{2}",
-    # the lookbehind only spares retries inside one long run of letters
-    r"(?<![a-z])[a-z]+[\t\n\f\r ]\d{1,2},[\t\n\f\r ]\d{4}",
+    # lookbehind and possessive + only spare retries inside one run of letters
+    r"(?<![a-z])[a-z]++[\t\n\f\r ]\d{1,2},[\t\n\f\r ]\d{4}",
 ]
 IPV4 = r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}"
 ID_DIGITS = r"\d{1,9}"

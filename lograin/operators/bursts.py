@@ -65,21 +65,18 @@ class Bursts:
         params = self.params
         deadlines = {name: row["start_us"] + params.limit_us for name, row in self.carried.items()}
         starts = window_starts(counts, params.limit_us, params.max_group_rows, deadlines)
-        spark = counts.sparkSession
+        if not self.carried:
+            placed = placed_counts(counts, starts, params.limit_us)
+            return materialize(placed.withColumns({"sent": F.lit(0), "last": F.lit(None).cast("long")}))
         # at most one row per category
-        carried = F.broadcast(spark.createDataFrame(list(self.carried.values()), _WINDOW_STATE))
+        carried = F.broadcast(counts.sparkSession.createDataFrame(list(self.carried.values()), _WINDOW_STATE))
         starts = starts.unionByName(carried.select("category", "start_us", "first"))
         placed = placed_counts(counts, starts, params.limit_us).join(
             carried.select(*WINDOW, "seen", "sent", "last"), WINDOW, "left"
         )
-        return materialize(
-            placed.withColumns(
-                {
-                    "before": F.col("before") + F.coalesce("seen", F.lit(0)),
-                    "sent": F.coalesce("sent", F.lit(0)),
-                }
-            ).drop("seen")
-        )
+        before = F.col("before") + F.coalesce("seen", F.lit(0))
+        placed = placed.withColumns({"before": before, "sent": F.coalesce("sent", F.lit(0)).cast("int")})
+        return materialize(placed.drop("seen"))
 
     def _severe_events(self) -> DataFrame:
         severe = severity_filter(self.events, self.params)
@@ -138,15 +135,13 @@ class Bursts:
             (F.col("place") - F.when(F.col("first"), 0).otherwise(1)).alias("count"),
         )
 
-    @cached_property
     def severity_points(self) -> DataFrame:
         params = self.params
         windows = self.severity_counts.withColumns(
             {"rank": F.lit(params.severity_threshold + 1), "uncounted": F.lit(0), "cap": F.lit(params.alert_cap)}
         )
-        return materialize(alert_points(windows, params))
+        return alert_points(windows, params)
 
-    @cached_property
     def overall_points(self) -> DataFrame:
         """Later windows start with an uncounted opener and one alert spent."""
         params = self.params
@@ -158,18 +153,20 @@ class Bursts:
                 "cap": F.lit(params.alert_cap) - later,
             }
         )
-        return materialize(alert_points(windows, params))
+        return alert_points(windows, params)
 
     def severity_alerts(self) -> DataFrame:
-        return _alert_columns(self.severity_points)
+        return _alert_columns(self.severity_points())
 
     def overall_alerts(self) -> DataFrame:
-        return _alert_columns(self.overall_points)
+        return _alert_columns(self.overall_points())
 
-    def open_windows(self) -> DataFrame:
-        """The last window of every category with what it has counted and sent."""
+    def open_windows(self, points: DataFrame) -> DataFrame:
+        """The last window of every category with what it has counted and sent.
+
+        ``points`` are the alerts of both detectors.
+        """
         placed = self.severity_counts.unionByName(self.overall_counts)
-        points = self.severity_points.unionByName(self.overall_points)
         windows = placed.groupBy(*WINDOW, "first").agg(
             F.max(F.col("before") + F.col("n")).alias("seen"), F.max("sent").alias("sent"), F.max("last").alias("last")
         )

@@ -51,9 +51,16 @@ def window_starts(
     fits, openings are looked up one by one.
     """
     deadlines = deadlines or {}
-    slots = counts.groupBy("category", F.floor(F.col("us") / limit_us)).count()
-    sizes = slots.groupBy("category").agg(F.max("count").alias("densest"), F.sum("count").alias("rows"))
-    densest, rows = (size or 0 for size in sizes.agg(F.max("densest"), F.max("rows")).first())
+    slots = counts.groupBy("category", F.floor(F.col("us") / limit_us)).agg(
+        F.count("*").alias("count"), F.min("us").alias("first_us")
+    )
+    sizes = slots.groupBy("category").agg(
+        F.max("count").alias("densest"), F.sum("count").alias("rows"), F.min("first_us").alias("first_us")
+    )
+    # one row per category, of which there are as many as severe levels plus one
+    sizes = sizes.collect()
+    densest = max((row["densest"] for row in sizes), default=0)
+    rows = max((row["rows"] for row in sizes), default=0)
     if rows <= max_group_rows:
         starts = _starts_in_one_go(counts, limit_us, deadlines)
     elif densest <= max_group_rows:
@@ -61,10 +68,11 @@ def window_starts(
         starts = _starts_by_slices(counts, limit_us, span, max_group_rows, deadlines)
     else:
         starts = _starts_by_hops(counts, limit_us, deadlines)
-    starts = materialize(starts)
-    earliest = starts.groupBy("category").agg(F.min("start_us").alias("_earliest"))
-    first = (F.col("start_us") == F.col("_earliest")) & ~F.col("category").isin(*deadlines)
-    return starts.join(earliest, "category").select("category", "start_us", first.alias("first"))
+    first = F.lit(False)
+    for row in sizes:
+        if row["category"] not in deadlines:
+            first |= (F.col("category") == row["category"]) & (F.col("start_us") == row["first_us"])
+    return materialize(starts.withColumn("first", first))
 
 
 def _openings(category: str, times: np.ndarray, deadline: int, limit_us: int) -> pd.DataFrame:

@@ -47,7 +47,8 @@ def alert_writer(entries: DataFrame, params: Params, path: str, delay: str = "0
         ips = {row["category"]: row["ip"] for row in _head_ips(counts, params).collect()}
         ips |= {row["category"]: row["ip"] for row in carried}
 
-        alerts = bursts.severity_points.unionByName(bursts.overall_points).select(
+        points = materialize(bursts.severity_points().unionByName(bursts.overall_points()))
+        alerts = points.select(
             "category",
             from_micros(F.col("start_us")).alias("window_start"),
             from_micros(F.col("us")).alias("ts"),
@@ -56,7 +57,7 @@ def alert_writer(entries: DataFrame, params: Params, path: str, delay: str = "0
         )
         alerts.write.mode("overwrite").parquet(f"{path}/alerts/batch={batch_id}")
 
-        windows = bursts.open_windows().withColumn("ip", _of_category(ips))
+        windows = bursts.open_windows(points).withColumn("ip", _of_category(ips))
         idle = spark.createDataFrame(carried, _schema(windows)).join(windows, "category", "left_anti")
         windows.unionByName(idle).coalesce(1).write.mode("overwrite").parquet(f"{path}/windows/batch={batch_id}")
 
