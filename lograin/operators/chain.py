@@ -96,18 +96,32 @@ def _starts_in_one_go(counts: DataFrame, limit_us: int, deadlines: dict[str, int
 def _starts_by_hops(counts: DataFrame, limit_us: int, deadlines: dict[str, int]) -> DataFrame:
     """Openings found one after another, for limits too long for slices.
 
-    Each hop is a filtered minimum over the counts and moves every category one
-    window ahead, so there are at most (time range / limit) hops and result rows.
+    Each hop is a filtered minimum and moves every category one window ahead, so
+    there are at most (time range / limit) hops and result rows. The times are
+    laid out in order and a hop looks one limit far first, so it reads only the
+    files around the wanted times.
     """
+    order = ["category", "us"]
+    times = materialize(counts.select(*order).repartitionByRange(*order).sortWithinPartitions(*order))
+
+    def following(after: dict[str, int], reach: int | None) -> dict[str, int]:
+        """Earliest time after each category's deadline, at most ``reach`` later."""
+        wanted = F.lit(False)
+        for category, deadline in after.items():
+            near = F.lit(True) if reach is None else F.col("us") <= deadline + reach
+            wanted |= (F.col("category") == category) & (F.col("us") > deadline) & near
+        found = times.filter(wanted).groupBy("category").agg(F.min("us").alias("us")).collect()
+        return {row["category"]: row["us"] for row in found}
+
     openings = []
-    ahead = ~F.col("category").isin(*deadlines)
-    for category, deadline in deadlines.items():
-        ahead |= (F.col("category") == category) & (F.col("us") > deadline)
-    while frontier := counts.filter(ahead).groupBy("category").agg(F.min("us").alias("us")).collect():
-        openings += [(row["category"], row["us"]) for row in frontier]
-        ahead = F.lit(False)
-        for row in frontier:
-            ahead |= (F.col("category") == row["category"]) & (F.col("us") > row["us"] + limit_us)
+    categories = [row["category"] for row in times.select("category").distinct().collect()]
+    after = {category: deadlines.get(category, int(_BEFORE_ALL)) for category in categories}
+    while after:
+        found = following(after, limit_us)
+        if beyond := {category: us for category, us in after.items() if category not in found}:
+            found |= following(beyond, None)
+        openings += found.items()
+        after = {category: us + limit_us for category, us in found.items()}
     return counts.sparkSession.createDataFrame(openings, _START)
 
 
