@@ -18,7 +18,7 @@ def shared_dir(spark: SparkSession) -> str:
         return named
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        if not context.master.startswith("local"):
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="lograin-"))
     return context.getCheckpointDir()
@@ -28,12 +28,23 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, codec: str | None = None) -> DataFrame:
     """Compute ``df`` once into a table in the shared folder and read it back.
 
     This cuts the lineage and survives lost executors; as a table, later plans
     prune its columns, push filters into it and know its size.
     """
     path = scratch_path(df.sparkSession, "table")
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table that :func:`materialize` wrote, once nothing reads it."""
+    spark = df.sparkSession
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(shared_dir(spark)).toUri().getPath().rstrip("/")
+    for name in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        if path.toUri().getPath().startswith(f"{root}/table-"):
+            path.getFileSystem(conf).delete(path, True)
