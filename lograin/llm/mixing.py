@@ -8,7 +8,8 @@ of rates are taken in integers (units of 2^-20), so reruns agree bit for bit.
 
 Rates become copies by systematic rounding in the order of size: fractions are summed
 along the order and a document rounds up where the sum passes an integer, which leaves
-each source off its target by about one document.
+each source off its target by about one document. Then the one document of each source
+whose size comes nearest to what is missing (or too much) gets one copy more (or less).
 
 Hot sources: counts are partial aggregates, running sums go over size classes first,
 and equal sizes are dealt to buckets before they are ranked.
@@ -158,8 +159,32 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     same_cell = same & (F.col("bucket") == F.col("of_bucket"))
     extra = (F.col("turn") <= F.col("raised")).cast("long")
     copies = F.when(F.col("size") > 0, F.shiftright("units", 20) + extra).otherwise(0).cast("long")
-    taken = ranked.join(raised, same_cell).select("doc_id", "source", "size", copies.alias("copies"))
-    whole = targets.select(F.col("source").alias("of"), F.col("total").alias("source_size"), "target")
-    return taken.join(whole, F.col("source").eqNullSafe(F.col("of"))).select(
-        "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies"
+    rounded = ranked.join(raised, same_cell).select("doc_id", "source", "size", "bucket", "turn", copies.alias("copies"))
+    return _settle(materialize(rounded), targets, int(cap))
+
+
+def _settle(rounded: DataFrame, targets: DataFrame, most: int) -> DataFrame:
+    """Change one copy in each source where that brings it nearer to its target."""
+    taken = rounded.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("all_taken"))
+    sources = materialize(
+        targets.join(taken.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).select(
+            F.col("source").alias("of"), F.col("total").alias("source_size"), "target", (F.col("target") - F.col("all_taken")).alias("gap")
+        )
+    )
+    of_source = F.col("source").eqNullSafe(F.col("of"))
+    allowed = F.when(F.col("gap") > 0, F.col("copies") < most).otherwise(F.col("copies") > 0)
+    left = F.abs(F.abs("gap") - F.col("size"))
+    nearest = (
+        rounded.join(sources, of_source).filter(allowed & (F.col("size") > 0) & (left < F.abs("gap")))
+        .groupBy("source").agg(F.min(F.struct(left.alias("left"), F.xxhash64("doc_id").alias("mark"), "doc_id", "size", "bucket", "turn")).alias("pick"))
+        .select(F.col("source").alias("changed"), "pick.*")
+        .select("changed", *[F.col(c).alias(f"changed_{c}") for c in ("size", "bucket", "turn")])
+    )
+    picked = F.col("source").eqNullSafe(F.col("changed"))
+    for c in ("size", "bucket", "turn"):
+        picked = picked & (F.col(c) == F.col(f"changed_{c}"))
+    step = F.when(F.col("changed_turn").isNull(), 0).otherwise(F.signum("gap").cast("long"))
+    copies = F.col("copies") + step
+    return rounded.join(nearest, picked, "left").join(sources, of_source).select(
+        "doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), "source", copies.alias("copies")
     )

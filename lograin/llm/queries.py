@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lograin.llm import cuckoo, mixing, sharding
+from lograin.llm import bpe, cuckoo, mixing, sharding, token_files
+from lograin.session import scratch_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +18,19 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as definition:
+        tokenizer = definition.read()
+    path = scratch_path(spark, "tokens")
+    token_files.write(_table(spark, sf_dir, "documents"), tokenizer, path, end_id=2)
+    return token_files.read(spark, path)
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return bpe.encode_documents(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     dealt = sharding.shard_by_metadata(_table(spark, sf_dir, "documents"), 16)
     return dealt.select(
@@ -29,6 +44,8 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_mixing": op2_mixing,
+    "op3_token_files": op3_token_files,
+    "op5_bpe": op5_bpe,
     "op6_sharding": op6_sharding,
     "op10_exact_dedup": op10_exact_dedup,
 }

@@ -27,8 +27,10 @@ from lograin.session import discard, materialize
 BINS = 1024
 HASH_BITS = 40
 SCALE_BITS = 22
-#: A cut may miss its weight by this part of a leaf's bytes.
+#: A cut may miss its weight by this part of a leaf's bytes ...
 TOLERANCE = 1e-3
+#: ... or by this part where it would divide equal texts otherwise.
+GROUP_TOLERANCE = 1e-2
 SLOT_ROWS = 20_000
 
 
@@ -50,10 +52,10 @@ class _Cut:
 
 def text_metadata() -> dict[str, Column]:
     """Default dimensions; each depends on the text alone, so equal texts stay together."""
-    chars = F.length("text")
+    chars = F.greatest(F.length("text"), F.lit(1))
     return {
-        "length": F.log2(F.octet_length("text") + 1.0),
-        "script": F.octet_length("text") / F.greatest(chars, F.lit(1)),
+        "script": F.octet_length("text") / chars,
+        "spacing": F.length(F.replace("text", F.lit(" "), F.lit(""))) / chars,
         "mark": F.crc32(F.col("text").cast("binary")) / float(1 << 32),
     }
 
@@ -72,8 +74,12 @@ def _sums(rows: DataFrame, key: Column, ranges: dict[int, tuple[int, int, int]])
     return out
 
 
-def _search(rows: DataFrame, cuts: dict[int, _Cut], key: Column, slack: float) -> None:
-    """Shrink the ranges of all open cuts round by round."""
+def _search(rows: DataFrame, cuts: dict[int, _Cut], key: Column, slack: float, key_slack: float) -> None:
+    """Shrink the ranges of all open cuts round by round.
+
+    A cut takes a bin border within ``slack``, or the nearer side of a single key
+    within ``key_slack``; else that key is left to be divided.
+    """
     while open_cuts := {n: c for n, c in cuts.items() if c.key is None}:
         sums = _sums(rows, key, {n: (c.lo, c.hi, c.width()) for n, c in open_cuts.items()})
         for n, cut in open_cuts.items():
@@ -88,7 +94,12 @@ def _search(rows: DataFrame, cuts: dict[int, _Cut], key: Column, slack: float) -
                 elif abs(after - cut.want) <= slack:
                     cut.key, cut.below = start + width, after
                 elif width == 1:
-                    cut.key, cut.below, cut.tie_want = start, run, cut.want
+                    miss = min(abs(run - cut.want), abs(after - cut.want))
+                    cut.tie_want = cut.want if miss > key_slack else None
+                    if miss > key_slack or abs(run - cut.want) <= miss:
+                        cut.key, cut.below = start, run
+                    else:
+                        cut.key, cut.below = start + 1, after
                 else:
                     cut.lo, cut.hi, cut.below = start, min(cut.hi, start + width), run
                 break
@@ -136,11 +147,11 @@ def shard_by_metadata(
                 want = stats[n]["bytes"] * (count // 2) / count
                 cuts[n] = _Cut(widest, want, stats[n][f"min{widest}"], stats[n][f"max{widest}"] + 1)
         own = _own_key({n: c.dim for n, c in cuts.items()}, len(values))
-        _search(rows, cuts, own, slack)
+        _search(rows, cuts, own, slack, slack / TOLERANCE * GROUP_TOLERANCE)
         ties = {n: _Cut(0, c.tie_want, 0, (1 << 63) - 1, c.below) for n, c in cuts.items() if c.tie_want is not None}
         if ties:
             keys = F.create_map(*[F.lit(x) for n in ties for x in (n, cuts[n].key)])
-            _search(rows.filter(own == F.element_at(keys, F.col("node"))), ties, F.col("tie"), slack)
+            _search(rows.filter(own == F.element_at(keys, F.col("node"))), ties, F.col("tie"), slack, float("inf"))
         right = F.lit(False)
         for n, c in cuts.items():
             past = own >= c.key
