@@ -28,6 +28,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from lograin.llm import rans
 from lograin.llm.bpe import text_slices
@@ -179,7 +180,7 @@ def _decoder(table: rans.Table):
     return run
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def _joined(parts: pd.Series) -> pd.Series:
     """CRC-32 of a document from those of its pieces, in order."""
 
