@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lograin.llm import bpe, cuckoo, mixing, sharding, token_files
+from lograin.llm import bpe, cuckoo, mixing, sharding, token_files, topk
 from lograin.session import scratch_path
 
 
@@ -26,6 +26,10 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, path)
 
 
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_table(spark, sf_dir, "embeddings"), k=20, every=20, scale=64)
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return bpe.encode_documents(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
@@ -45,11 +49,28 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_mixing": op2_mixing,
     "op3_token_files": op3_token_files,
+    "op4_topk": op4_topk,
     "op5_bpe": op5_bpe,
     "op6_sharding": op6_sharding,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
+OP4_SQL = """
+with vectors as (
+  select vec_id, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as double)) as v
+  from embeddings
+  where vec_id is not null and embedding is not null
+    and list_bool_and(list_transform(embedding, lambda x: coalesce(isfinite(x), false))) is not false
+),
+scores as (
+  select q.vec_id as query_id, c.vec_id, cast(list_dot_product(q.v, c.v) as bigint) as score
+  from vectors q, vectors c where q.vec_id % 20 = 0 and c.vec_id <> q.vec_id
+)
+select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score
+from scores
+qualify rank <= 20
+"""
+
 OP10_SQL = """
 with texts as (
   select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as plain
@@ -62,5 +83,6 @@ window same as (partition by plain)
 """
 
 ORACLES = {
+    "op4_topk": OP4_SQL,
     "op10_exact_dedup": OP10_SQL,
 }
