@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lograin.llm import bpe, cuckoo, mixing, sharding, token_files, topk
+from lograin.llm import bpe, chosen_path, cuckoo, mixing, sharding, token_files, topk
 from lograin.session import scratch_path
 
 
@@ -42,6 +42,10 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path.near_duplicates(_table(spark, sf_dir, "documents"), size=4, numerator=80, denominator=100)
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cuckoo.exact_dedup(_table(spark, sf_dir, "documents"))
 
@@ -52,6 +56,7 @@ QUERIES = {
     "op4_topk": op4_topk,
     "op5_bpe": op5_bpe,
     "op6_sharding": op6_sharding,
+    "op9_near_dedup": op9_near_dedup,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
