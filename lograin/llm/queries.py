@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lograin.llm import bpe, chosen_path, cuckoo, mixing, sharding, token_files, topk
+from lograin.llm import bpe, chosen_path, cuckoo, mixing, sharding, token_files, topk, toxicity
 from lograin.session import scratch_path
 
 
@@ -14,6 +14,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
+    labels = _table(spark, sf_dir, "labels").filter(fold != 2).select("doc_id", F.col("toxic").alias("label"))
+    scored = toxicity.score_toxicity(_table(spark, sf_dir, "documents"), labels)
+    held_out = F.coalesce(fold == 2, F.lit(False)).alias("held_out")
+    return scored.select("doc_id", held_out, "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
@@ -51,6 +59,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_mixing": op2_mixing,
     "op3_token_files": op3_token_files,
     "op4_topk": op4_topk,
