@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lograin.llm import bpe, chosen_path, cuckoo, mixing, sharding, token_files, topk, toxicity
+from lograin.llm import bpe, chosen_path, cuckoo, mixing, rules, sharding, token_files, topk, toxicity
 from lograin.session import scratch_path
 
 
@@ -50,6 +50,14 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
+    labels = _table(spark, sf_dir, "labels").filter(fold != 1).select("doc_id", F.col("quality").alias("label"))
+    scored = rules.score_quality(_table(spark, sf_dir, "documents"), labels)
+    held_out = F.coalesce(fold == 1, F.lit(False)).alias("held_out")
+    return scored.select("doc_id", held_out, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen_path.near_duplicates(_table(spark, sf_dir, "documents"), size=4, numerator=80, denominator=100)
 
@@ -65,6 +73,7 @@ QUERIES = {
     "op4_topk": op4_topk,
     "op5_bpe": op5_bpe,
     "op6_sharding": op6_sharding,
+    "op8_quality": op8_quality,
     "op9_near_dedup": op9_near_dedup,
     "op10_exact_dedup": op10_exact_dedup,
 }
