@@ -27,12 +27,22 @@ def id_map(ids: DataFrame, key: str) -> DataFrame:
     return materialize(built)
 
 
+def _holds(bit: Column, bits: Column) -> Column:
+    inside = bit.bitwiseAND((1 << BUCKET_BITS) - 1)
+    byte = F.conv(F.hex(F.substring(bits, (F.shiftright(inside, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return byte.bitwiseAND(F.pow(F.lit(2), inside.bitwiseAND(7)).cast("int")) != 0
+
+
 def thin(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     """Rows whose ``key`` may be in ``ids``; follow it with the exact join."""
-    bit = _bit(F.col(key))
-    inside = bit.bitwiseAND((1 << BUCKET_BITS) - 1)
-    byte = F.conv(F.hex(F.substring("bits", (F.shiftright(inside, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    small = F.broadcast(ids.withColumnRenamed("bucket", "map_bucket"))  # 2 MB at most
-    met = rows.join(small, F.shiftright(bit, BUCKET_BITS) == F.col("map_bucket"))
-    mask = F.pow(F.lit(2), inside.bitwiseAND(7)).cast("int")
-    return met.filter(byte.bitwiseAND(mask) != 0).drop("map_bucket", "bits")
+    return split_by_map(rows, F.col(key), ids)[0]
+
+
+def split_by_map(rows: DataFrame, key: Column, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows whose key may be in ``ids``, and rows whose key is not."""
+    keyed = rows.withColumn("_key", key)
+    bit = _bit(F.col("_key"))
+    small = F.broadcast(ids.select(F.col("bucket").alias("_bucket"), F.col("bits").alias("_bits")))  # 2 MB at most
+    met = keyed.join(small, F.shiftright(bit, BUCKET_BITS) == F.col("_bucket"), "left")
+    hit = F.coalesce(_holds(bit, F.col("_bits")), F.lit(False))
+    return met.filter(hit).select(*rows.columns), met.filter(~hit).select(*rows.columns)

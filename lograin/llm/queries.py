@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lograin.llm import bpe, chosen_path, cuckoo, mixing, rules, sharding, token_files, topk, toxicity
+from lograin.llm import bpe, chosen_path, cuckoo, line_dedup, mixing, rules, sharding, token_files, topk, toxicity
 from lograin.session import scratch_path
 
 
@@ -50,6 +50,12 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = line_dedup.dedup_lines(_table(spark, sf_dir, "documents"))
+    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32")
+    return left.select("doc_id", "n_lines", "n_equal", "n_near", crc)
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
     labels = _table(spark, sf_dir, "labels").filter(fold != 1).select("doc_id", F.col("quality").alias("label"))
@@ -73,6 +79,7 @@ QUERIES = {
     "op4_topk": op4_topk,
     "op5_bpe": op5_bpe,
     "op6_sharding": op6_sharding,
+    "op7_line_dedup": op7_line_dedup,
     "op8_quality": op8_quality,
     "op9_near_dedup": op9_near_dedup,
     "op10_exact_dedup": op10_exact_dedup,
