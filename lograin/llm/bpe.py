@@ -34,8 +34,10 @@ from lograin.llm.chunks import ChunkCache
 
 #: Characters matched in one go and bytes merged in one go; what is longer is halved.
 LEAF_CHARS = 1 << 16
-LEAF_BYTES = 16
+LEAF_BYTES = 12
 NEVER = 1 << 62
+#: Encoded strings that a worker remembers, and the longest of them; they share halves.
+KNOWN, KNOWN_BYTES = 300_000, 32
 RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -52,6 +54,7 @@ class TreeEncoder:
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.pattern = regex.compile(pattern)
         self._stable: dict[tuple[int, int], bool] = {}
+        self._known: dict[bytes, list[int]] = {}
 
     # Byte strings
 
@@ -122,10 +125,20 @@ class TreeEncoder:
             ahead = min(len(right), ahead + ahead * grow_right)
 
     def encode_bytes(self, data: bytes) -> list[int]:
-        if len(data) <= LEAF_BYTES:
-            return self.merge(data)
-        half = len(data) // 2
-        return self.join(self.encode_bytes(data[:half]), self.encode_bytes(data[half:]))
+        if len(data) > KNOWN_BYTES:
+            half = len(data) // 2
+            return self.join(self.encode_bytes(data[:half]), self.encode_bytes(data[half:]))
+        found = self._known.get(data)
+        if found is None:
+            if len(data) <= LEAF_BYTES:
+                found = self.merge(data)
+            else:
+                half = len(data) // 2
+                found = self.join(self.encode_bytes(data[:half]), self.encode_bytes(data[half:]))
+            if len(self._known) > KNOWN:
+                self._known.clear()
+            self._known[data] = found
+        return found
 
     def encode_match(self, match: str) -> list[int]:
         data = match.encode()

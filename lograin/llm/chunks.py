@@ -26,7 +26,7 @@ class ChunkCache(dict):
     memory is bounded whatever the vocabulary of the input.
     """
 
-    def __init__(self, encode: Callable[[list[str]], Iterable], limit: int = 300_000, longest: int = 64):
+    def __init__(self, encode: Callable[[list[str]], Iterable], limit: int = 700_000, longest: int = 64):
         super().__init__()
         self.encode, self.limit, self.longest = encode, limit, longest
 

@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -52,7 +53,14 @@ FILE_SQL = f"shard int, block int, first long, n int, states binary, places arra
 _WORKER: dict[int, ChunkCache] = {}
 
 
-def _cache(definition: str) -> ChunkCache:
+def _width(definition: str) -> str:
+    """Type of the ids on their way to the blocks."""
+    from tokenizers import Tokenizer
+
+    return "H" if Tokenizer.from_str(definition).get_vocab_size() <= 1 << 16 else "I"
+
+
+def _cache(definition: str, width: str) -> ChunkCache:
     key = zlib.crc32(definition.encode())
     if key not in _WORKER:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -63,21 +71,21 @@ def _cache(definition: str) -> ChunkCache:
 
         def encode(parts: list[str]) -> Iterator[bytes]:
             for start in range(0, len(parts), 20_000):
-                for found in tokenizer.encode_batch(parts[start : start + 20_000], add_special_tokens=False):
-                    yield np.asarray(found.ids, "<u4").tobytes()
+                for found in tokenizer.encode_batch_fast(parts[start : start + 20_000], add_special_tokens=False):
+                    yield array(width, found.ids).tobytes()
 
         _WORKER.clear()
-        _WORKER[key] = ChunkCache(encode)
+        _WORKER[key] = ChunkCache(encode, limit=500_000)
     return _WORKER[key]
 
 
-def _tokens(docs: DataFrame, definition: str, end_id: int, bounds: list[int]) -> DataFrame:
+def _tokens(docs: DataFrame, definition: str, width: str, end_id: int, bounds: list[int]) -> DataFrame:
     """(doc_id, shard, ids) of every document."""
     schema = pa.schema([("doc_id", pa.int64()), ("shard", pa.int32()), ("ids", pa.binary())])
-    end, edges = np.asarray([end_id], "<u4").tobytes(), np.asarray(bounds, np.int64)
+    end, edges = array(width, [end_id]).tobytes(), np.asarray(bounds, np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = _cache(definition)
+        cache = _cache(definition, width)
         for batch in batches:
             keys = batch.column("doc_id")
             for start, texts in text_slices(batch, "text"):
@@ -90,8 +98,16 @@ def _tokens(docs: DataFrame, definition: str, end_id: int, bounds: list[int]) ->
     return docs.mapInArrow(run, "doc_id long, shard int, ids binary")
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cutter(width: str):
     """Cut sorted documents of a shard into blocks of ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _cut(batches, width)
+
+    return run
+
+
+def _cut(batches: Iterator[pa.RecordBatch], width: str) -> Iterator[pa.RecordBatch]:
     shard, parts, pieces, held, block, first, seq = None, [], [], 0, 0, 0, 0
     rows: list[tuple] = []
 
@@ -99,7 +115,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nonlocal parts, pieces, held, block, first
         if held:
             doc, number, count = zip(*pieces)
-            rows.append((shard, block, first, held, np.concatenate(parts).astype("<u4").tobytes(), list(doc), list(number), list(count)))
+            rows.append((shard, block, first, held, np.concatenate(parts).tobytes(), list(doc), list(number), list(count)))
             block, first = block + 1, first + held
         parts, pieces, held = [], [], 0
 
@@ -108,7 +124,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if own != shard:
                 close()
                 shard, block, first, seq = own, 0, 0, 0
-            ids, at = np.frombuffer(data.as_buffer(), "<u4"), 0
+            ids, at = np.frombuffer(data.as_buffer(), width), 0
             while at < len(ids):
                 take = min(rans.BLOCK - held, len(ids) - at)
                 parts.append(ids[at : at + take])
@@ -130,26 +146,29 @@ def _raw(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(0, np.int64)
-    for batch in batches:
-        for data in batch.column("ids"):
-            found = np.bincount(np.frombuffer(data.as_buffer(), "<u4"))
-            if len(found) > len(total):
-                found[: len(total)] += total
-                total = found
-            else:
-                total[: len(found)] += found
-    ids = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total[ids])], names=["id", "n"])
-
-
-def _encoder(table: rans.Table):
+def _counter(width: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(0, np.int64)
+        for batch in batches:
+            for data in batch.column("ids"):
+                found = np.bincount(np.frombuffer(data.as_buffer(), width))
+                if len(found) > len(total):
+                    found[: len(total)] += total
+                    total = found
+                else:
+                    total[: len(found)] += found
+        ids = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total[ids])], names=["id", "n"])
+
+    return run
+
+
+def _encoder(table: rans.Table, width: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, BLOCKS_AT_ONCE):
                 part = batch.slice(start, BLOCKS_AT_ONCE)
-                blocks = rans.encode([np.frombuffer(x.as_buffer(), "<u4") for x in part.column("ids")], table)
+                blocks = rans.encode([np.frombuffer(x.as_buffer(), width) for x in part.column("ids")], table)
                 columns = {name: part.column(name) for name in ("shard", "block", "first", "n", "piece_doc", "piece_seq", "piece_n")}
                 columns |= {name: pa.array([getattr(b, name) for b in blocks], FILE.field(name).type) for name in ("states", "places", "checks", "words")}
                 yield pa.RecordBatch.from_arrays([columns[name] for name in FILE.names], schema=FILE)
@@ -200,15 +219,16 @@ def write(docs: DataFrame, definition: str, path: str, end_id: int = 2) -> None:
     shards = min(max(MIN_SHARDS, -(-size // SHARD_BYTES)), MAX_SHARDS)
     cuts = F.array(*[F.lit(i / shards) for i in range(1, shards)])
     bounds = named.agg(F.percentile_approx("doc_id", cuts, max(10_000, 10 * shards))).first()[0] or []
-    tokens = _tokens(named, definition, end_id, sorted(set(bounds)))
+    width = _width(definition)
+    tokens = _tokens(named, definition, width, end_id, sorted(set(bounds)))
     ordered = tokens.repartition(shards, "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_last(), "ids")
-    raw = materialize(ordered.mapInArrow(_cut, RAW_SQL), "zstd")
-    counts = raw.select("ids").mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    raw = materialize(ordered.mapInArrow(_cutter(width), RAW_SQL), "zstd")
+    counts = raw.select("ids").mapInArrow(_counter(width), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     table = rans.Table.fit(counts["id"].to_numpy(np.int64), counts["n"].to_numpy(np.int64))
     spark = docs.sparkSession
     rows = list(zip(table.ids.tolist(), table.freq.astype(int).tolist()))
     spark.createDataFrame(rows, "id long, freq long").coalesce(1).write.parquet(f"{path}/table")
-    raw.mapInArrow(_encoder(table), FILE_SQL).write.parquet(f"{path}/blocks", compression="uncompressed")
+    raw.mapInArrow(_encoder(table, width), FILE_SQL).write.parquet(f"{path}/blocks", compression="uncompressed")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
