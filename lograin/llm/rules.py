@@ -40,10 +40,11 @@ GROUPS = {
 STATISTICS = ("chars", "words", "word_chars", "distinct", "repeated", *GROUPS)
 
 
-def statistics(docs: DataFrame) -> DataFrame:
-    """(doc_id, one double per statistic) of every document, in one pass over the texts."""
+def statistics(docs: DataFrame, *more: Column) -> DataFrame:
+    """(doc_id, one double per statistic, ``more``) of every document, in one pass over the texts."""
     text = F.coalesce("text", F.lit(""))
-    plain = docs.select("doc_id", text.alias("text"), F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "").alias("parts"))
+    kept = [f"_more{i}" for i in range(len(more))]
+    plain = docs.select(*[c.alias(n) for c, n in zip(more, kept)], "doc_id", text.alias("text"), F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "").alias("parts"))
     chars, words = F.length("text"), F.size("parts")
     again = F.aggregate(
         "parts", F.struct(F.lit("").alias("last"), F.lit(0).alias("n")),
@@ -57,7 +58,7 @@ def statistics(docs: DataFrame) -> DataFrame:
     }
     for name, group in GROUPS.items():
         values[name] = (chars - F.length(F.translate("text", group, ""))) / F.greatest(chars, F.lit(1))
-    return plain.select("doc_id", *[values[n].cast("double").alias(n) for n in STATISTICS])
+    return plain.select("doc_id", *[values[n].cast("double").alias(n) for n in STATISTICS], *kept)
 
 
 @dataclass(frozen=True)
