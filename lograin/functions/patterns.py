@@ -11,6 +11,7 @@ import re
 
 # Word lists, patterns and their order decide the template key.
 LEVELS = ["debug", "info", "notice", "warn(?:ing)?", "error", "critical", "alert", "emergency"]
+LEVEL_NAMES = ["DEBUG", "INFO", "NOTICE", "WARN", "WARNING", "ERROR", "CRITICAL", "ALERT", "EMERGENCY"]
 DATES = [
     r"\d{2}/\d{2}/\d{4}",
     r"\d{2}-\d{2}-\d{4}",

@@ -58,8 +58,14 @@ class Bursts:
 
     @cached_property
     def severity_counts(self) -> DataFrame:
-        """Counts of severe levels with their windows."""
-        return self._placed(self.counts.filter("category <> ''"))
+        """Counts of severe levels with their windows.
+
+        Other traffic is counted only where its counts are wanted, too.
+        """
+        if "counts" in self.__dict__:
+            return self._placed(self.counts.filter("category <> ''"))
+        severe = severity_filter(self.events, self.params)
+        return self._placed(event_counts(severe, F.col("level"), F.col("us")))
 
     def _placed(self, counts: DataFrame) -> DataFrame:
         params = self.params
@@ -88,9 +94,9 @@ class Bursts:
 
         A severe event feeds it while its window counts at most the threshold.
         """
+        other = self.counts.filter("category = ''").select("us", "n")
         left = self.params.severity_threshold - F.col("before")
         opening = self.severity_counts.filter(left > 0).select("us", F.least("n", left).alias("n"))
-        other = self.counts.filter("category = ''").select("us", "n")
         feed = other.unionByName(opening).groupBy("us").agg(F.sum("n").alias("n"))
         category = F.lit(self.params.overall_category).alias("category")
         return self._placed(materialize(feed.select(category, "us", "n")))
@@ -186,10 +192,11 @@ class Bursts:
     def burst_ip(self) -> DataFrame:
         """Address in the first event ever of each category.
 
-        The first times come from the counts as a handful of literals, which the
-        scan of the entries can push down.
+        The first times are one partial aggregate of a few rows; they come back as
+        literals, which the scan of the entries can push down.
         """
-        firsts = self.counts.groupBy("category").agg(F.min("us").alias("us")).collect()
+        category = burst_category(F.col("level"), self.params)
+        firsts = self.events.groupBy(category.alias("category")).agg(F.min("us").alias("us")).collect()
         wanted = [(row["category"], row["us"]) for row in firsts if row["category"]]
         if firsts:
             wanted.append((self.params.overall_category, min(row["us"] for row in firsts)))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lograin.functions.json_shape import with_shape
+from lograin.functions.patterns import LEVEL_NAMES
 from lograin.functions.text import with_message
+from lograin.functions.times import micros
 from lograin.params import Params
 from lograin.sources.entries import FILE_SOURCE
 
@@ -15,23 +19,58 @@ def severity_filter(entries: DataFrame, params: Params) -> DataFrame:
     return entries.filter(F.col("level").isin(*params.severity_levels))
 
 
-def _first_level() -> Column:
-    """Level of the earliest entry; ``event_id`` orders equal timestamps."""
-    return F.min_by("level", F.struct("ts", "event_id"))
+#: Levels in the order of their codes.
+_LEVELS = ("", *LEVEL_NAMES)
+_CODES = 16
+
+
+def first_entry() -> Column:
+    """Place of the earliest entry and the code of its level, as one number.
+
+    Time, then ``event_id``, then the level's code are its digits, so the level of
+    the first entry is a plain minimum: its buffer has a fixed width, which keeps the
+    aggregation hashed, and partial results merge by another minimum.
+    """
+    code = F.array_position(F.array(*map(F.lit, _LEVELS)), F.col("level")) - 1
+    wide = "decimal(38,0)"
+    number = F.coalesce("event_id", F.lit(0)).cast("decimal(20,0)") + F.lit(Decimal(1 << 63))
+    place = micros(F.col("ts")).cast("decimal(18,0)") * F.lit(Decimal(1 << 64))
+    return F.min((place + number).cast("decimal(36,0)") * F.lit(Decimal(_CODES)) + code.cast(wide)).cast(wide)
+
+
+def level_of(first: Column) -> Column:
+    """Level that a number of :func:`first_entry` holds."""
+    code = F.pmod(first, F.lit(Decimal(_CODES))).cast("int")
+    return F.get(F.array(*map(F.lit, _LEVELS)), code)
 
 
-def _measures() -> list[Column]:
+def partial_measures() -> list[Column]:
+    """Measures that merge; see :func:`merged_measures`."""
     return [
         F.count("*").alias("count"),
         F.min("ts").alias("first_seen"),
         F.max("ts").alias("last_seen"),
-        _first_level().alias("level"),
+        first_entry().alias("first_entry"),
+    ]
+
+
+def merged_measures() -> list[Column]:
+    return [
+        F.sum("count").alias("count"),
+        F.min("first_seen").alias("first_seen"),
+        F.max("last_seen").alias("last_seen"),
+        F.min("first_entry").alias("first_entry"),
     ]
 
 
+def with_level(measured: DataFrame) -> DataFrame:
+    names = [name for name in measured.columns if name != "first_entry"]
+    return measured.select(*names, level_of(F.col("first_entry")).alias("level"))
+
+
 def log_stats(entries: DataFrame, params: Params) -> DataFrame:
     """Count, first and last occurrence and level per (source, message)."""
-    return with_message(entries, params).groupBy("source", "message").agg(*_measures())
+    return with_level(with_message(entries, params).groupBy("source", "message").agg(*partial_measures()))
 
 
 def file_stats(entries: DataFrame, params: Params) -> DataFrame:
@@ -56,20 +95,24 @@ def json_shape_counts(documents: DataFrame) -> DataFrame:
     return counts.select(F.lit(FILE_SOURCE).alias("source"), "message", "count")
 
 
-def interval_report(entries: DataFrame, params: Params) -> DataFrame:
-    """Statistics of every reporting interval, intervals without rows absent."""
-    return (
+def interval_parts(entries: DataFrame, params: Params) -> DataFrame:
+    """Mergeable statistics of every reporting interval in ``entries``."""
+    measured = (
         with_message(entries, params)
         .groupBy(F.window("ts", params.interval), "source", "message")
-        .agg(*_measures())
-        .select(
-            F.col("window.start").alias("window_start"),
-            F.col("window.end").alias("window_end"),
-            "source", "message", "count", "first_seen", "last_seen", "level",
-        )
+        .agg(*partial_measures())
+    )
+    return measured.select(
+        F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"),
+        "source", "message", "count", "first_seen", "last_seen", "first_entry",
     )
 
 
+def interval_report(entries: DataFrame, params: Params) -> DataFrame:
+    """Statistics of every reporting interval, intervals without rows absent."""
+    return with_level(interval_parts(entries, params))
+
+
 def with_report_day(intervals: DataFrame, params: Params) -> DataFrame:
     """Name the day, beginning at the configured hour, an interval starts in."""
     day = F.window("window_start", "1 day", "1 day", params.day_offset)
@@ -81,15 +124,10 @@ def daily_report(entries: DataFrame, params: Params, merge: bool = False) -> Dat
 
     ``merge`` folds the batches of a day into one row per message.
     """
-    listed = with_report_day(interval_report(entries, params), params)
+    parts = with_report_day(interval_parts(entries, params), params)
     if not merge:
-        return listed
-    return listed.groupBy("report_day", "source", "message").agg(
-        F.sum("count").alias("count"),
-        F.min("first_seen").alias("first_seen"),
-        F.max("last_seen").alias("last_seen"),
-        F.min_by("level", "window_start").alias("level"),
-    )
+        return with_level(parts)
+    return with_level(parts.groupBy("report_day", "source", "message").agg(*merged_measures()))
 
 
 def interval_union(*batches: DataFrame) -> DataFrame:

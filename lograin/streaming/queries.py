@@ -12,10 +12,12 @@ from lograin.streaming import alerts, stats
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events table as a stream of entries, file by file."""
-    schema = inputs.table(spark, sf_dir, "events").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
-    return inputs.event_lines(events.parquet(sf_dir))
+    """The events table as a stream of entries, file by file.
+
+    The table may be a file or a folder of files; a pattern as path serves both.
+    """
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    return inputs.event_lines(spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]"))
 
 
 def _run(spark: SparkSession, rows: DataFrame, name: str) -> DataFrame:
@@ -32,17 +34,17 @@ def stream_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_log_stats(spark: SparkSession, sf_dir: str, params: Params) -> DataFrame:
     out = scratch_path(spark, "stats")
-    writer = stats.upsert_writer(stats.stream_interval_report(event_stream(spark, sf_dir), params), out)
+    writer = stats.parts_writer(event_stream(spark, sf_dir), params, out)
     writer = writer.option("checkpointLocation", f"{out}-progress").trigger(availableNow=True)
     writer.start().awaitTermination()
-    rows = stats.latest_rows(spark, out)
-    times = ["window_start", "window_end", "first_seen", "last_seen"]
-    return rows.withColumns({name: F.col(name).cast("timestamp_ntz") for name in times})
+    return stats.latest_rows(spark, out)
 
 
 def stream_alerts(spark: SparkSession, sf_dir: str, params: Params) -> DataFrame:
+    """Files come in no order of time, so nothing is certain before the last of them."""
     out = scratch_path(spark, "alerts")
-    writer = alerts.alert_writer(event_stream(spark, sf_dir), params, out)
+    writer = alerts.alert_writer(event_stream(spark, sf_dir), params, out, delay="36500 days")
     writer = writer.option("checkpointLocation", f"{out}-progress").trigger(availableNow=True)
     writer.start().awaitTermination()
+    alerts.flush_alerts(spark, params, out)
     return alerts.stream_alerts(spark, out)

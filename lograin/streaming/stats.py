@@ -6,37 +6,44 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from lograin.operators.stats import interval_report
+from lograin.operators.stats import interval_parts, merged_measures, with_level
 from lograin.params import Params
 
 _KEYS = ["window_start", "window_end", "source", "message"]
 
 
-def event_time(entries: DataFrame, delay: str) -> DataFrame:
-    """Entries with a watermark; watermarks need an instant, not a local time."""
-    return entries.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
+def parts_writer(entries: DataFrame, params: Params, path: str, merge_every: int = 16) -> DataStreamWriter:
+    """Write every micro-batch's interval statistics below ``path``, for :func:`latest_rows`.
 
+    Each batch is aggregated for itself and merged on reading, so there is no
+    watermark and no entry is too late. Every ``merge_every``-th batch writes the merged
+    rows of all batches so far instead of its own, which bounds what a reader opens.
+    Folders are named by the batches they hold; a repeated batch overwrites its own.
+    """
 
-def stream_interval_report(entries: DataFrame, params: Params, delay: str = "0 seconds") -> DataFrame:
-    """``interval_report`` over a stream; late entries are dropped."""
-    return interval_report(event_time(entries, delay), params)
+    def write(rows: DataFrame, batch_id: int) -> None:
+        parts, since = interval_parts(rows, params), batch_id
+        if batch_id and batch_id % merge_every == 0:
+            earlier = _current(rows.sparkSession, path, batch_id - 1)
+            parts, since = _merged(earlier.select(*parts.columns).unionByName(parts)), 0
+        parts.write.mode("overwrite").parquet(f"{path}/since={since}/upto={batch_id}")
 
+    return entries.writeStream.foreachBatch(write)
 
-def upsert_writer(intervals: DataFrame, path: str) -> DataStreamWriter:
-    """Write every micro-batch's changed rows below ``path/batch=<id>``.
 
-    A repeated batch overwrites its own folder, so retries do no harm.
-    """
+def _merged(parts: DataFrame) -> DataFrame:
+    return parts.groupBy(*_KEYS).agg(*merged_measures())
 
-    def write(rows: DataFrame, batch_id: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    return intervals.writeStream.outputMode("update").foreachBatch(write)
+def _current(spark: SparkSession, path: str, upto: int | None = None) -> DataFrame:
+    """The last merged folder up to a batch and the batches after it."""
+    parts = spark.read.parquet(path)
+    if upto is not None:
+        parts = parts.filter(F.col("upto") <= upto)
+    base = parts.filter("since = 0").select("upto").distinct().agg(F.max("upto")).first()[0]
+    return parts.filter((F.col("since") > base) | ((F.col("since") == 0) & (F.col("upto") == base)))
 
 
 def latest_rows(spark: SparkSession, path: str) -> DataFrame:
-    """The last state of every row ``upsert_writer`` wrote."""
-    changes = spark.read.parquet(path)
-    values = [name for name in changes.columns if name not in (*_KEYS, "batch")]
-    newest = F.max_by(F.struct(*values), "batch").alias("row")
-    return changes.groupBy(*_KEYS).agg(newest).select(*_KEYS, "row.*")
+    """Statistics of every interval over all batches written so far."""
+    return with_level(_merged(_current(spark, path)))

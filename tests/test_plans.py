@@ -47,20 +47,20 @@ def test_lowered_line_is_computed_once(spark):
     assert text.count("lower(") == 1
 
 
-def test_streamed_statistics_over_batches_equal_the_batch_report(spark, tmp_path):
-    """Intervals that stay open over several micro-batches end up complete."""
-    entries = inputs.event_entries(spark, SF_DIR).orderBy("ts")
-    for month_part in range(4):
-        low = dt.datetime(2024, 1, 1) + dt.timedelta(days=8 * month_part, minutes=30)
-        high = low + dt.timedelta(days=8)
-        if month_part == 0:
-            low -= dt.timedelta(hours=1)
-        piece = entries.filter((entries.ts >= low) & (entries.ts < high))
+def test_statistics_need_no_sort(spark):
+    for name in ("log_stats", "interval_report", "daily_report", "daily_report_merged"):
+        assert "SortAggregate" not in plan(QUERIES[name](spark, SF_DIR))
+
+
+def test_streamed_statistics_lose_nothing(spark, tmp_path):
+    """Interleaved files, one per micro-batch, and a merge in between: none of them is late."""
+    entries = inputs.event_entries(spark, SF_DIR)
+    for part in range(6):
+        piece = entries.filter(entries.event_id % 6 == part)
         piece.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     feed = spark.readStream.schema(entries.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     out = str(tmp_path / "out")
-    report = streaming_stats.stream_interval_report(feed, PARAMS, delay="2 hours")
-    writer = streaming_stats.upsert_writer(report, out).option("checkpointLocation", str(tmp_path / "progress"))
+    writer = streaming_stats.parts_writer(feed, PARAMS, out, merge_every=2).option("checkpointLocation", str(tmp_path / "progress"))
     writer.trigger(availableNow=True).start().awaitTermination()
 
     def rows(df):
