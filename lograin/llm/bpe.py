@@ -230,7 +230,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, ids: bool =
             keys = batch.column("doc_id")
             for start, texts in text_slices(batch, "text"):
                 rows: list[list] = [[], [], [], []]
-                for values in cache.values_of(texts):
+                for values in map(list, cache.values_of(texts)):
                     found = list(chain.from_iterable(v[0] for v in values))
                     rows[0].append(len(found))
                     rows[1].append(hashlib.sha256(" ".join(v[1] for v in values).encode()).hexdigest())

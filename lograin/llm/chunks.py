@@ -1,9 +1,9 @@
 """Pieces of a text that no pretokenizer match crosses, so that each can be encoded on its own.
 
-The pretokenizer's pattern starts a new match wherever white space follows a
-character that isn't white space: only its white-space alternatives and a leading
-space reach over white space, and they begin there. A chunk is a run of spaces and line feeds
-with the characters up to the next run. Texts with any other white space are one chunk.
+The pretokenizer's pattern starts a new match wherever white space follows a character
+that isn't white space: only its white-space alternatives and a leading space reach
+over white space, and they begin there. A chunk is a run of spaces and line feeds with the
+characters up to the next run. Texts with any other white space are one chunk.
 """
 
 from __future__ import annotations
@@ -19,8 +19,25 @@ def chunks(text: str) -> list[str]:
     return [text] if OTHER_SPACE.search(text) else CHUNKS.findall(text)
 
 
+def _keys(text: str) -> list[str] | None:
+    """Keys of a text whose words are parted by single spaces or line feeds, else None.
+
+    A key stands for itself after a space; one that begins with a line feed or a zero
+    byte stands for its chunk as it is (without the zero byte).
+    """
+    if not text or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[0] in " \n" or text[-1] in " \n" or "\0" in text:
+        return None
+    keys = text.replace("\n", " \n").split(" ")
+    keys[0] = "\0" + keys[0]
+    return keys
+
+
+def _chunk(key: str) -> str:
+    return key[1:] if key[0] == "\0" else key if key[0] == "\n" else " " + key
+
+
 class ChunkCache(dict):
-    """Encoded chunks, at most ``limit`` of them and none of over ``longest`` characters.
+    """Encoded chunks by key, at most about ``limit`` of them and none of over ``longest`` characters.
 
     ``encode`` maps a list of chunks to their values. Full caches start over, so the
     memory is bounded whatever the vocabulary of the input.
@@ -30,14 +47,23 @@ class ChunkCache(dict):
         super().__init__()
         self.encode, self.limit, self.longest = encode, limit, longest
 
-    def values_of(self, texts: list[str]) -> list[list]:
-        """The values of each text's chunks, in order."""
-        split = [chunks(text) for text in texts]
+    def values_of(self, texts: list[str]) -> list[Iterable]:
+        """The values of each text's chunks, in order; to be read once."""
         if len(self) > self.limit:
             self.clear()
-        fresh = [c for c in set().union(*split) if c not in self]
-        more = dict(zip(fresh, self.encode(fresh))) if fresh else {}
-        self.update((c, v) for c, v in more.items() if len(c) <= self.longest)
-        if all(len(c) <= self.longest for c in more):
-            return [list(map(self.__getitem__, parts)) for parts in split]
-        return [[more[c] if c in more else self[c] for c in parts] for parts in split]
+        split = [_keys(text) for text in texts]
+        fresh = [k for k in set().union(*filter(None, split)) if k not in self]
+        other = {k for k in fresh if OTHER_SPACE.search(k)}
+        fresh = [k for k in fresh if k not in other]
+        more = dict(zip(fresh, self.encode(list(map(_chunk, fresh))))) if fresh else {}
+        long = {k: v for k, v in more.items() if len(k) > self.longest}
+        self.update(more)
+        found = [
+            self.encode(chunks(text)) if keys is None or other and not other.isdisjoint(keys) else map(self.__getitem__, keys)
+            for keys, text in zip(split, texts)
+        ]
+        if long:
+            found = list(map(list, found))
+            for key in long:
+                del self[key]
+        return found

@@ -50,6 +50,12 @@ class Table:
             freq[np.argmax(counts)] += parts - freq.sum()
         return cls.of(ids, freq)
 
+    def symbols(self) -> np.ndarray:
+        """Place of each id in the table, by id."""
+        places = np.zeros(int(self.ids.max(initial=0)) + 1, np.int32)
+        places[self.ids] = np.arange(len(self.ids))
+        return places
+
     def slots(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.ids), dtype=np.int32), self.freq.astype(np.int64))
 
@@ -67,9 +73,9 @@ def encode(blocks: list[np.ndarray], table: Table) -> list[Block]:
     """Encode blocks of ids together."""
     counts = np.array([len(b) for b in blocks], np.int64)
     steps = int(-(-counts.max() // LANES)) if len(blocks) else 0
-    symbols = np.zeros((len(blocks), steps * LANES), np.int32)
+    symbols, places = np.zeros((len(blocks), steps * LANES), np.int32), table.symbols()
     for row, ids in zip(symbols, blocks):
-        row[: len(ids)] = np.searchsorted(table.ids, ids)
+        row[: len(ids)] = places[ids]
     symbols = np.ascontiguousarray(symbols.reshape(len(blocks), steps, LANES).transpose(1, 0, 2))
     lane, full = np.arange(LANES), int(counts.min()) if len(blocks) else 0
     bits, limit = np.uint64(PRECISION), np.uint64(63 - PRECISION)
@@ -78,7 +84,7 @@ def encode(blocks: list[np.ndarray], table: Table) -> list[Block]:
     given = np.zeros(symbols.shape, bool)
     states: dict[int, np.ndarray] = {}
     for s in range(steps - 1, -1, -1):
-        freq, start = table.freq[symbols[s]], table.cum[symbols[s]]
+        freq, start = table.freq.take(symbols[s]), table.cum.take(symbols[s])
         emit = x >= freq << limit
         active = None if (s + 1) * LANES <= full else s * LANES + lane < counts[:, None]
         if active is not None:
@@ -127,18 +133,18 @@ def decode(blocks: list[Block], table: Table, slots: np.ndarray) -> list[np.ndar
     out = np.empty((steps, len(n), LANES), np.int32)
     for s in range(steps):
         slot = x & low_bits
-        out[s] = symbol = slots[slot.astype(np.int64)]
-        popped = table.freq[symbol] * (x >> bits) + slot - table.cum[symbol]
+        out[s] = symbol = slots.take(slot.view(np.int64))
+        popped = table.freq.take(symbol) * (x >> bits) + slot - table.cum.take(symbol)
         need = popped < LOW
         if (s + 1) * LANES > full:
             active = s * LANES + lane < n[:, None]
             need &= active
             popped = np.where(active, popped, x)
         taken = np.cumsum(need, axis=1)
-        word = words[np.minimum(at[:, None] + taken - 1, len(words) - 1)]
+        word = words.take(at[:, None] + taken - 1, mode="clip")
         x = np.where(need, (popped << WORD) | word, popped)
         at = at + taken[:, -1]
-    flat = table.ids[out.transpose(1, 0, 2).reshape(len(n), -1)]
+    flat = table.ids.astype(np.int32).take(out.transpose(1, 0, 2).reshape(len(n), -1))
     result, row = [], 0
     for block in blocks:
         parts = []

@@ -38,7 +38,7 @@ from lograin.session import materialize
 
 SHARD_BYTES = 8 << 20
 MIN_SHARDS, MAX_SHARDS = 32, 100_000
-BLOCKS_AT_ONCE = 32
+BLOCKS_AT_ONCE = 48
 PIECES = [("piece_doc", pa.list_(pa.int64())), ("piece_seq", pa.list_(pa.int64())), ("piece_n", pa.list_(pa.int32()))]
 PIECES_SQL = "piece_doc array<long>, piece_seq array<long>, piece_n array<int>"
 RAW = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("first", pa.int64()), ("n", pa.int32()), ("ids", pa.binary()), *PIECES])
@@ -69,13 +69,23 @@ def _cache(definition: str, width: str) -> ChunkCache:
         tokenizer = Tokenizer.from_str(definition)
         tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
 
-        def encode(parts: list[str]) -> Iterator[bytes]:
+        def ids(parts: list[str]) -> Iterator[bytes]:
             for start in range(0, len(parts), 20_000):
                 for found in tokenizer.encode_batch_fast(parts[start : start + 20_000], add_special_tokens=False):
                     yield array(width, found.ids).tobytes()
 
+        stops = dict(zip(".,", ids([".", ","])))
+
+        def encode(parts: list[str]) -> Iterator[bytes]:
+            # a stop after a letter is a match of its own, so words with and without it are encoded once
+            words = [p[:-1] if p[-1] in stops and p[-2:-1].isalpha() else p for p in parts]
+            fresh = list(set(words))
+            known = dict(zip(fresh, ids(fresh)))
+            for part, word in zip(parts, words):
+                yield known[word] if part is word else known[word] + stops[part[-1]]
+
         _WORKER.clear()
-        _WORKER[key] = ChunkCache(encode, limit=500_000)
+        _WORKER[key] = ChunkCache(encode, limit=1_200_000)
     return _WORKER[key]
 
 
