@@ -9,15 +9,19 @@ from lograin.functions.times import alert_time
 from lograin.operators.payloads import _rfc3339
 from lograin.params import Params
 
-# Webhook kinds by url prefix, and the text of a missing address.
+# Webhook kinds by url prefix, the text of a missing address, colour and
+# field titles of an embed, layout of a summary.
 WEBHOOK_PREFIXES = {"discord": "https://discord.com", "slack": "https://hooks.slack.com"}
 NO_IP = "<nil>"
 
+COLOR = 16777215
+EMBED_FIELDS = ("Errors", "Category", "Start Time", "Counts", "IP")
+SUMMARY = "```%s\nCount: %%d - Start Time: %%s - Category: %%s - IP: %%s```"
+
 # Our own wording.
 HEADLINE = "Traffic is above its limit."
 AUTHOR = "lograin"
 FOOTER = "log distillation"
-COLOR = 0xFFFFFF
 
 
 def webhook_kind(url: Column) -> Column:
@@ -44,11 +48,11 @@ def discord_payload(routed: DataFrame) -> DataFrame:
         return F.struct(F.lit(name).alias("name"), value.alias("value"), F.lit(inline).alias("inline"))
 
     fields = F.array(
-        entry("Errors", F.lit(HEADLINE), inline=False),
-        entry("Category", F.col("category")),
-        entry("Start Time", alert_time(F.col("window_start"))),
-        entry("Counts", F.col("count").cast("string")),
-        entry("IP", _ip()),
+        entry(EMBED_FIELDS[0], F.lit(HEADLINE), inline=False),
+        entry(EMBED_FIELDS[1], F.col("category")),
+        entry(EMBED_FIELDS[2], alert_time(F.col("window_start"))),
+        entry(EMBED_FIELDS[3], F.col("count").cast("string")),
+        entry(EMBED_FIELDS[4], _ip()),
     )
     embed = F.struct(
         F.col("category").alias("title"),
@@ -78,7 +82,7 @@ def slack_payload(routed: DataFrame) -> DataFrame:
         )
 
     summary = F.format_string(
-        f"```{HEADLINE}\nCount: %d - Start Time: %s - Category: %s - IP: %s```",
+        SUMMARY % HEADLINE,
         "count", alert_time(F.col("window_start")), "category", _ip(),
     )
     blocks = F.array(

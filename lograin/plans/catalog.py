@@ -228,6 +228,17 @@ def json_documents(spark, sf_dir):
     return _documents(spark, sf_dir).select("doc_id", "pos", J.json_kind(F.col("document")).alias("kind"))
 
 
+@query
+def json_values(spark, sf_dir):
+    values = files.json_values(inputs.json_texts(spark, sf_dir)).filter("fault is null")
+    return values.groupBy("doc_id", J.json_kind(F.col("value")).alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query
+def json_rejects(spark, sf_dir):
+    return files.json_rejects(inputs.json_texts(spark, sf_dir))
+
+
 @query
 def json_is_id(spark, sf_dir):
     """Identifier test of hashes, words, urls and document lines."""

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lograin.operators import reports, stats
+from lograin.operators import payloads, reports, stats
 from lograin.params import Params
 from lograin.session import materialize
 from lograin.sources import files, sinks
@@ -23,7 +24,7 @@ def distill_text(spark: SparkSession, path: str, params: Params) -> DataFrame:
 
 def distill_json(spark: SparkSession, path: str, params: Params) -> DataFrame:
     """Shape counts of the documents of JSON files; malformed texts fail the job."""
-    return stats.json_shape_counts(files.json_documents(files.json_bodies(spark, path), strict=True))
+    return stats.json_shape_counts(files.json_documents(files.json_file_bodies(spark, path)))
 
 
 # The distiller an extension selects; add entries for other kinds of files.
@@ -53,3 +54,26 @@ def distill_to_report(spark: SparkSession, path: str, out: str, params: Params,
     counts = materialize(distill_file(spark, path, params, extension).withColumns(read_at))
     lines = reports.json_report(counts) if extension in files.JSON_EXTENSIONS else reports.file_report(counts)
     sinks.write_report(lines, out)
+
+
+def distill_folder(spark: SparkSession, path: str, params: Params, on: date) -> dict[str, dict[str, DataFrame]]:
+    """Distil every file below a folder by its extension, as the distiller of that kind does.
+
+    Writes each file's report next to it, under the name :func:`sinks.report_path` gives, and
+    returns by file its statistics, its payload and the requests of the integrations.
+    An unknown extension fails before anything is written.
+    """
+    found = [row["path"] for row in spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path").collect()]
+    for file in found:
+        if file_extension(file) not in DISTILLERS:
+            raise ValueError(f"unsupported file extension: {file_extension(file)}")
+    out = {}
+    for file in sorted(found):
+        read_at = {"first_seen": F.current_timestamp(), "last_seen": F.current_timestamp()}
+        counts = materialize(distill_file(spark, file, params).withColumns(read_at))
+        is_json = file_extension(file) in files.JSON_EXTENSIONS
+        lines = reports.json_report(counts) if is_json else reports.file_report(counts)
+        sinks.write_report(lines, sinks.report_path(file, on, "normalized-json" if is_json else "normalized"))
+        out[file] = {"stats": counts, "payload": payloads.payload_formatter(params.destination)(counts, params)}
+        out[file]["outbox"] = payloads.integration_outbox(counts, params)
+    return out

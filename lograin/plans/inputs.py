@@ -49,6 +49,20 @@ def json_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), body.alias("body"))
 
 
+def json_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON texts as they come: one value, several, broken off, followed by other text, or nested deep."""
+    deep = F.concat(F.repeat(F.lit("["), 1200), F.lit("1"), F.repeat(F.lit("]"), 1200))
+    text = (
+        F.when(F.expr("event_id % 20 = 0"), F.concat(F.col("props"), F.lit(" "), F.col("props"), F.lit("[1,{}]")))
+        .when(F.expr("event_id % 20 = 1"), F.concat(F.lit('{"a":'), F.col("event_id")))
+        .when(F.expr("event_id % 20 = 2"), F.concat(F.col("props"), F.lit(" and more")))
+        .when(F.expr("event_id % 100 = 3"), deep)
+        .when(F.expr("event_id % 20 = 4"), F.concat(F.lit("[\n"), F.col("props"), F.lit(",\n"), F.col("props"), F.lit("\n]\n")))
+        .otherwise(F.col("props"))
+    )
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), text.alias("body"))
+
+
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of the documents table, in the order they stand in each text."""
     lines = F.posexplode(F.split("text", "\n")).alias("line_no", "content")

@@ -349,6 +349,15 @@ def oracle_sql() -> dict[str, str]:
           union all select strftime(report_day, '%Y-%m-%d'), {_MESSAGE} from daily""",
         "file_report": f"with {STATS} select line from ({_lines_of('stats', chr(9) + 'RESULT', _MESSAGE)})",
         "json_documents": f"with {BODIES} select doc_id, pos, {_KIND.format('json_type(doc)')} as kind from docs",
+        "json_values": """select event_id as doc_id, kind, n from events, (values ('object', 1), ('object', 2), ('array', 1)) k(kind, n)
+          where case when event_id % 20 = 0 then kind = 'array' or n = 2
+            when event_id % 20 = 4 then kind = 'array' when event_id % 20 = 1 or event_id % 100 = 3 then false
+            else kind = 'object' and n = 1 end""",
+        "json_rejects": """select event_id as doc_id,
+            case when event_id % 20 = 1 then '{"a":' || event_id when event_id % 20 = 2 then 'and more'
+              else repeat('[', 1200) || '1' || repeat(']', 1200) end as rejected,
+            case when event_id % 100 = 3 then 'nested too deep' else 'malformed' end as fault
+          from events where event_id % 20 in (1, 2) or event_id % 100 = 3""",
         "json_is_id": f"""with {DOC_LINES}, texts as (
           select unnest([md5(cast(event_id as varchar)), to_hex(event_id), event_type]) as value from events
           union all select url from pages union all select content from doc_lines)

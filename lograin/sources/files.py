@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,28 +58,95 @@ def json_bodies(spark: SparkSession, path: str | list[str], whole_files: bool =
     return texts.select(F.col("value").alias("body")).filter(F.trim(F.regexp_replace("body", r"\s", "")) != "")
 
 
-def parsed(bodies: DataFrame, strict: bool = False, body: str = "body") -> DataFrame:
-    """Add ``value``, the parsed text; malformed texts fail the job or stay NULL.
+def _listed(body: Column) -> Column:
+    return F.try_parse_json(F.concat(F.lit("["), body, F.lit("]"))).cast("array<variant>")
+
+
+def _complete(body: Column) -> Column:
+    """Whether a text is one JSON value and nothing else.
 
-    Of equal keys in one object the last one counts.
+    The parser stops after the first value without looking at what follows. Text behind it
+    either adds to the list or spoils the object it is put into.
+    """
+    boxed = F.try_parse_json(F.concat(F.lit('[{"v":'), body, F.lit("}]")))
+    return F.coalesce((F.size(_listed(body)) == 1) & boxed.isNotNull(), F.lit(False))
+
+
+def _decode(text: str) -> list[tuple[str, str | None]]:
+    """Texts of the values that follow each other in ``text``; what can't be decoded comes last, with a fault."""
+
+    def constant(name: str):
+        raise ValueError(name)
+
+    decoder, at, out = json.JSONDecoder(parse_constant=constant), 0, []
+    while True:
+        at += len(text[at:]) - len(text[at:].lstrip(" \t\r\n"))
+        if at == len(text):
+            return out
+        try:
+            _, end = decoder.raw_decode(text, at)
+        except ValueError:
+            return [*out, (text[at:], "malformed")]
+        except RecursionError:
+            return [*out, (text[at:], "nested too deep")]
+        out.append((text[at:end], None))
+        at = end
+
+
+def json_values(bodies: DataFrame, body: str = "body") -> DataFrame:
+    """Every JSON value of each text, in ``value``; what is none has its text in ``rejected`` and a ``fault``.
+
+    Texts of a single value, the usual case, stay in native code. Only others go through
+    a decoder that goes on after each value. Of equal keys in one object the last counts,
+    for which the session setting ``spark.sql.variant.allowDuplicateKeys`` is put on.
     """
     bodies.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
-    parse = F.parse_json if strict else F.try_parse_json
-    return bodies.withColumn("value", parse(F.col(body)))
+    nothing = F.lit(None).cast("string")
+    rest = [name for name in bodies.columns if name != body]
+    single = _complete(F.col(body))
+    whole = bodies.filter(single).select(
+        *rest, F.get(_listed(F.col(body)), F.lit(0)).alias("value"), nothing.alias("rejected"), nothing.alias("fault")
+    )
+    decode = F.pandas_udf(lambda texts: texts.map(_decode), "array<struct<text:string,fault:string>>")
+    parts = bodies.filter(~single).select(*rest, F.explode(decode(F.coalesce(F.col(body), F.lit("")))).alias("_part"))
+    value = F.when(F.col("_part.fault").isNull(), F.try_parse_json(F.col("_part.text")))
+    parts = parts.withColumn("value", value).select(
+        *rest, "value", F.when(F.col("value").isNull(), F.col("_part.text")).alias("rejected"),
+        F.when(F.col("value").isNull(), F.coalesce("_part.fault", F.lit("nested too deep"))).alias("fault"),
+    )
+    return whole.unionByName(parts)
 
 
-def malformed(bodies: DataFrame, body: str = "body") -> DataFrame:
-    return parsed(bodies, body=body).filter(F.col("value").isNull()).drop("value")
+def json_rejects(bodies: DataFrame, body: str = "body") -> DataFrame:
+    """Texts, or ends of texts, that are no JSON values, with the fault."""
+    return json_values(bodies, body).filter(F.col("fault").isNotNull()).drop("value")
 
 
-def json_documents(bodies: DataFrame, strict: bool = False, body: str = "body") -> DataFrame:
-    """Documents of each text: an object itself, every element of an array.
+def json_documents(bodies: DataFrame, strict: bool = True, body: str = "body") -> DataFrame:
+    """Documents of each value: an object itself, every element of an array.
 
-    Other top-level values hold no document.
+    Other top-level values hold no document. What is no JSON fails the job; with
+    ``strict`` off it is left to :func:`json_rejects`.
     """
     kind = F.schema_of_variant(F.col("value"))
     elements = F.when(kind.startswith("OBJECT"), F.array(F.col("value"))).when(
         kind.startswith("ARRAY"), F.col("value").cast("array<variant>")
     )
     rest = [name for name in bodies.columns if name != body]
-    return parsed(bodies, strict, body).select(*rest, F.posexplode(elements).alias("pos", "document"))
+    if strict:
+        message = F.concat(F.lit("not JSON ("), F.col("fault"), F.lit("): "), F.substring("rejected", 1, 200))
+        elements = F.when(F.col("fault").isNotNull(), F.raise_error(message).cast("array<variant>")).otherwise(elements)
+    return json_values(bodies, body).select(*rest, F.posexplode(elements).alias("pos", "document"))
+
+
+def json_file_bodies(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """JSON texts of files with their ``file_path``, however the values are laid out.
+
+    Files whose lines are JSON values are read by line; a file with a value that runs over
+    lines is read whole.
+    """
+    place = F.col("_metadata.file_path").alias("file_path")
+    lines = spark.read.text(path, lineSep="\n", recursiveFileLookup=True).select(F.col("value").alias("body"), place)
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.col("value").alias("body"), place)
+    broken = json_rejects(lines.filter(F.trim(F.regexp_replace("body", r"\s", "")) != "")).select("file_path").distinct()
+    return lines.join(broken, "file_path", "left_anti").unionByName(files.join(broken, "file_path", "left_semi"))

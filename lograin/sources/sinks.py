@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 from datetime import date
-from pathlib import PurePosixPath
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
@@ -21,9 +20,9 @@ def _ordered(lines: DataFrame, *leading: str) -> DataFrame:
 
 def report_path(input_path: str, on: date, suffix: str = "normalized") -> str:
     """Name of the report next to a distilled file."""
-    path = PurePosixPath(input_path)
-    name = re.sub(r"\.[^.]*$", "", path.name)
-    return str(path.with_name(f"{name}_{on:%Y-%m-%d}_{suffix}.log"))
+    folder, slash, file = input_path.rpartition("/")
+    name = re.sub(r"\.[^.]*$", "", file)
+    return f"{folder}{slash}{name}_{on:%Y-%m-%d}_{suffix}.log"
 
 
 def write_report(lines: DataFrame, path: str) -> None:

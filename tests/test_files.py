@@ -7,9 +7,9 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from lograin import Params
+from lograin import Integration, Params
 from lograin.operators import reports, stats
-from lograin.plans.distill import distill_file, distill_to_report, file_extension
+from lograin.plans.distill import distill_file, distill_folder, distill_to_report, file_extension
 from lograin.session import materialize
 from lograin.sources import files, sinks
 
@@ -62,6 +62,30 @@ def test_whole_json_files(spark, tmp_path):
     assert documents.count() == 2
 
 
+def test_distil_json_in_any_layout(spark, tmp_path):
+    """A pretty-printed array, values one after another, and lines."""
+    write(tmp_path / "in" / "a.json", '[\n  {"a":\n 1},\n  {"b": 2}\n]\n')
+    write(tmp_path / "in" / "b.json", '{"a": 1} {"a": 2}\n{\n"a": 3}\n')
+    write(tmp_path / "in" / "c.json", '{"a": 1}\n{"c": "x y"}\n')
+    rows = {row["message"]: row["count"] for row in distill_file(spark, str(tmp_path / "in"), PARAMS, ".json").collect()}
+    assert rows == {"a:<NUM>||": 5, "b:<NUM>||": 1, "c:x y||": 1}
+
+
+def test_distil_a_folder(spark, tmp_path):
+    write(tmp_path / "in" / "a.log", "error: disk 5\nerror: disk 6\n")
+    write(tmp_path / "in" / "sub" / "b.json", '{"a": 1}\n')
+    params = Params(id_log="app", integrations=(Integration("http://x", on_aggregation=True),))
+    out = distill_folder(spark, str(tmp_path / "in"), params, dt.date(2024, 3, 9))
+    assert sorted(name.rsplit("/", 1)[1] for name in out) == ["a.log", "b.json"]
+    assert "- [2] ERROR: disk * --" in lines_below(tmp_path / "in" / "a_2024-03-09_normalized.log")[3]
+    assert lines_below(tmp_path / "in" / "sub" / "b_2024-03-09_normalized-json.log")[3] == "- Data: [a:<NUM>||] - Count: [1]"
+    (text, data) = (out[name] for name in sorted(out))
+    assert text["outbox"].count() == 1 and '"origin":"file-reader"' in data["payload"].first()["body"]
+    write(tmp_path / "in" / "c.csv", "x")
+    with pytest.raises(ValueError, match="unsupported file extension"):
+        distill_folder(spark, str(tmp_path / "in"), params, dt.date(2024, 3, 9))
+
+
 def test_extensions(spark, tmp_path):
     for name, text in {"a.log": "l", "b.txt": "t", "c.json": "{}", "d.LOG": "x", "e": "y", "f.log.csv": "z"}.items():
         write(tmp_path / "in" / name, text)

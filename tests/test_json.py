@@ -10,7 +10,7 @@ from lograin.sources import files
 
 
 def documents(spark, bodies):
-    return files.json_documents(spark.createDataFrame(list(enumerate(bodies)), "no int, body string"))
+    return files.json_documents(spark.createDataFrame(list(enumerate(bodies)), "no int, body string"), strict=False)
 
 
 def shapes(spark, bodies, depth=J.DEPTH):
@@ -89,17 +89,36 @@ def test_nodes_count_every_value(spark):
     ]
 
 
-def test_malformed_texts_are_kept_apart(spark):
-    bodies = spark.createDataFrame([("{}",), ("{oops",), ("[1]",)], "body string")
-    assert [row["body"] for row in files.malformed(bodies).collect()] == ["{oops"]
+def test_every_value_of_a_text_counts(spark):
+    texts = ['{"a":1} {"b":2}', '{"a":1} garbage', "[1],[2]", '1],[2', '{"a":1},"v":2', ' \n{"x":\n 1}\n[{"y":2}] 3', "NaN", "", '{"a":1,"a":2}']
+    bodies = spark.createDataFrame(list(enumerate(texts)), "no int, body string")
+    found = [(r["no"], r["v"], r["rejected"]) for r in files.json_values(bodies).selectExpr("no", "to_json(value) as v", "rejected").collect()]
+    assert sorted(found, key=repr) == sorted(
+        [
+            (0, '{"a":1}', None), (0, '{"b":2}', None), (1, '{"a":1}', None), (1, None, "garbage"), (2, "[1]", None), (2, None, ",[2]"),
+            (3, "1", None), (3, None, "],[2"), (4, '{"a":1}', None), (4, None, ',"v":2'), (5, '{"x":1}', None), (5, '[{"y":2}]', None),
+            (5, "3", None), (6, None, "NaN"), (8, '{"a":2}', None),
+        ],
+        key=repr,
+    )
+    assert sorted(r["no"] for r in files.json_documents(bodies, strict=False).collect()) == [0, 0, 1, 2, 4, 5, 5, 8]
+
+
+def test_deep_texts_are_never_lost(spark):
+    deep = [("[" * n + "1" + "]" * n) for n in (900, 1200, 5000)]
+    bodies = spark.createDataFrame(list(enumerate(deep)), "no int, body string")
+    values = files.json_values(bodies)
+    assert values.count() == 3
+    assert {r["no"] for r in files.json_rejects(bodies).collect()} == {1, 2}
 
 
-def test_strict_parsing_fails_the_job(spark):
+def test_strict_reading_fails_the_job(spark):
     import pytest
 
-    bodies = spark.createDataFrame([("{oops",)], "body string")
-    with pytest.raises(Exception, match="MALFORMED_RECORD"):
-        files.json_documents(bodies, strict=True).collect()
+    for text in ("{oops", '{"a":1} garbage'):
+        bodies = spark.createDataFrame([(text,)], "body string")
+        with pytest.raises(Exception, match="not JSON"):
+            files.json_documents(bodies).collect()
 
 
 def test_is_id(spark):

@@ -16,7 +16,7 @@ def plan(df):
 
 
 @pytest.mark.parametrize(
-    "name", ["cluster_key", "first_ip", "log_stats", "interval_report", "daily_report", "final_report", "json_nodes"]
+    "name", ["cluster_key", "first_ip", "log_stats", "interval_report", "daily_report", "final_report"]
 )
 def test_no_python_in_batch_plans(spark, name):
     text = plan(QUERIES[name](spark, SF_DIR))
