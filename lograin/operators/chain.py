@@ -45,26 +45,22 @@ def window_starts(
     ``deadlines`` names the end of windows that were open before, per category;
     these have had their first opening already.
 
-    ``counts`` has to be materialized; its measured size decides the way. Where
-    all times of a category fit in one task they are walked there. Otherwise
-    slices span as many limits as fit in a task, and where not even one limit
-    fits, openings are looked up one by one.
+    ``counts`` has to be materialized; its measured density decides how many limits a
+    slice spans. Only where not even one limit fits in a task, openings are
+    looked up one by one.
     """
     deadlines = deadlines or {}
     slots = counts.groupBy("category", F.floor(F.col("us") / limit_us)).agg(
         F.count("*").alias("count"), F.min("us").alias("first_us")
     )
     sizes = slots.groupBy("category").agg(
-        F.max("count").alias("densest"), F.sum("count").alias("rows"), F.min("first_us").alias("first_us")
+        F.max("count").alias("densest"), F.min("first_us").alias("first_us")
     )
     # one row per category, of which there are as many as severe levels plus one
     sizes = sizes.collect()
     densest = max((row["densest"] for row in sizes), default=0)
-    rows = max((row["rows"] for row in sizes), default=0)
-    if rows <= max_group_rows:
-        starts = _starts_in_one_go(counts, limit_us, deadlines)
-    elif densest <= max_group_rows:
-        span = max(1, min(64, max_group_rows // densest))
+    if densest <= max_group_rows:
+        span = max(1, min(64, max_group_rows // max(densest, 1)))
         starts = _starts_by_slices(counts, limit_us, span, max_group_rows, deadlines)
     else:
         starts = _starts_by_hops(counts, limit_us, deadlines)
@@ -84,15 +80,6 @@ def _openings(category: str, times: np.ndarray, deadline: int, limit_us: int) ->
     return pd.DataFrame({"category": category, "start_us": np.array(found, dtype=np.int64)})
 
 
-def _starts_in_one_go(counts: DataFrame, limit_us: int, deadlines: dict[str, int]) -> DataFrame:
-    def openings(key, rows):
-        deadline = deadlines.get(key[0], _BEFORE_ALL)
-        return _openings(key[0], np.sort(rows["us"].to_numpy()), deadline, limit_us)
-
-    times = counts.select("category", "us")
-    return times.groupBy("category").applyInPandas(openings, _START)
-
-
 def _starts_by_hops(counts: DataFrame, limit_us: int, deadlines: dict[str, int]) -> DataFrame:
     """Openings found one after another, for limits too long for slices.
 

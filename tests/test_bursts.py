@@ -58,11 +58,11 @@ def opening_rows(df):
 
 
 @pytest.mark.parametrize(
-    "max_group_rows, way", [(8_000_000, "_starts_in_one_go"), (400, "_starts_by_slices"), (1, "_starts_by_hops")]
+    "max_group_rows, way", [(8_000_000, "_starts_by_slices"), (400, "_starts_by_slices"), (1, "_starts_by_hops")]
 )
 def test_openings(spark, monkeypatch, max_group_rows, way):
-    """The measured size selects the way, the openings stay the same."""
-    calls = spy(monkeypatch, "_starts_in_one_go", "_starts_by_slices", "_starts_by_hops")
+    """The measured density selects the way, the openings stay the same."""
+    calls = spy(monkeypatch, "_starts_by_slices", "_starts_by_hops")
     limit, sizes = 10 * SECOND, [1, 2, 5, 40, 400, 1500] * 3 if max_group_rows > 1 else [1, 5, 30, 2]
     cases, counts, expected = chain_cases(spark, limit, sizes)
     found = window_starts(counts, limit, max_group_rows)
@@ -82,7 +82,7 @@ def test_composed_slices(spark, monkeypatch, span, max_rows, levels):
     assert calls["_entry_deadlines"] >= levels
 
 
-@pytest.mark.parametrize("way", ["one_go", "slices", "composed", "hops"])
+@pytest.mark.parametrize("way", ["slices", "composed", "hops"])
 def test_chain_goes_on_from_open_windows(spark, way):
     limit = 10 * SECOND
     cases, _, expected = chain_cases(spark, limit, [2, 30, 60, 400])
@@ -91,9 +91,7 @@ def test_chain_goes_on_from_open_windows(spark, way):
     opened = {name: [us for case, us in expected if case == name and us < halves[name][len(halves[name]) // 2]] for name in cases}
     deadlines = {name: found[-1] + limit for name, found in opened.items() if name != "case0"}
     counts = materialize(spark.createDataFrame(later, "category string, us long"))
-    if way == "one_go":
-        found = chain._starts_in_one_go(counts, limit, deadlines)
-    elif way == "hops":
+    if way == "hops":
         found = chain._starts_by_hops(counts.filter("category <> 'case3'"), limit, deadlines)
     else:
         found = chain._starts_by_slices(counts, limit, 2, 10**6 if way == "slices" else 5, deadlines)
