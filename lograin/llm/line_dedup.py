@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from lograin.llm.bpe import text_slices
 from lograin.llm.chosen_path import _streamed
 from lograin.llm.idmap import id_map, split_by_map, thin
-from lograin.session import materialize
+from lograin.session import discard, materialize
 
 MOST = 2
 #: Characters a line needs for each edit it may differ by.
@@ -282,7 +282,10 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     )
     first = F.struct("at", "line_no") == F.col("first")
     whole = lines.join(judged, (F.col("line") == F.col("of")) & (F.col("mark") == F.col("of_mark")))
-    return whole.filter(~first | F.col("near")).select("at", "line_no", (first & F.col("near")).alias("near"))
+    gone = materialize(whole.filter(~first | F.col("near")).select("at", "line_no", (first & F.col("near")).alias("near")))
+    for used in (lines, firsts, members, grouped, classes, near):
+        discard(used)
+    return gone
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
