@@ -7,8 +7,8 @@ by length, over the whole text and over the windows where it is largest (a long
 in one place); a logistic curve turns it into a score.
 
 Counts are numbers of distinct labelled texts, over all of them. The model that goes to
-the scoring tasks has a fixed size: :data:`WORDS` words and :data:`PAIRS` word pairs, the
-most frequent ones. The curve is fitted on at most :data:`CURVE_ROWS` labelled texts that
+the scoring tasks has a fixed size: at most :data:`WORDS` words and :data:`PAIRS` word
+pairs, the most frequent ones. The curve is fitted on at most :data:`CURVE_ROWS` labelled texts that
 the counts leave out.
 
 Defined cases: null and empty texts have no evidence and get the score of a ratio of zero;
@@ -30,11 +30,11 @@ from pyspark.sql import functions as F
 from lograin.llm import logistic
 from lograin.llm.idmap import id_map, thin
 from lograin.llm.words import WordHashes
-from lograin.session import materialize
+from lograin.session import discard, materialize
 
 RARE = 5
-WORD_BITS = 18
-WORDS, PAIRS = 1 << WORD_BITS, 1 << 20
+WORD_BITS = 17
+WORDS, PAIRS = 1 << WORD_BITS, 1 << 18
 WINDOWS = (1, 4, 16, 64)
 CURVE_PART, CURVE_ROWS = 5, 20_000
 COUNTS = "key long, toxic long, ordinary long"
@@ -124,9 +124,19 @@ def _summed(train: DataFrame, keys_of) -> DataFrame:
 
 
 def _frequent(counts: DataFrame, most: int) -> np.ndarray:
-    """Rows (key, toxic, ordinary) of the ``most`` frequent keys, sorted by key."""
+    """Rows (key, toxic, ordinary) of the frequent keys, at most ``most``, sorted by key.
+
+    The least frequency to be kept comes from a histogram of frequencies, so nothing is sorted.
+    """
     total = F.col("toxic") + F.col("ordinary")
-    rows = counts.filter(total >= RARE).orderBy(total.desc(), "key").limit(most).toPandas()
+    # frequencies from 1,024 on share a row
+    sizes = counts.filter(total >= RARE).groupBy(F.least(total, F.lit(1024)).alias("total")).agg(F.count("*").alias("n")).collect()
+    least, held = RARE, sum(r["n"] for r in sizes)
+    for row in sorted(sizes, key=lambda r: r["total"]):
+        if held > most:
+            least, held = row["total"] + 1, held - row["n"]
+    kept = counts.filter(total >= least)
+    rows = (kept.limit(most) if least > 1024 else kept).toPandas()
     return rows.sort_values("key").to_numpy(np.int64).reshape(-1, 3)
 
 
@@ -137,7 +147,9 @@ def _discount(ones: float, twos: float) -> float:
 def count_models(train: DataFrame) -> Model:
     """Both models from (text, label) rows."""
     unigrams = materialize(_summed(train, lambda hashes: np.unique(hashes).view(np.int64)))
+    singles = unigrams.agg(*[F.sum((F.col(c) == n).cast("long")) for c in ("toxic", "ordinary") for n in (1, 2)]).first()
     frequent = _frequent(unigrams, WORDS)
+    discard(unigrams)
     words = frequent[:, 0].view(np.uint64)
     order = np.argsort(words)
     words, counts = words[order], frequent[order, 1:].astype(float)
@@ -155,8 +167,8 @@ def count_models(train: DataFrame) -> Model:
     continued = by_word(F.col("key").bitwiseAND(WORDS - 1))[:, 4]
     shared = (continued + 1) / (continued.sum() + len(words) + 1)
     kinds = pairs.agg(*[F.sum((F.col(c) == n).cast("long")) for c in ("toxic", "ordinary") for n in (1, 2)]).first()
-    singles = unigrams.agg(*[F.sum((F.col(c) == n).cast("long")) for c in ("toxic", "ordinary") for n in (1, 2)]).first()
     best = _frequent(pairs, PAIRS)
+    discard(pairs)
     first, second = best[:, 0] >> WORD_BITS, best[:, 0] & (WORDS - 1)
     single, pair, back = [], [], []
     for c in range(2):
@@ -200,7 +212,8 @@ def training_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
         .groupBy("mark", "label").agg(F.min("doc_id").alias("of"))
     )
     texts = thin(docs.select("doc_id", "text"), "doc_id", id_map(wanted, "of"))
-    joined = texts.join(wanted, F.col("doc_id") == F.col("of")).filter(F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("mark"))
+    # merged at every size: the labels have no bound that would allow to broadcast them
+    joined = texts.join(wanted.hint("merge"), F.col("doc_id") == F.col("of")).filter(F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("mark"))
     part = F.pmod(F.xxhash64("mark", F.lit("part")), F.lit(CURVE_PART)).cast("int").alias("part")
     return materialize(joined.select("text", F.col("label").cast("int").alias("label"), part, "mark"), "zstd")
 
@@ -223,4 +236,5 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
         weights, intercept = np.eye(1 + len(WINDOWS))[0], float(np.log(kinds[1] / kinds[0]))
     else:
         weights, intercept = logistic.fit(rows[:, 1:], rows[:, 0])
+    discard(train)
     return texts.mapInArrow(_scored(model, weights, intercept), "doc_id long, score double")
