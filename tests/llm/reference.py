@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import zlib
 from collections import defaultdict
 
@@ -74,6 +75,60 @@ def kept_lines(docs):
     return out
 
 
+def kneser_ney(rows, rare):
+    """Ratios of a text's words by two bigram models of (text, label) rows, without any bound."""
+    cut = lambda text: text.encode().lower().split()
+    words, pairs = (defaultdict(lambda: [0, 0]) for _ in range(2))
+    for text, label in rows:
+        own = cut(text)
+        for table, keys in ((words, own), (pairs, zip(own, own[1:]))):
+            for key in set(keys):
+                table[key][1 - label] += 1
+    known = {w: n for w, n in words.items() if sum(n) >= rare}
+    inside, kinds, continued = defaultdict(lambda: [0, 0]), defaultdict(lambda: [0, 0]), defaultdict(int)
+    for (a, b), n in pairs.items():
+        continued[b] += 1
+        for c in range(2):
+            inside[a][c] += n[c]
+            kinds[a][c] += n[c] > 0
+    lowest = sum(continued[w] for w in known) + len(known) + 1
+
+    def discount(table, c):
+        ones, twos = (sum(n[c] == k for n in table.values()) for k in (1, 2))
+        return ones / (ones + 2 * twos) if ones and twos else 0.75
+
+    def own(w, c):
+        d, total = discounts[0][c], max(sum(n[c] for n in known.values()), 1)
+        types = sum(n[c] > 0 for n in known.values())
+        return max(known[w][c] - d, 0) / total + max(d * types / total, 1e-3) * (continued[w] + 1) / lowest
+
+    def left(w, c):
+        return max(discounts[1][c] * kinds[w][c] / inside[w][c], 1e-3) if inside[w][c] else 1.0
+
+    def pair(a, b, c):
+        return max(pairs[a, b][c] - discounts[1][c], 0) / max(inside[a][c], 1) + left(a, c) * own(b, c)
+
+    discounts = [[discount(table, c) for c in range(2)] for table in (words, pairs)]
+    ratio = lambda f, *at: math.log(f(*at, 0)) - math.log(f(*at, 1))
+    alone = {w: ratio(own, w) for w in known}
+
+    def ratios(text):
+        found, before = [], None
+        for w in cut(text):
+            if w not in known:
+                found.append(0.0)
+            elif before not in known:
+                found.append(alone[w])
+            elif sum(pairs.get((before, w), (0, 0))) >= rare:
+                found.append(ratio(pair, before, w))
+            else:
+                found.append(alone[w] + ratio(left, before))
+            before = w
+        return found
+
+    return ratios
+
+
 def best(vectors, k, every, scale=64):
     import math
 

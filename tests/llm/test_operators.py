@@ -93,6 +93,29 @@ def test_toxic_words_raise_the_ratio():
     assert model.evidence(hashes.of("unknown words"))[0] == 0.0
 
 
+def test_models_keep_every_word_and_pair(spark):
+    filler = " ".join(f"w{i}" for i in range(140_000))
+    rows = [(f"{filler} own{i}", 0) for i in range(6)] + [(f"rare vile words {i}", 1) for i in range(5)] + [(f"rare good words {i}", 0) for i in range(5)]
+    shards = toxicity.count_models(spark.createDataFrame(rows, "text string, label int"))
+    hashes = toxicity._hashes().of("rare vile good w139999")
+    model = shards.model([hashes])
+    assert sorted(model.words) == sorted(hashes)
+    assert len(model.pairs) == 1 and len(shards.model([toxicity._hashes().of(filler)]).pairs) == 139_999
+    assert model.ratios(hashes)[1] > 0 > model.ratios(hashes)[2]
+
+
+def test_models_equal_plain_ones_in_any_number_of_shards(spark, documents, monkeypatch):
+    rows = [(text, i % 2) for i, (_, text) in enumerate(documents) if text][:60]
+    expected = reference.kneser_ney(rows, toxicity.RARE)
+    for size in (60, 1 << 18):
+        monkeypatch.setattr(toxicity, "SHARD", size)
+        shards = toxicity.count_models(spark.createDataFrame(rows, "text string, label int"))
+        assert (len(shards.words) > 1) == (size == 60)
+        for text, _ in rows[:20]:
+            hashes = toxicity._hashes().of(text)
+            assert np.allclose(shards.model([hashes]).ratios(hashes), expected(text))
+
+
 # --- 2 mixing ------------------------------------------------------------------
 
 
