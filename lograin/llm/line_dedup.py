@@ -18,9 +18,9 @@ holds one row per different key, and groups of lines over a tile are dealt to pa
 tiles, so a frequent segment is not one task's. Comparisons return at most one row per line.
 
 Defined cases: null and empty texts have no lines and stay; blank lines are never compared and
-never go; texts are cut at line feeds only; null ids come last and count as one document,
-as do rows repeating an id: their equal lines at equal places stay or go together;
-an empty table gives no rows. Other columns pass through.
+never go; texts are cut at line feeds only; null ids come last; rows that share an id, or have none,
+are documents of their own in the order of a hash of their text, and of rows that repeat id and text
+one stands first and the others lose their lines as equal; an empty table gives no rows. Other columns pass through.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lograin.llm.bpe import text_slices
@@ -237,18 +237,34 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([table.column(c).combine_chunks().take(rows) for c in ("line", "mark")], names=["line", "mark"])
 
 
+def _at() -> Column:
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
+
+
+def _own() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+def _blank(line: Column) -> Column:
+    return F.trim(F.regexp_replace(line, r"^\s+", "")) == ""
+
+
 def _lines(docs: DataFrame, *more: Column) -> DataFrame:
-    """(at, line_no, line, mark, text) of all lines that aren't blank."""
-    cut = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("at"), F.posexplode(F.split("text", "\n")).alias("line_no", "text"))
-    own = cut.filter(F.trim(F.regexp_replace("text", r"^\s+", "")) != "")
-    return own.select("at", "line_no", F.xxhash64("text").alias("line"), F.crc32(F.col("text").cast("binary")).alias("mark"), *more)
+    """(at, own, line_no, line, mark, text) of all lines that aren't blank."""
+    cut = docs.select(_at().alias("at"), _own().alias("own"), F.posexplode(F.split("text", "\n")).alias("line_no", "text"))
+    kept = cut.filter(~_blank(F.col("text")))
+    return kept.select("at", "own", "line_no", F.xxhash64("text").alias("line"), F.crc32(F.col("text").cast("binary")).alias("mark"), *more)
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
-    """(at, line_no, near) of every line that goes; ``at`` is the id, the largest long for null."""
+    """(at, own, line_no, near) of every line that goes.
+
+    ``at`` is the id, the largest long for null, ``own`` the hash of the text. Rows that
+    repeat both are judged as the first of them.
+    """
     texts = docs.select("doc_id", "text")
     lines = materialize(_lines(texts))
-    firsts = materialize(lines.groupBy("line", "mark").agg(F.min(F.struct("at", "line_no")).alias("first")))
+    firsts = materialize(lines.groupBy("line", "mark").agg(F.min(F.struct("at", "own", "line_no")).alias("first")))
 
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(64, -(-size // (16 << 20)))
@@ -269,10 +285,10 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     needed = id_map(grouped.select("even"), "even")
     classes = thin(firsts.withColumn("even", even), "even", needed).join(grouped.select("even").distinct(), "even", "left_semi")
     classes = materialize(classes.select("even", "line", "mark", "first.*"))
-    found = thin(_lines(thin(texts, "doc_id", id_map(classes, "at")), "text").withColumn("even", even), "even", needed)
-    found = found.join(classes, ["even", "line", "mark", "at", "line_no"]).dropDuplicates(["line", "mark"])
+    found = thin(_lines(split_by_map(texts, _at(), id_map(classes, "at"))[0], "text").withColumn("even", even), "even", needed)
+    found = found.join(classes, ["even", "line", "mark", "at", "own", "line_no"]).dropDuplicates(["line", "mark"])
     met = grouped.join(found, "even").withColumn("place", F.xxhash64("key", "part"))
-    met = met.repartition("place").sortWithinPartitions("key", "part", "at", "line_no", "mark")
+    met = met.repartition("place").sortWithinPartitions("key", "part", "at", "own", "line_no", "mark")
     near = met.select("key", "part", "line", "mark", "text").mapInArrow(_verify, "line long, mark long").distinct()
     near = materialize(near.select(F.col("line").alias("near_line"), F.col("mark").alias("near_mark")))
 
@@ -280,9 +296,9 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     judged = firsts.join(near, equal, "left").select(
         F.col("line").alias("of"), F.col("mark").alias("of_mark"), "first", F.col("near_line").isNotNull().alias("near")
     )
-    first = F.struct("at", "line_no") == F.col("first")
+    first = F.struct("at", "own", "line_no") == F.col("first")
     whole = lines.join(judged, (F.col("line") == F.col("of")) & (F.col("mark") == F.col("of_mark")))
-    gone = materialize(whole.filter(~first | F.col("near")).select("at", "line_no", (first & F.col("near")).alias("near")))
+    gone = materialize(whole.filter(~first | F.col("near")).select("at", "own", "line_no", (first & F.col("near")).alias("near")))
     for used in (lines, firsts, members, grouped, classes, near):
         discard(used)
     return gone
@@ -294,20 +310,33 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     ``text`` is the text left; columns n_lines, n_equal and n_near count its lines and those
     that went as equal to an earlier line or as near one. The other columns are those of ``docs``.
     """
-    gone = dropped_lines(docs).groupBy("at").agg(
-        F.collect_set("line_no").alias("_gone"), F.sum((~F.col("near")).cast("long")).alias("_equal"), F.sum(F.col("near").cast("long")).alias("_near")
+    near, row = F.col("near"), F.xxhash64("_at", "_own")
+    gone = dropped_lines(docs).groupBy(F.col("at").alias("_at"), F.col("own").alias("_own")).agg(
+        F.collect_set(F.when(~near, F.col("line_no"))).alias("_same"), F.collect_set(F.when(near, F.col("line_no"))).alias("_close")
     )
-    gone = materialize(gone).withColumnRenamed("at", "_at")
-    at = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
-    touched, others = split_by_map(docs, at, id_map(gone, "_at"))
-    joined = touched.join(gone, at == F.col("_at"), "left")
-    nothing = {"_gone": F.lit(None).cast("array<int>"), "_equal": F.lit(None).cast("long"), "_near": F.lit(None).cast("long")}
-    both = joined.drop("_at").unionByName(others.withColumns(nothing))
+    rows = docs.select(_at().alias("_at"), _own().alias("_own")).groupBy("_at", "_own").agg(F.count("*").alias("_rows"))
+    # merged at every size: neither side has a bound
+    judged = gone.join(rows.filter("_rows > 1").hint("merge"), ["_at", "_own"], "full").withColumn("_row", row)
+    judged = materialize(judged)
+    touched, others = split_by_map(docs, F.xxhash64(_at(), _own()), id_map(judged, "_row"))
+    joined = touched.join(judged.drop("_row").hint("merge"), (_at() == F.col("_at")) & (_own() == F.col("_own")), "left")
+    once, repeated = joined.filter("_rows is null"), joined.filter("_rows is not null")
+    number = F.row_number().over(Window.partitionBy("_at", "_own").orderBy("_at"))
+    counts = {"_equal": F.coalesce(F.size("_same"), F.lit(0)).cast("long"), "_near": F.coalesce(F.size("_close"), F.lit(0)).cast("long")}
+    counts["_gone"] = F.concat("_same", "_close")
+    once = once.withColumns(counts).withColumn("_copy", F.lit(False))
+    repeated = repeated.withColumns(counts).withColumn("_copy", number > 1)
+    nothing = {"_gone": F.lit(None).cast("array<int>"), "_equal": F.lit(0).cast("long"), "_near": F.lit(0).cast("long"), "_copy": F.lit(False)}
+    drop = ("_at", "_own", "_same", "_close", "_rows")
+    both = once.drop(*drop).unionByName(repeated.drop(*drop)).unionByName(others.withColumns(nothing))
     lines = F.split("text", "\n")
     left = F.filter(lines, lambda line, i: ~F.array_contains("_gone", i))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
+    blank = F.filter(lines, _blank)
+    text = F.when(F.col("_copy"), F.array_join(blank, "\n")).when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
+    equal = F.when(F.col("_copy"), F.coalesce(F.size(lines) - F.size(blank), F.lit(0)).cast("long")).otherwise(F.col("_equal"))
+    close = F.when(F.col("_copy"), F.lit(0).cast("long")).otherwise(F.col("_near"))
     counted = both.withColumns({"n_lines": F.coalesce(F.when(F.col("text") == "", 0).otherwise(F.size(lines)), F.lit(0)).cast("long"), "_left": text})
     return counted.select(
         *[F.col("_left").alias("text") if c == "text" else F.col(c) for c in docs.columns if c not in ("n_lines", "n_equal", "n_near")],
-        "n_lines", F.coalesce("_equal", F.lit(0)).alias("n_equal"), F.coalesce("_near", F.lit(0)).alias("n_near"),
+        "n_lines", equal.alias("n_equal"), close.alias("n_near"),
     )

@@ -294,6 +294,21 @@ def test_near_lines(spark, awkward, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+def test_lines_of_rows_without_an_id_of_their_own(spark):
+    base = "a line of text that is long enough for two edits"
+    texts = [f"first {base}\nunique line of row {i} {'z' * 5 * i}\n{base}{'!' * (i % 3)}" for i in range(6)] + [f"x\n{base}\nanother"] * 3 + ["", None, " \n "]
+    rows = [(doc, text) for doc in (None, 4) for text in texts]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    keyed = sorted(
+        ((r["doc_id"] is None, r["doc_id"] or 0, r["own"], r["text"] or "", r["text"], r["doc_id"]) for r in docs.withColumn("own", line_dedup._own()).collect()), key=lambda k: k[:4]
+    )
+    expected = reference.kept_lines([(i, k[4]) for i, k in enumerate(keyed)])
+    # null texts stay null
+    want = [(k[5], n, e, c, None if k[4] is None else t) for k, (n, e, c, t) in zip(keyed, (expected[i] for i in range(len(keyed))))]
+    got = line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_equal", "n_near", "text")
+    assert found(got, *got.columns) == sorted(want, key=repr)
+
+
 def test_banded_distance():
     rng = np.random.default_rng(2)
     texts = ["".join(rng.choice(list("ab"), rng.integers(0, 12))) for _ in range(80)]
