@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lograin.llm import bpe, chosen_path, cuckoo, line_dedup, mixing, rules, sharding, token_files, topk, toxicity
+from lograin.llm import bpe, centroids, chosen_path, cuckoo, licenses, line_dedup, mixing, prefix_trie, rules, sharding, token_files, topk, toxicity
+from lograin.llm.sql import LICENSES_SQL, PREFIX_TRIE_SQL, centroids_sql
 from lograin.session import scratch_path
 
 
@@ -72,6 +73,18 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cuckoo.exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(_table(spark, sf_dir, "embeddings"), k=16, rounds=3, dims=64, scale=64).drop("measured")
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(_table(spark, sf_dir, "conversations"), block=20, heads=4)
+
+
+def op13_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_mixing": op2_mixing,
@@ -83,6 +96,9 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_near_dedup": op9_near_dedup,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_centroids": op11_centroids,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_licenses": op13_licenses,
 }
 
 OP4_SQL = """
@@ -115,4 +131,7 @@ window same as (partition by plain)
 ORACLES = {
     "op4_topk": OP4_SQL,
     "op10_exact_dedup": OP10_SQL,
+    "op11_centroids": centroids_sql(),
+    "op12_prefix_trie": PREFIX_TRIE_SQL,
+    "op13_licenses": LICENSES_SQL,
 }
