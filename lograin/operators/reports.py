@@ -75,11 +75,11 @@ def daily_lines(daily: DataFrame, params: Params) -> DataFrame:
     return body.unionByName(frames.select(*lines.columns))
 
 
-def file_report(stats: DataFrame) -> DataFrame:
-    """Lines of the report on one distilled log file."""
-    return _lines(stats, [], FILE_TITLE, _message_line())
+def file_report(stats: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Lines of the report on a distilled log file, or of one for each of ``keys``."""
+    return _lines(stats, list(keys), FILE_TITLE, _message_line())
 
 
-def json_report(counts: DataFrame) -> DataFrame:
-    """Lines of the report on one distilled JSON file."""
-    return _lines(counts, [], FILE_TITLE, F.format_string(SHAPE_LINE, "message", "count"))
+def json_report(counts: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Lines of the report on a distilled JSON file, or of one for each of ``keys``."""
+    return _lines(counts, list(keys), FILE_TITLE, F.format_string(SHAPE_LINE, "message", "count"))

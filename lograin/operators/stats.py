@@ -73,26 +73,21 @@ def log_stats(entries: DataFrame, params: Params) -> DataFrame:
     return with_level(with_message(entries, params).groupBy("source", "message").agg(*partial_measures()))
 
 
-def file_stats(entries: DataFrame, params: Params) -> DataFrame:
+def file_stats(entries: DataFrame, params: Params, keys: tuple[str, ...] = ()) -> DataFrame:
     """Counts of lines read from files, which carry no time of their own."""
-    return with_message(entries, params).groupBy("source", "message").agg(F.count("*").alias("count"))
+    return with_message(entries, params).groupBy(*keys, "source", "message").agg(F.count("*").alias("count"))
 
 
 def nonempty_shape(documents: DataFrame) -> DataFrame:
-    """Documents that have a fingerprint.
-
-    A plain filter would be pushed below the fingerprint and compute it twice,
-    so an empty one generates no row instead.
-    """
-    shape = F.explode(F.when(F.col("shape") != "", F.array("shape"))).alias("shape")
-    return documents.select(*[name for name in documents.columns if name != "shape"], shape)
+    """Documents that have a fingerprint."""
+    return documents.filter("shape <> ''")
 
 
-def json_shape_counts(documents: DataFrame) -> DataFrame:
+def json_shape_counts(documents: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """Documents per fingerprint; documents without one do not count."""
-    shapes = nonempty_shape(with_shape(documents))
-    counts = shapes.groupBy(F.col("shape").alias("message")).agg(F.count("*").alias("count"))
-    return counts.select(F.lit(FILE_SOURCE).alias("source"), "message", "count")
+    shapes = nonempty_shape(with_shape(documents.select(*keys, "document")))
+    counts = shapes.groupBy(*keys, F.col("shape").alias("message")).agg(F.count("*").alias("count"))
+    return counts.select(*keys, F.lit(FILE_SOURCE).alias("source"), "message", "count")
 
 
 def interval_parts(entries: DataFrame, params: Params) -> DataFrame:

@@ -14,9 +14,9 @@ from lograin.operators import notify, payloads, reports, stats
 from lograin.operators.bursts import Bursts
 from lograin.params import Integration, Params
 from lograin.plans import inputs
-from lograin.plans.distill import distill_file
+from lograin.plans.distill import distill_file, distill_folder
 from lograin.session import materialize, scratch_path
-from lograin.sources import files, sinks
+from lograin.sources import files, json_stream as json_stream_, sinks
 from lograin.sources.entries import file_entries
 from lograin.streaming import queries as streams
 
@@ -216,6 +216,24 @@ def file_distiller(spark, sf_dir):
     return distill_file(spark, path, PARAMS, extension=".txt").select("source", "message", "count")
 
 
+def _mixed_folder(spark: SparkSession, sf_dir: str) -> str:
+    """Document lines as text files and laid-out events as JSON files, in one folder."""
+    path = scratch_path(spark, "folder")
+    inputs.table(spark, sf_dir, "documents").select("text").write.text(f"{path}/logs", lineSep="\n")
+    bodies = inputs.pretty_bodies(spark, sf_dir).repartition(3, "event_id").select("body")
+    # texts that run over lines, in files of the extension that selects the JSON distiller
+    bodies.write.text(f"{path}/data", lineSep="\n")
+    sinks.rename_files(spark, f"{path}/data", ".json")
+    return path
+
+
+@query
+def folder_distiller(spark, sf_dir):
+    """Statistics of all files of a folder, each by its extension."""
+    counts = distill_folder(spark, _mixed_folder(spark, sf_dir), PARAMS)
+    return counts.groupBy("kind", "source", "message").agg(F.sum("count").alias("count"))
+
+
 # --- JSON ------------------------------------------------------------------
 
 
@@ -239,6 +257,15 @@ def json_rejects(spark, sf_dir):
     return files.json_rejects(inputs.json_texts(spark, sf_dir))
 
 
+@query
+def json_stream(spark, sf_dir):
+    """Nodes of the documents of files whose values run over lines, splits and chunks."""
+    path = scratch_path(spark, "stream")
+    inputs.pretty_bodies(spark, sf_dir).repartition(3, "event_id").select("body").write.text(path, lineSep="\n")
+    documents = json_stream_.stream_documents(spark, path, limit=1 << 16)
+    return J.json_nodes(documents.select("document")).groupBy("path", "kind", "value").agg(F.count("*").alias("n"))
+
+
 @query
 def json_is_id(spark, sf_dir):
     """Identifier test of hashes, words, urls and document lines."""

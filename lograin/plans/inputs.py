@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lograin.session import prepare
 from lograin.sources.entries import log_entries
 
 ID_LOG = "app"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def event_lines(events: DataFrame) -> DataFrame:
@@ -63,6 +64,17 @@ def json_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), text.alias("body"))
 
 
+def pretty_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event as a JSON text laid out over lines: an object, or an array of two."""
+    item = F.concat(
+        F.lit('{\n  "type" : "'), F.col("event_type"), F.lit('",\n  "note": "a }],[{ b \\" c\\\\",\n  "props":\n    '),
+        F.col("props"), F.lit("\n}"),
+    )
+    pair = F.concat(F.lit("[\n"), item, F.lit(" ,\n"), F.col("event_id"), F.lit("\n]\n"))
+    body = F.when(F.col("event_id") % 3 == 0, pair).otherwise(item)
+    return table(spark, sf_dir, "events").select("event_id", body.alias("body"))
+
+
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of the documents table, in the order they stand in each text."""
     lines = F.posexplode(F.split("text", "\n")).alias("line_no", "content")

@@ -194,10 +194,16 @@ def _is_id(text: str) -> str:
 
 _KIND = """case {} when 'OBJECT' then 'object' when 'ARRAY' then 'array' when 'VARCHAR' then 'string'
   when 'BOOLEAN' then 'boolean' when 'NULL' then 'null' else 'number' end"""
-NODES = f"""{BODIES}, nodes as (
+_TREE = f"""nodes as (
   select d.doc_id, d.pos, t.id, t.parent, t.key, t.fullkey, {_KIND.format('t.type')} as kind,
     t.atom ->> '$' as value, length(t.fullkey) - length(translate(t.fullkey, '.[', '')) as depth
   from docs d, json_tree(d.doc) t)"""
+NODES = f"{BODIES}, {_TREE}"
+
+_ITEM = """json('{"type":"' || event_type || '","note":"a }],[{ b \\" c\\\\","props":' || props || '}')"""
+PRETTY = f"""docs as (
+  select event_id as doc_id, 0 as pos, {_ITEM} as doc from events
+  union all select event_id, 1, json(cast(event_id as varchar)) from events where event_id % 3 = 0), {_TREE}"""
 
 
 def _shapes(depth: int = 4) -> str:
@@ -218,8 +224,9 @@ def _shapes(depth: int = 4) -> str:
 
 
 SHAPES = f"{NODES}, {_shapes()}"
-SHAPE_COUNTS = f"""{SHAPES}, counts as (
+_COUNTS = """counts as (
   select 'file-reader' as source, shape as message, count(*) as count from s0 where shape <> '' group by shape)"""
+SHAPE_COUNTS = f"{SHAPES}, {_COUNTS}"
 
 # --- bursts ------------------------------------------------------------------
 
@@ -328,6 +335,9 @@ def oracle_sql() -> dict[str, str]:
           from doc_lines group by 2""",
         "file_distiller": f"""with {DOC_LINES} select 'file-reader' as source, {_key('content')} as message, count(*) as count
           from doc_lines group by 2""",
+        "folder_distiller": f"""with {DOC_LINES}, {PRETTY}, {_shapes()}, {_COUNTS}
+          select 'json' as kind, * from counts
+          union all select 'text', 'file-reader', {_key('content')}, count(*) from doc_lines group by 3""",
         "interval_report": f"with {INTERVALS} select {interval_columns} from intervals",
         "stream_log_stats": f"with {INTERVALS} select {interval_columns} from intervals",
         "daily_report": f"with {DAILY} select {interval_columns}, report_day from daily",
@@ -358,6 +368,7 @@ def oracle_sql() -> dict[str, str]:
               else repeat('[', 1200) || '1' || repeat(']', 1200) end as rejected,
             case when event_id % 100 = 3 then 'nested too deep' else 'malformed' end as fault
           from events where event_id % 20 in (1, 2) or event_id % 100 = 3""",
+        "json_stream": f"with {PRETTY} select fullkey as path, kind, value, count(*) as n from nodes group by all",
         "json_is_id": f"""with {DOC_LINES}, texts as (
           select unnest([md5(cast(event_id as varchar)), to_hex(event_id), event_type]) as value from events
           union all select url from pages union all select content from doc_lines)

@@ -8,6 +8,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+def prepare(spark: SparkSession) -> SparkSession:
+    """Settings that results depend on: UTC, and the last of equal keys of a JSON object counts."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    return spark
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The checkpoint folder the cluster names in ``spark.checkpoint.dir``.
 

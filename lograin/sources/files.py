@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,27 +27,32 @@ def extension(file_name: Column) -> Column:
     return F.regexp_extract(file_name, r"\.[^.]*$", 0)
 
 
-def lines_by_extension(spark: SparkSession, path: str | list[str], strict: bool = True) -> DataFrame:
+def kind_of(extension: Column, strict: bool = True) -> Column:
+    """``text`` or ``json``; other extensions fail the job, or are ``rejected`` when ``strict`` is off."""
+    unknown = F.lit("rejected")
+    if strict:
+        message = F.concat(F.lit("unsupported file extension: "), extension)
+        unknown = F.raise_error(message).cast("string")
+    return F.when(extension.isin(*TEXT_EXTENSIONS), "text").when(extension.isin(*JSON_EXTENSIONS), "json").otherwise(unknown)
+
+
+def named(extensions: tuple[str, ...]) -> str:
+    """A glob pattern of file names with one of ``extensions``."""
+    return "*{" + ",".join(extensions) + "}"
+
+
+def lines_by_extension(spark: SparkSession, path: str | list[str], strict: bool = True, pattern: str | None = None) -> DataFrame:
     """Every line below ``path`` with the kind its file's extension selects.
 
     Other extensions fail the job, or become rows of kind ``rejected`` when
     ``strict`` is off.
     """
-    lines = spark.read.text(path, lineSep="\n", recursiveFileLookup=True).select(
+    lines = spark.read.text(path, lineSep="\n", recursiveFileLookup=True, pathGlobFilter=pattern).select(
         F.col("_metadata.file_path").alias("file_path"),
         extension(F.col("_metadata.file_name")).alias("extension"),
         _without_cr(F.col("value")).alias("content"),
     )
-    unknown = F.lit("rejected")
-    if strict:
-        message = F.concat(F.lit("unsupported file extension: "), F.col("extension"))
-        unknown = F.raise_error(message).cast("string")
-    kind = (
-        F.when(F.col("extension").isin(*TEXT_EXTENSIONS), "text")
-        .when(F.col("extension").isin(*JSON_EXTENSIONS), "json")
-        .otherwise(unknown)
-    )
-    return lines.withColumn("kind", kind)
+    return lines.withColumn("kind", kind_of(F.col("extension"), strict))
 
 
 def json_bodies(spark: SparkSession, path: str | list[str], whole_files: bool = False) -> DataFrame:
@@ -58,18 +64,21 @@ def json_bodies(spark: SparkSession, path: str | list[str], whole_files: bool =
     return texts.select(F.col("value").alias("body")).filter(F.trim(F.regexp_replace("body", r"\s", "")) != "")
 
 
-def _listed(body: Column) -> Column:
-    return F.try_parse_json(F.concat(F.lit("["), body, F.lit("]"))).cast("array<variant>")
+#: Stands behind a text when it is parsed, to tell where the parser stopped.
+_MARK = "7d1f0c52-end-of-text"
+_BLANKS = re.compile(r"[ \t\r\n]*")
 
 
-def _complete(body: Column) -> Column:
-    """Whether a text is one JSON value and nothing else.
+def _single(body: Column) -> Column:
+    """The value of a text that is one JSON value and nothing else, by one parse.
 
-    The parser stops after the first value without looking at what follows. Text behind it
-    either adds to the list or spoils the object it is put into.
+    The parser stops after the first value without looking at what follows, so the text
+    goes into brackets with a mark behind it, which has to be met right there.
     """
-    boxed = F.try_parse_json(F.concat(F.lit('[{"v":'), body, F.lit("}]")))
-    return F.coalesce((F.size(_listed(body)) == 1) & boxed.isNotNull(), F.lit(False))
+    boxed = F.try_parse_json(F.concat(F.lit("[["), body, F.lit(f'],"{_MARK}"]')))
+    met = F.try_variant_get(boxed, "$[1]", "string") == _MARK
+    alone = F.try_variant_get(boxed, "$[0][1]", "variant").isNull() & F.try_variant_get(boxed, "$[2]", "variant").isNull()
+    return F.when(met & alone & ~F.contains(body, F.lit(_MARK)), F.try_variant_get(boxed, "$[0][0]", "variant"))
 
 
 def _decode(text: str) -> list[tuple[str, str | None]]:
@@ -80,7 +89,7 @@ def _decode(text: str) -> list[tuple[str, str | None]]:
 
     decoder, at, out = json.JSONDecoder(parse_constant=constant), 0, []
     while True:
-        at += len(text[at:]) - len(text[at:].lstrip(" \t\r\n"))
+        at = _BLANKS.match(text, at).end()
         if at == len(text):
             return out
         try:
@@ -97,18 +106,15 @@ def json_values(bodies: DataFrame, body: str = "body") -> DataFrame:
     """Every JSON value of each text, in ``value``; what is none has its text in ``rejected`` and a ``fault``.
 
     Texts of a single value, the usual case, stay in native code. Only others go through
-    a decoder that goes on after each value. Of equal keys in one object the last counts,
-    for which the session setting ``spark.sql.variant.allowDuplicateKeys`` is put on.
+    a decoder that goes on after each value. Of equal keys in one object the last counts in
+    sessions that :func:`lograin.session.prepare` has set up.
     """
-    bodies.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     nothing = F.lit(None).cast("string")
     rest = [name for name in bodies.columns if name != body]
-    single = _complete(F.col(body))
-    whole = bodies.filter(single).select(
-        *rest, F.get(_listed(F.col(body)), F.lit(0)).alias("value"), nothing.alias("rejected"), nothing.alias("fault")
-    )
+    parsed = bodies.withColumn("_value", _single(F.col(body)))
+    whole = parsed.filter("_value is not null").select(*rest, F.col("_value").alias("value"), nothing.alias("rejected"), nothing.alias("fault"))
     decode = F.pandas_udf(lambda texts: texts.map(_decode), "array<struct<text:string,fault:string>>")
-    parts = bodies.filter(~single).select(*rest, F.explode(decode(F.coalesce(F.col(body), F.lit("")))).alias("_part"))
+    parts = parsed.filter("_value is null").select(*rest, F.explode(decode(F.coalesce(F.col(body), F.lit("")))).alias("_part"))
     value = F.when(F.col("_part.fault").isNull(), F.try_parse_json(F.col("_part.text")))
     parts = parts.withColumn("value", value).select(
         *rest, "value", F.when(F.col("value").isNull(), F.col("_part.text")).alias("rejected"),
@@ -137,16 +143,3 @@ def json_documents(bodies: DataFrame, strict: bool = True, body: str = "body") -
         message = F.concat(F.lit("not JSON ("), F.col("fault"), F.lit("): "), F.substring("rejected", 1, 200))
         elements = F.when(F.col("fault").isNotNull(), F.raise_error(message).cast("array<variant>")).otherwise(elements)
     return json_values(bodies, body).select(*rest, F.posexplode(elements).alias("pos", "document"))
-
-
-def json_file_bodies(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """JSON texts of files with their ``file_path``, however the values are laid out.
-
-    Files whose lines are JSON values are read by line; a file with a value that runs over
-    lines is read whole.
-    """
-    place = F.col("_metadata.file_path").alias("file_path")
-    lines = spark.read.text(path, lineSep="\n", recursiveFileLookup=True).select(F.col("value").alias("body"), place)
-    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.col("value").alias("body"), place)
-    broken = json_rejects(lines.filter(F.trim(F.regexp_replace("body", r"\s", "")) != "")).select("file_path").distinct()
-    return lines.join(broken, "file_path", "left_anti").unionByName(files.join(broken, "file_path", "left_semi"))

@@ -7,9 +7,9 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from lograin import Integration, Params
+from lograin import Params
 from lograin.operators import reports, stats
-from lograin.plans.distill import distill_file, distill_folder, distill_to_report, file_extension
+from lograin.plans.distill import distill_file, distill_folder, distill_folder_to_reports, distill_to_report, file_extension
 from lograin.session import materialize
 from lograin.sources import files, sinks
 
@@ -72,18 +72,26 @@ def test_distil_json_in_any_layout(spark, tmp_path):
 
 
 def test_distil_a_folder(spark, tmp_path):
+    """All files of a kind in one plan, every file with its own counts and report."""
     write(tmp_path / "in" / "a.log", "error: disk 5\nerror: disk 6\n")
     write(tmp_path / "in" / "sub" / "b.json", '{"a": 1}\n')
-    params = Params(id_log="app", integrations=(Integration("http://x", on_aggregation=True),))
-    out = distill_folder(spark, str(tmp_path / "in"), params, dt.date(2024, 3, 9))
-    assert sorted(name.rsplit("/", 1)[1] for name in out) == ["a.log", "b.json"]
-    assert "- [2] ERROR: disk * --" in lines_below(tmp_path / "in" / "a_2024-03-09_normalized.log")[3]
-    assert lines_below(tmp_path / "in" / "sub" / "b_2024-03-09_normalized-json.log")[3] == "- Data: [a:<NUM>||] - Count: [1]"
-    (text, data) = (out[name] for name in sorted(out))
-    assert text["outbox"].count() == 1 and '"origin":"file-reader"' in data["payload"].first()["body"]
+    write(tmp_path / "in" / "c.json", '[\n{"a": 1},\n{"a":\n2}]')
+    write(tmp_path / "in" / "d.txt", "error: disk 7\n")
+    counts = distill_folder_to_reports(spark, str(tmp_path / "in"), str(tmp_path / "out"), PARAMS, dt.date(2024, 3, 9))
+    rows = {(r["file_path"].rsplit("/", 1)[1], r["kind"], r["message"]): r["count"] for r in counts.collect()}
+    assert rows == {
+        ("a.log", "text", "ERROR: disk *"): 2, ("d.txt", "text", "ERROR: disk *"): 1, ("b.json", "json", "a:<NUM>||"): 1, ("c.json", "json", "a:<NUM>||"): 2,
+    }
+    folders = {name.rsplit("%2F", 1)[1]: name for name in os.listdir(tmp_path / "out") if name.startswith("report=")}
+    assert sorted(folders) == [
+        "a_2024-03-09_normalized.log", "b_2024-03-09_normalized-json.log", "c_2024-03-09_normalized-json.log", "d_2024-03-09_normalized.log",
+    ]
+    assert "- [2] ERROR: disk * --" in lines_below(tmp_path / "out" / folders["a_2024-03-09_normalized.log"])[3]
+    assert lines_below(tmp_path / "out" / folders["c_2024-03-09_normalized-json.log"])[3] == "- Data: [a:<NUM>||] - Count: [2]"
+    assert distill_folder(spark, str(tmp_path / "in" / "sub"), PARAMS).count() == 1
     write(tmp_path / "in" / "c.csv", "x")
-    with pytest.raises(ValueError, match="unsupported file extension"):
-        distill_folder(spark, str(tmp_path / "in"), params, dt.date(2024, 3, 9))
+    with pytest.raises(Exception, match="unsupported file extension"):
+        distill_folder(spark, str(tmp_path / "in"), PARAMS)
 
 
 def test_extensions(spark, tmp_path):
@@ -139,10 +147,26 @@ def test_daily_files_list_interval_batches(spark, tmp_path):
         reports.RULE,
     ]
     assert lines_below(f"{out}/report_date=2023-12-31")[3].startswith("- [2] ERROR: a *")
-    sinks.write_daily_files(reports.daily_lines(daily, PARAMS), out, if_absent=True)
+    assert sinks.write_daily_files(reports.daily_lines(daily, PARAMS), out) == []
     assert len(lines_below(f"{out}/report_date=2024-01-01")) == 9
-    sinks.write_daily_files(reports.daily_lines(daily, PARAMS), out)
-    assert len(lines_below(f"{out}/report_date=2024-01-01")) == 18
+
+
+def test_a_day_is_written_once_whatever_ends_a_run(spark, tmp_path, monkeypatch):
+    """A run that ends after staging, or between two days, and is repeated."""
+    out = str(tmp_path / "daily")
+    lines = reports.daily_lines(materialize(stats.daily_report(entries(spark), PARAMS)), PARAMS)
+    publish = sinks._publish
+    monkeypatch.setattr(sinks, "_publish", lambda *_: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        sinks.write_daily_files(lines, out)
+    assert not glob.glob(f"{out}/report_date=*")
+    monkeypatch.setattr(sinks, "_publish", publish)
+    staged = glob.glob(f"{out}/_staged-*")[0]
+    os.rename(f"{staged}/report_date=2023-12-31", f"{out}/report_date=2023-12-31")  # what a run that ended there leaves
+    assert sinks.write_daily_files(lines, out) == ["2024-01-01"]
+    assert sinks.write_daily_files(lines, out) == []
+    shown = spark.read.text(out, lineSep="\n").groupBy("report_date").count().collect()
+    assert sorted(r["count"] for r in shown) == [5, 9]
 
 
 def test_merged_days(spark):

@@ -62,7 +62,7 @@ def test_golden_shapes(spark):
 def random_value(rng, depth):
     kind = rng.randrange(8 if depth else 5)
     if kind > 6:
-        return {rng.choice("aBcé\U0001F600zß") + str(rng.randrange(12)): random_value(rng, depth - 1) for _ in range(rng.randrange(5))}
+        return {rng.choice("aBcé\U0001F600zß\uff01") + str(rng.randrange(12)): random_value(rng, depth - 1) for _ in range(rng.randrange(5))}
     if kind > 4:
         return [random_value(rng, depth - 1) for _ in range(rng.randrange(13))]
     return [None, rng.random() < 0.5, rng.choice([0, -1.5e30, 10**25, 7]), rng.choice(["", "ab", "abc", "a b", "x" * 21, "FF" * 11]), "é"][kind]
@@ -73,10 +73,37 @@ def test_random_documents_of_any_depth(spark):
     values = [{"v": random_value(rng, depth)} for depth in (1, 3, 5, 8) for _ in range(40)]
     bodies = [json.dumps(value, ensure_ascii=rng.random() < 0.5) for value in values]
     assert shapes(spark, bodies) == [expected(value) for value in values]
-    # the same documents, most of them too deep for the native expression
+    # the same documents, most of them too deep for one pass
     assert shapes(spark, bodies, depth=2) == [expected(value) for value in values]
 
 
+def test_depth_has_no_limit(spark):
+    """As deep as texts can be parsed, in objects and arrays by turns."""
+    depth = 900
+    body = '{"k":[' * (depth // 2) + '{"v":true},7' + "]}" * (depth // 2)
+    assert shapes(spark, [body, "[1]"]) == ["k:0:" * (depth // 2) + "v:<BOOL>||1:<NUM>" + "||" * (depth // 2), "<NUM>"]
+    nodes = J.json_nodes(documents(spark, [body]))
+    assert nodes.count() == depth + 3
+    assert nodes.orderBy(F.length("path").desc()).first()["path"] == "$" + ".k[0]" * (depth // 2) + ".v"
+
+
+def test_fingerprints_use_no_python(spark):
+    plan = J.with_shape(documents(spark, ["{}"]))._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_nodes_of_any_step(spark):
+    bodies = ['{"a":[1,{"b":{"c":[[2]]}}],"d":{}}']
+    rows = sorted(tuple(r) for r in J.json_nodes(documents(spark, bodies)).select("path", "kind").collect())
+    for depth in (1, 3):
+        assert sorted(tuple(r) for r in J.json_nodes(documents(spark, bodies), depth=depth).select("path", "kind").collect()) == rows
+
+
+def test_a_long_text_of_many_values(spark):
+    body = '{"a":1} ' * 60_000
+    assert files.json_values(spark.createDataFrame([(body,)], "body string")).count() == 60_000
+
+
 def test_nodes_count_every_value(spark):
     rows = J.json_nodes(documents(spark, ['{"a":[1,{"b":null}],"c":"x"}'])).collect()
     assert [(row["path"], row["kind"], row["value"]) for row in rows] == [
