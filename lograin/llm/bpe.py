@@ -12,7 +12,10 @@ A text is first cut into the matches of the pretokenizer, each encoded on its ow
 texts are matched by halves, too: matching depends on nothing before a match, so
 the matches of the right half hold from the first start on that both sides share.
 
-Spark deals the texts; a task keeps a bounded cache of encoded chunks.
+Short strings are leaves. Those that a task meets for the first time are merged together,
+a column of arrays for each place in them, one merge of every string at a time.
+
+Spark deals the texts; a task keeps a bounded cache of encoded chunks, ids packed to bytes.
 
 Defined cases: a null text is empty; an empty text has no ids, and both its hashes
 are those of empty strings; repeated rows give repeated results; other columns are ignored.
@@ -23,9 +26,11 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -36,6 +41,9 @@ from lograin.llm.chunks import ChunkCache
 LEAF_CHARS = 1 << 16
 LEAF_BYTES = 12
 NEVER = 1 << 62
+#: Strings of at most so many bytes are merged together, those of similar length at a time.
+WIDTHS = (8, 12, 16, 24, 32)
+UNPAIRED = np.iinfo(np.int32).max
 #: Encoded strings that a worker remembers, and the longest of them; they share halves.
 KNOWN, KNOWN_BYTES = 300_000, 32
 RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -46,12 +54,114 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
+def packed_type(ranks: dict[bytes, int]) -> str:
+    """Type code of packed ids."""
+    return "H" if max(ranks.values(), default=0) < 1 << 16 else "I"
+
+
+class Merger:
+    """Merges many short strings at a time."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.size = max(ranks.values(), default=0) + 1
+        self.packed = np.dtype(packed_type(ranks))
+        self.bytes = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int32)
+        pairs = {}
+        for token, rank in ranks.items():
+            for at in range(1, len(token)):
+                left, right = ranks.get(token[:at]), ranks.get(token[at:])
+                if left is not None and right is not None:
+                    pairs[left * self.size + right] = rank
+        # a hash table with as many rounds of probing as its fullest run needs
+        self.mask = (1 << max(4, (4 * len(pairs)).bit_length())) - 1
+        self.keys, self.values = np.full(self.mask + 1, -1, np.int64), np.full(self.mask + 1, UNPAIRED, np.int32)
+        keys, values = np.fromiter(pairs, np.int64, len(pairs)), np.fromiter(pairs.values(), np.int32, len(pairs))
+        place, self.probes = self._place(keys), 0
+        while len(keys):
+            self.probes += 1
+            free = self.keys[place] < 0
+            self.keys[place[free]], self.values[place[free]] = keys[free], values[free]
+            left = self.keys[place] != keys  # of several at one place, one has got it
+            keys, values, place = keys[left], values[left], (place[left] + 1) & self.mask
+
+    def _place(self, keys: np.ndarray) -> np.ndarray:
+        mixed = keys * np.int64(0x9E3779B97F4A7C1)
+        return (mixed ^ (mixed >> 32)) & self.mask
+
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks of pairs of tokens, UNPAIRED where they don't merge; a token of -1 is none."""
+        keys = np.where((left < 0) | (right < 0), -2, left.astype(np.int64) * self.size + right)
+        place = self._place(keys)
+        out = np.where(self.keys[place] == keys, self.values[place], UNPAIRED)
+        open_ = np.flatnonzero((self.keys[place] != keys) & (self.keys[place] >= 0) & (keys >= 0))
+        for _ in range(1, self.probes):
+            if not len(open_):
+                break
+            place[open_] = (place[open_] + 1) & self.mask
+            met = self.keys[place[open_]]
+            hit = met == keys[open_]
+            out[open_[hit]] = self.values[place[open_[hit]]]
+            open_ = open_[~hit & (met >= 0)]
+        return out
+
+    def merge(self, strings: list[bytes]) -> dict[bytes, bytes]:
+        """The packed ids of each string, none of which is longer than the last of WIDTHS."""
+        out: dict[bytes, bytes] = {}
+        low = -1
+        for width in WIDTHS:
+            chosen = [s for s in strings if low < len(s) <= width]
+            low = width
+            for start in range(0, len(chosen), 1 << 14):
+                part = chosen[start : start + (1 << 14)]
+                tokens, counts = self._merge(part, width)
+                packed = tokens.astype(self.packed).tobytes()
+                step = width * self.packed.itemsize
+                stops = (np.arange(len(part)) * step + counts * self.packed.itemsize).tolist()
+                out.update(zip(part, map(packed.__getitem__, map(slice, range(0, len(packed), step), stops))))
+        return out
+
+    def _merge(self, strings: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
+        """A row of tokens for each string, and how many of them there are."""
+        lengths = np.fromiter(map(len, strings), np.int64, len(strings))
+        codes = np.frombuffer(b"".join(s.ljust(width, b"\0") for s in strings), np.uint8).reshape(-1, width)
+        columns = np.arange(width)
+        tokens = np.where(columns < lengths[:, None], self.bytes[codes], -1)
+        ranks = self._ranks(tokens[:, :-1].ravel(), tokens[:, 1:].ravel()).reshape(-1, width - 1)
+        ranks = np.hstack([ranks, np.full((len(ranks), 1), UNPAIRED, np.int32)])
+        left = lengths.copy()
+        rows = np.arange(len(tokens))
+        while len(rows):
+            own_tokens, own_ranks = tokens[rows], ranks[rows]
+            every = np.arange(len(rows))
+            at = own_ranks.argmin(axis=1)
+            best = own_ranks[every, at]
+            going = best != UNPAIRED
+            if not going.all():
+                rows, own_tokens, own_ranks, at, best = rows[going], own_tokens[going], own_ranks[going], at[going], best[going]
+                every = np.arange(len(rows))
+            if not len(rows):
+                break
+            # the right one of the pair goes, all behind it moves up
+            source = np.minimum(columns + (columns > at[:, None]), width - 1)
+            own_tokens = np.take_along_axis(own_tokens, source, axis=1)
+            own_ranks = np.take_along_axis(own_ranks, source, axis=1)
+            own_tokens[:, -1], own_ranks[:, -1] = -1, UNPAIRED
+            own_tokens[every, at] = best
+            before, behind = np.maximum(at - 1, 0), np.minimum(at + 1, width - 1)
+            own_ranks[every, before] = np.where(at > 0, self._ranks(own_tokens[every, before], best), own_ranks[every, before])
+            own_ranks[every, at] = np.where(at + 1 < width, self._ranks(best, own_tokens[every, behind]), UNPAIRED)
+            tokens[rows], ranks[rows] = own_tokens, own_ranks
+            left[rows] -= 1
+        return tokens, left
+
+
 class TreeEncoder:
     """Encoder for one set of ranks (token bytes -> id, lower merges first)."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
+        self.names = {rank: str(rank) for rank in self.tokens}
         self.pattern = regex.compile(pattern)
         self._stable: dict[tuple[int, int], bool] = {}
         self._known: dict[bytes, list[int]] = {}
@@ -149,8 +259,11 @@ class TreeEncoder:
 
     def matches(self, text: str) -> list[str]:
         """All matches of the pretokenizer."""
-        if text.isalpha() or text[:1] == " " and text[1:].isalpha():
+        letters = text[1:] if text[:1] == " " else text
+        if letters.isalpha():
             return [text]
+        if text[-1:] in (".", ",") and letters[:-1].isalpha():
+            return [text[:-1], text[-1]]  # a stop after a word is a match of its own
         if len(text) <= LEAF_CHARS:
             return self.pattern.findall(text)
         return [text[a:b] for a, b in self._spans(text, 0, len(text))]
@@ -202,10 +315,16 @@ _WORKER: dict[tuple[str, str], tuple[TreeEncoder, ChunkCache]] = {}
 
 
 def _cached(encoder: TreeEncoder) -> tuple[TreeEncoder, ChunkCache]:
-    def encode(parts: list[str]) -> Iterator[tuple[list[int], str]]:
-        for part in parts:
-            found = encoder.encode(part)
-            yield found, " ".join(map(str, found))
+    merger, kind = Merger(encoder.ranks), packed_type(encoder.ranks)
+
+    def encode(parts: list[str]) -> Iterator[bytes]:
+        """Packed ids of each part."""
+        matches = [encoder.matches(part) for part in parts]
+        fresh = {m: m.encode() for m in set(chain.from_iterable(matches))}
+        leaves = [data for data in fresh.values() if len(data) <= WIDTHS[-1] and data not in encoder.ranks]
+        merged = merger.merge(leaves)
+        known = {m: merged[data] if data in merged else array(kind, encoder.encode_match(m)).tobytes() for m, data in fresh.items()}
+        return (known[found[0]] if len(found) == 1 else b"".join([known[m] for m in found]) for found in matches)
 
     return encoder, ChunkCache(encode)
 
@@ -226,14 +345,15 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, ids: bool =
             _WORKER.clear()
             _WORKER[own] = _cached(TreeEncoder(ranks, pattern))
         encoder, cache = _WORKER[own]
+        kind, names = packed_type(ranks), encoder.names
         for batch in batches:
             keys = batch.column("doc_id")
             for start, texts in text_slices(batch, "text"):
                 rows: list[list] = [[], [], [], []]
-                for values in map(list, cache.values_of(texts)):
-                    found = list(chain.from_iterable(v[0] for v in values))
+                for values in cache.values_of(texts):
+                    found = array(kind, b"".join(values)).tolist()
                     rows[0].append(len(found))
-                    rows[1].append(hashlib.sha256(" ".join(v[1] for v in values).encode()).hexdigest())
+                    rows[1].append(hashlib.sha256(" ".join(map(names.__getitem__, found)).encode()).hexdigest())
                     rows[2].append(hashlib.sha256(encoder.decode(found)).hexdigest())
                     if ids:
                         rows[3].append(found)

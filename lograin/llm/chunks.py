@@ -39,20 +39,27 @@ def _chunk(key: str) -> str:
 class ChunkCache(dict):
     """Encoded chunks by key, at most about ``limit`` of them and none of over ``longest`` characters.
 
-    ``encode`` maps a list of chunks to their values. Full caches start over, so the
-    memory is bounded whatever the vocabulary of the input.
+    ``encode`` maps a list of chunks to their values. Half of the memory is for the chunks of
+    late; when it is full it takes the place of the other half, from which chunks that are met
+    again come back. So frequent chunks stay whatever the vocabulary of the input.
     """
 
-    def __init__(self, encode: Callable[[list[str]], Iterable], limit: int = 700_000, longest: int = 64):
+    def __init__(self, encode: Callable[[list[str]], Iterable], limit: int = 1_000_000, longest: int = 64):
         super().__init__()
         self.encode, self.limit, self.longest = encode, limit, longest
+        self.earlier: dict = {}
 
     def values_of(self, texts: list[str]) -> list[Iterable]:
         """The values of each text's chunks, in order; to be read once."""
-        if len(self) > self.limit:
+        if len(self) > self.limit // 2:
+            self.earlier = dict(self)
             self.clear()
         split = [_keys(text) for text in texts]
         fresh = [k for k in set().union(*filter(None, split)) if k not in self]
+        if self.earlier:
+            again = {k: self.earlier[k] for k in fresh if k in self.earlier}
+            self.update(again)
+            fresh = [k for k in fresh if k not in again]
         other = {k for k in fresh if OTHER_SPACE.search(k)}
         fresh = [k for k in fresh if k not in other]
         more = dict(zip(fresh, self.encode(list(map(_chunk, fresh))))) if fresh else {}
