@@ -80,4 +80,54 @@ def log_id(id_log: str) -> str:
 
 
 def any_word(words) -> str:
-    return "|".join(literal(word) for word in words if word)
+    """A pattern that finds, at each position, the first word of the list that stands there.
+
+    Words share their beginnings in a prefix tree, so a position costs about the length of what
+    matches there, however long the list. A word that begins with an earlier one never gets its turn
+    and is left out; what remains below a word comes before it in the list, so
+    the longest match is the right one.
+    """
+    tree: dict = {}
+    for word in filter(None, words):
+        node = tree
+        for char in word:
+            if _END in node:
+                break
+            node = node.setdefault(char, {})
+        else:
+            node[_END] = {}
+    if not tree:
+        return ""
+    firsts = "".join(map(_in_class, tree))
+    return f"(?=[{firsts}]){_below(tree)}"
+
+
+_END = ""
+
+
+def _in_class(char: str) -> str:
+    return f"\\x{{{ord(char):x}}}"
+
+
+def _below(node: dict) -> str:
+    """What may follow in the prefix tree; greedy, as the longest match is wanted."""
+    letters = [char for char, child in node.items() if char and set(child) == {_END}]
+    longer = [literal(char) + _chain(child) for char, child in node.items() if char and set(child) != {_END}]
+    if len(letters) == 1:
+        longer.append(literal(letters[0]))
+    elif letters:
+        longer.append("[" + "".join(map(_in_class, letters)) + "]")
+    if not longer:
+        return ""
+    if _END in node:
+        return f"(?:{'|'.join(longer)})?"
+    return longer[0] if len(longer) == 1 else f"(?:{'|'.join(longer)})"
+
+
+def _chain(node: dict) -> str:
+    """Text below a node up to the next choice, and what follows there."""
+    text = ""
+    while len(node) == 1 and _END not in node:
+        ((char, node),) = node.items()
+        text += literal(char)
+    return text + _below(node)

@@ -7,10 +7,11 @@ only where a result lists them.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import cached_property
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
@@ -70,7 +71,7 @@ class Bursts:
     def _placed(self, counts: DataFrame) -> DataFrame:
         params = self.params
         deadlines = {name: row["start_us"] + params.limit_us for name, row in self.carried.items()}
-        starts = window_starts(counts, params.limit_us, params.max_group_rows, deadlines)
+        starts = window_starts(counts, params.limit_us, params.max_group_rows, deadlines, params.slice_rows)
         if not self.carried:
             placed = placed_counts(counts, starts, params.limit_us)
             return materialize(placed.withColumns({"sent": F.lit(0), "last": F.lit(None).cast("long")}))
@@ -192,11 +193,12 @@ class Bursts:
     def burst_ip(self) -> DataFrame:
         """Address in the first event ever of each category.
 
-        The first times are one partial aggregate of a few rows; they come back as
-        literals, which the scan of the entries can push down.
+        The first times are one partial aggregate of a few rows, from the counts where they are
+        at hand; they come back as literals, which the scan of the entries can push down.
         """
         category = burst_category(F.col("level"), self.params)
-        firsts = self.events.groupBy(category.alias("category")).agg(F.min("us").alias("us")).collect()
+        times = self.counts if "counts" in self.__dict__ else self.events.select(category.alias("category"), "us")
+        firsts = times.groupBy("category").agg(F.min("us").alias("us")).collect()
         wanted = [(row["category"], row["us"]) for row in firsts if row["category"]]
         if firsts:
             wanted.append((self.params.overall_category, min(row["us"] for row in firsts)))
@@ -219,7 +221,8 @@ class Bursts:
 
     def alerts(self) -> DataFrame:
         """All alerts with the address of their category."""
-        points = self.severity_alerts().unionByName(self.overall_alerts())
+        overall = self.overall_alerts()  # first: its counts serve both detectors
+        points = self.severity_alerts().unionByName(overall)
         return points.join(self.burst_ip(), "category", "left")
 
 
@@ -295,24 +298,45 @@ def alert_points(windows: DataFrame, params: Params) -> DataFrame:
         .select(*WINDOW, "_cell")
     )
 
-    def points(key, rows):
-        rows = rows.sort_values("us")
-        rank, uncounted, cap, sent = (int(rows[name].iloc[0]) for name in ("rank", "uncounted", "cap", "sent"))
-        last = rows["last"].iloc[0]
-        times, before, n = (rows[name].to_numpy() for name in ("us", "before", "n"))
-        alerts = []
-        while len(alerts) < cap - sent:
-            at = np.searchsorted(before + n, rank)
-            if not pd.isna(last):
-                at = max(at, np.searchsorted(times, int(last) + cooldown_us))
-            if at == len(times):
-                break
-            last = times[at]
-            alerts.append((key[0], key[1], last, max(rank, before[at] + 1) - uncounted))
-        return pd.DataFrame(alerts, columns=["category", "start_us", "us", "count"])
-
-    return (
-        windows.join(cells, [*WINDOW, "_cell"], "left_semi")
-        .groupBy(*WINDOW)
-        .applyInPandas(points, "category string, start_us long, us long, count long")
-    )
+    names = [*WINDOW, "us", "n", "before", "rank", "uncounted", "cap", "sent", "last"]
+    rows = windows.join(cells, [*WINDOW, "_cell"], "left_semi").select(*names)
+    # a window's rows stream through one task in order of time, none of them is held
+    ordered = rows.repartition(*WINDOW).sortWithinPartitions(*WINDOW, "us")
+    return ordered.mapInArrow(_cooled(cooldown_us), "category string, start_us long, us long, count long")
+
+
+def _cooled(cooldown_us: int):
+    """Rows of windows in order of time -> alerts; the window's last alert and their number are all that is kept."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        window, last, sent = None, None, 0
+        for batch in batches:
+            columns = {name: batch.column(name) for name in batch.schema.names}
+            starts = columns["start_us"].to_numpy()
+            categories = columns["category"].dictionary_encode()
+            codes = categories.indices.to_numpy()
+            edges = np.flatnonzero((starts[1:] != starts[:-1]) | (codes[1:] != codes[:-1])) + 1
+            times, reached, before = (columns[name].to_numpy() for name in ("us", "n", "before"))
+            reached = reached + before
+            alerts: list[tuple] = []
+            for start, stop in zip([0, *edges.tolist()], [*edges.tolist(), batch.num_rows]):
+                if start == stop:
+                    continue
+                own = (columns["category"][start].as_py(), int(starts[start]))
+                if own != window:
+                    window, last, sent = own, columns["last"][start].as_py(), columns["sent"][start].as_py()
+                rank, uncounted, cap = (columns[name][start].as_py() for name in ("rank", "uncounted", "cap"))
+                while sent < cap:
+                    at = start + int(np.searchsorted(reached[start:stop], rank))
+                    if last is not None:
+                        at = max(at, start + int(np.searchsorted(times[start:stop], last + cooldown_us)))
+                    if at == stop:
+                        break
+                    last, sent = int(times[at]), sent + 1
+                    alerts.append((*own, last, max(rank, int(before[at]) + 1) - uncounted))
+            if alerts:
+                types = (pa.string(), pa.int64(), pa.int64(), pa.int64())
+                arrays = [pa.array(values, kind) for values, kind in zip(zip(*alerts), types)]
+                yield pa.RecordBatch.from_arrays(arrays, names=["category", "start_us", "us", "count"])
+
+    return run

@@ -7,6 +7,9 @@ What a slice does to the chain depends on one number only, the *deadline*
 function. Slices compute their step functions in parallel, step functions of
 neighbouring slices compose, and once every slice knows its deadline all slices
 emit their openings in parallel.
+
+A slice is at least one limit long. Where not even that fits in a task, openings are
+reached by pointer jumping over (time, next opening) rows instead.
 """
 
 from __future__ import annotations
@@ -38,7 +41,7 @@ def event_counts(events: DataFrame, category: Column, us: Column) -> DataFrame:
 
 
 def window_starts(
-    counts: DataFrame, limit_us: int, max_group_rows: int, deadlines: dict[str, int] | None = None
+    counts: DataFrame, limit_us: int, max_group_rows: int, deadlines: dict[str, int] | None = None, slice_rows: int = 100_000
 ) -> DataFrame:
     """Openings ``(category, start_us, first)``; ``first`` marks the earliest.
 
@@ -46,8 +49,8 @@ def window_starts(
     these have had their first opening already.
 
     ``counts`` has to be materialized; its measured density decides how many limits a
-    slice spans. Only where not even one limit fits in a task, openings are
-    looked up one by one.
+    slice spans, so that it holds about ``slice_rows`` rows, and whether a slice of one limit
+    fits into a task of ``max_group_rows``.
     """
     deadlines = deadlines or {}
     slots = counts.groupBy("category", F.floor(F.col("us") / limit_us)).agg(
@@ -60,15 +63,16 @@ def window_starts(
     sizes = sizes.collect()
     densest = max((row["densest"] for row in sizes), default=0)
     if densest <= max_group_rows:
-        span = max(1, min(64, max_group_rows // max(densest, 1)))
+        span = max(1, slice_rows // max(densest, 1))
         starts = _starts_by_slices(counts, limit_us, span, max_group_rows, deadlines)
     else:
-        starts = _starts_by_hops(counts, limit_us, deadlines)
+        width = max(1, limit_us * slice_rows // densest)
+        starts = _starts_by_lifting(counts, limit_us, width, deadlines)
     first = F.lit(False)
     for row in sizes:
         if row["category"] not in deadlines:
             first |= (F.col("category") == row["category"]) & (F.col("start_us") == row["first_us"])
-    return materialize(starts.withColumn("first", first))
+    return starts.withColumn("first", first)
 
 
 def _openings(category: str, times: np.ndarray, deadline: int, limit_us: int) -> pd.DataFrame:
@@ -80,36 +84,44 @@ def _openings(category: str, times: np.ndarray, deadline: int, limit_us: int) ->
     return pd.DataFrame({"category": category, "start_us": np.array(found, dtype=np.int64)})
 
 
-def _starts_by_hops(counts: DataFrame, limit_us: int, deadlines: dict[str, int]) -> DataFrame:
-    """Openings found one after another, for limits too long for slices.
+def _next_times(counts: DataFrame, limit_us: int, width: int) -> DataFrame:
+    """(category, us, next): for each time the first one more than the limit later, or NULL.
 
-    Each hop is a filtered minimum and moves every category one window ahead, so
-    there are at most (time range / limit) hops and result rows. The times are
-    laid out in order and a hop looks one limit far first, so it reads only the
-    files around the wanted times.
+    Times and the places they look from meet in buckets ``width`` long, each swept from its end. What a bucket
+    can't answer is the first time of a later bucket, found among one row per bucket.
+    """
+    times = counts.select("category", F.col("us").alias("at"), F.lit(1).alias("is_time"), F.lit(None).cast("long").alias("us"))
+    looks = counts.select("category", (F.col("us") + limit_us).alias("at"), F.lit(0).alias("is_time"), "us")
+    both = times.unionByName(looks).withColumn("bucket", F.floor(F.col("at") / width))
+    seen = F.when(F.col("is_time") == 1, F.col("at"))
+    # from the end on; of equal places the look comes first, as it wants later times only
+    sweep = Window.partitionBy("category", "bucket").orderBy(F.desc("at"), "is_time").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("here", F.min(seen).over(sweep)).filter("is_time = 0").select("category", "bucket", "us", "here")
+    buckets = both.groupBy("category", "bucket").agg(F.min(seen).alias("_first"))
+    behind = Window.partitionBy("category").orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    buckets = buckets.select("category", "bucket", F.min("_first").over(behind).alias("later"))
+    return found.join(buckets, ["category", "bucket"]).select("category", "us", F.coalesce("here", "later").alias("next"))
+
+
+def _starts_by_lifting(counts: DataFrame, limit_us: int, width: int, deadlines: dict[str, int]) -> DataFrame:
+    """Openings by pointer jumping, in rounds that grow with the logarithm of their number.
+
+    The openings known are those within 2^k windows of the first, the jumps lead 2^k windows
+    ahead; a round jumps from all of them and doubles the jumps. Every step is a join on the time.
     """
-    order = ["category", "us"]
-    times = materialize(counts.select(*order).repartitionByRange(*order).sortWithinPartitions(*order))
-
-    def following(after: dict[str, int], reach: int | None) -> dict[str, int]:
-        """Earliest time after each category's deadline, at most ``reach`` later."""
-        wanted = F.lit(False)
-        for category, deadline in after.items():
-            near = F.lit(True) if reach is None else F.col("us") <= deadline + reach
-            wanted |= (F.col("category") == category) & (F.col("us") > deadline) & near
-        found = times.filter(wanted).groupBy("category").agg(F.min("us").alias("us")).collect()
-        return {row["category"]: row["us"] for row in found}
-
-    openings = []
-    categories = [row["category"] for row in times.select("category").distinct().collect()]
-    after = {category: deadlines.get(category, int(_BEFORE_ALL)) for category in categories}
-    while after:
-        found = following(after, limit_us)
-        if beyond := {category: us for category, us in after.items() if category not in found}:
-            found |= following(beyond, None)
-        openings += found.items()
-        after = {category: us + limit_us for category, us in found.items()}
-    return counts.sparkSession.createDataFrame(openings, _START)
+    after = F.lit(int(_BEFORE_ALL))
+    for category, deadline in deadlines.items():
+        after = F.when(F.col("category") == category, deadline).otherwise(after)
+    first = counts.filter(F.col("us") > after).groupBy("category").agg(F.min("us").alias("us"))
+    jumps = materialize(_next_times(counts, limit_us, width).filter("next is not null"))
+    reached = materialize(first)
+    while True:
+        ahead = materialize(reached.join(jumps, ["category", "us"]).select("category", F.col("next").alias("us")))
+        if ahead.isEmpty():
+            return reached.withColumnRenamed("us", "start_us")
+        reached = reached.unionByName(ahead)
+        onward = jumps.select("category", F.col("us").alias("next"), F.col("next").alias("_next"))
+        jumps = materialize(jumps.join(onward, ["category", "next"]).select("category", "us", F.col("_next").alias("next")))
 
 
 def _starts_by_slices(

@@ -39,7 +39,8 @@ class Params:
 
     # Bounds the size of one payload row, see operators.payloads.
     payload_messages: int = 10_000
-    # Largest number of distinct timestamps one task takes, see operators.chain.
+    # Distinct timestamps one task should take, and the most it may, see operators.chain.
+    slice_rows: int = 100_000
     max_group_rows: int = 8_000_000
     user_agent: str = "lograin/1"
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import product
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +27,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 PARAMS = Params(
     id_log=inputs.ID_LOG,
     limit_break=86_400.0,
+    slice_rows=1_000,  # several slices in every table, however small
     report_interval=60.0,
     hour="06:00:00",
     webhook_urls=(
@@ -40,6 +42,10 @@ PARAMS = Params(
 )
 WORDS = Params(id_log=inputs.ID_LOG, words=("took", "ms", "lick", "c", "props"))
 
+# A long list: all runs of three of some letters, then of two and single ones, which the runs before them win over.
+_LETTERS = "etaoinsrlh"
+MANY_WORDS = Params(words=tuple("".join(run) for n in (3, 2, 1) for run in product(_LETTERS, repeat=n) if n > 1 or run[0] in "aeo"))
+
 QUERIES: dict[str, Query] = {}
 
 
@@ -77,6 +83,7 @@ _line_query("strip_dates", lambda c: T.strip_dates(T.lower_text(c)))
 _line_query("strip_levels", T.strip_levels)
 _line_query("extract_level", T.extract_level)
 _line_query("remove_words", lambda c: T.remove_words(T.lower_text(c), WORDS))
+_line_query("remove_many_words", lambda c: T.remove_words(T.lower_text(c), MANY_WORDS))
 _line_query("sanitize_line", lambda c: T.sanitize_line(c, F.lit(inputs.ID_LOG), WORDS))
 _line_query("mask_digits", T.mask_digits)
 _line_query("cluster_key", lambda c: T.cluster_key(c, F.lit(inputs.ID_LOG), PARAMS))
@@ -433,6 +440,11 @@ def stream_log_stats(spark, sf_dir):
     return streams.stream_log_stats(spark, sf_dir, PARAMS)
 
 
+@query
+def stream_interval_reports(spark, sf_dir):
+    return streams.stream_interval_reports(spark, sf_dir, PARAMS)
+
+
 @query
 def stream_alerts(spark, sf_dir):
     return streams.stream_alerts(spark, sf_dir, PARAMS)

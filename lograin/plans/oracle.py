@@ -6,20 +6,25 @@ recursion; the Spark plans compute the same on partitioned data.
 
 from __future__ import annotations
 
-from lograin.functions import patterns as P
-
 ID, LIMIT_US, COOLDOWN_US = "app", 86_400_000_000, 5_000_000
 WORDS = ["took", "ms", "lick", "c", "props"]
+_L = "etaoinsrlh"
+MANY_WORDS = [a + b + c for a in _L for b in _L for c in _L] + [a + b for a in _L for b in _L] + ["e", "a", "o"]
 URLS = [
     ("https://discord.com/api/webhooks/1", "discord"),
     ("https://hooks.slack.com/services/2", "slack"),
 ]
 
-# RE2 spellings: ASCII word boundaries are native, \s lacks the vertical tab.
-_IP = rf"\b{P.IPV4}\b"
-_LEVEL = rf"(?i)\b(?:{'|'.join(P.LEVELS)})\b"
-_DATE = "|".join([*P.DATES[:-1], r"[a-z]+\s\d{1,2},\s\d{4}"])
-_SPACE = rf"[\x0b{P.SPACE}]+"
+# RE2 spellings, written out here: ASCII word boundaries are native, \s lacks the vertical tab.
+_IP = r"\b\d{1,3}[.]\d{1,3}[.]\d{1,3}[.]\d{1,3}\b"
+_LEVEL = r"(?i)\b(?:debug|info|notice|warning|warn|error|critical|alert|emergency)\b"
+_DATE = "|".join([
+    r"\d\d[/]\d\d[/]\d{4}", r"\d\d-\d\d-\d{4}", r"\d{4}[/]\d\d[/]\d\d", r"\d{4}-\d\d-\d\d", r"\d\d[/]\d{4}[/]\d\d", r"\d\d-\d{4}-\d\d",
+    r"\d{4}[/]\d\d", r"\d{4}-\d\d", r"\d\d[/]\d{4}", r"\d\d-\d{4}", r"\d\d:\d\d:\d\d", r"[a-z]+\s\d{1,2},\s\d{4}",
+])
+_SPACE = r"[\t\n\v\f\r \x{85}\p{Z}]+"
+_BYTE = "(?:[0-9]|[1-9][0-9]|1[0-9][0-9]|2[0-4][0-9]|25[0-5])"
+_QUAD = rf"{_BYTE}[.]{_BYTE}[.]{_BYTE}[.]{_BYTE}"
 
 
 def _cut(text: str, pattern: str, by: str = "") -> str:
@@ -61,7 +66,8 @@ def _key(text: str) -> str:
 
 
 def _first_ip(text: str) -> str:
-    tokens = f"[t for t in string_split_regex({text}, '{_SPACE}') if regexp_full_match(t, '{P.IP_TOKEN}')]"
+    # the feeds hold addresses of four numbers only; other spellings are tested on their own
+    tokens = f"[t for t in string_split_regex({text}, '{_SPACE}') if regexp_full_match(t, '{_QUAD}(?:/0*(?:[0-9]|[12][0-9]|3[0-2]))?')]"
     return f"split_part(({tokens})[1], '/', 1)"
 
 
@@ -323,6 +329,7 @@ def oracle_sql() -> dict[str, str]:
         "strip_levels": _lines(_no_levels("content")),
         "extract_level": _lines(_level("content")),
         "remove_words": _lines(_cut(low, "|".join(WORDS))),
+        "remove_many_words": _lines(_cut(low, "|".join(MANY_WORDS))),
         "sanitize_line": _lines(_sanitized("content", WORDS)),
         "mask_digits": _lines(_masked("content")),
         "cluster_key": _lines(_key("content")),
@@ -353,6 +360,8 @@ def oracle_sql() -> dict[str, str]:
         "console_report": f"with {STATS} " + _lines_of("stats", "\tFINAL REPORT", _MESSAGE),
         "interval_console_reports": f"with {INTERVALS} "
         + _lines_of("intervals", "\tPARTIAL REPORT", _MESSAGE, "window_start,"),
+        "stream_interval_reports": f"with {INTERVALS} select window_start, line from ("
+        + _lines_of("intervals", "\tPARTIAL REPORT", _MESSAGE, "window_start,") + ")",
         "daily_file": f"""with {DAILY} {daily_frames}
           union all (select strftime(report_day, '%Y-%m-%d'), line from (
             select distinct report_day, window_start, {_ORIGIN} as line, source from daily))

@@ -56,11 +56,19 @@ def write_daily_files(lines: DataFrame, path: str) -> list[str]:
         .write.partitionBy("report_date")
         .text(staged, lineSep="\n")
     )
-    return _publish(spark, staged, path)
+    return publish(spark, staged, path)
 
 
-def _publish(spark: SparkSession, staged: str, path: str) -> list[str]:
-    """Rename the staged folders that have no namesake below ``path``; one entry per day."""
+def published(spark: SparkSession, path: str) -> list[str]:
+    """Values of the partition folders below ``path``, as their names have them."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    files = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    found = files.listStatus(hadoop(path)) if files.exists(hadoop(path)) else []
+    return sorted(name.partition("=")[2] for name in (entry.getPath().getName() for entry in found) if name[:1] not in "_.")
+
+
+def publish(spark: SparkSession, staged: str, path: str) -> list[str]:
+    """Rename the staged folders that have no namesake below ``path``; one entry per day or interval."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path
     files = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
     written = []

@@ -32,19 +32,39 @@ def stream_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run(spark, event_stream(spark, sf_dir), "entries")
 
 
+def _finish(writer, out: str) -> None:
+    writer.option("checkpointLocation", f"{out}-progress").trigger(availableNow=True).start().awaitTermination()
+
+
 def stream_log_stats(spark: SparkSession, sf_dir: str, params: Params) -> DataFrame:
     out = scratch_path(spark, "stats")
-    writer = stats.parts_writer(event_stream(spark, sf_dir), params, out)
-    writer = writer.option("checkpointLocation", f"{out}-progress").trigger(availableNow=True)
-    writer.start().awaitTermination()
+    _finish(stats.parts_writer(event_stream(spark, sf_dir), params, out), out)
     return stats.latest_rows(spark, out)
 
 
-def stream_alerts(spark: SparkSession, sf_dir: str, params: Params) -> DataFrame:
-    """Files come in no order of time, so nothing is certain before the last of them."""
+def ordered_feed(spark: SparkSession, sf_dir: str, files: int) -> DataFrame:
+    """The events as a stream of so many files, a file a micro-batch, each later in time than the one before."""
+    entries, out = inputs.event_entries(spark, sf_dir), scratch_path(spark, "feed")
+    cuts = entries.agg(F.percentile_approx("ts", [i / files for i in range(1, files)])).first()[0] or []
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        piece = entries if low is None else entries.filter(F.col("ts") > low)
+        piece = piece if high is None else piece.filter(F.col("ts") <= high)
+        piece.coalesce(1).write.mode("append").parquet(out)
+    return spark.readStream.schema(entries.schema).option("maxFilesPerTrigger", 1).parquet(out)
+
+
+def stream_alerts(spark: SparkSession, sf_dir: str, params: Params, files: int = 4) -> DataFrame:
+    """Alerts that micro-batches give while the feed goes on, and those at its end."""
     out = scratch_path(spark, "alerts")
-    writer = alerts.alert_writer(event_stream(spark, sf_dir), params, out, delay="36500 days")
-    writer = writer.option("checkpointLocation", f"{out}-progress").trigger(availableNow=True)
-    writer.start().awaitTermination()
+    _finish(alerts.alert_writer(ordered_feed(spark, sf_dir, files), params, out, delay="1 minute"), out)
     alerts.flush_alerts(spark, params, out)
     return alerts.stream_alerts(spark, out)
+
+
+def stream_interval_reports(spark: SparkSession, sf_dir: str, params: Params, files: int = 4) -> DataFrame:
+    """Report lines of every interval, written by the micro-batches that find it ended."""
+    out = scratch_path(spark, "flushed")
+    _finish(stats.parts_writer(ordered_feed(spark, sf_dir, files), params, out, delay="1 minute"), out)
+    stats.flush(spark, out, params)
+    lines = spark.read.text(f"{out}/reports", lineSep="\n")
+    return lines.select(F.to_timestamp_ntz("window_start", F.lit("yyyy-MM-dd'T'HHmmss")).alias("window_start"), F.col("value").alias("line"))

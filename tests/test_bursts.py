@@ -58,12 +58,12 @@ def opening_rows(df):
 
 
 @pytest.mark.parametrize(
-    "max_group_rows, way", [(8_000_000, "_starts_by_slices"), (400, "_starts_by_slices"), (1, "_starts_by_hops")]
+    "max_group_rows, way", [(8_000_000, "_starts_by_slices"), (400, "_starts_by_slices"), (1, "_starts_by_lifting")]
 )
 def test_openings(spark, monkeypatch, max_group_rows, way):
     """The measured density selects the way, the openings stay the same."""
-    calls = spy(monkeypatch, "_starts_by_slices", "_starts_by_hops")
-    limit, sizes = 10 * SECOND, [1, 2, 5, 40, 400, 1500] * 3 if max_group_rows > 1 else [1, 5, 30, 2]
+    calls = spy(monkeypatch, "_starts_by_slices", "_starts_by_lifting")
+    limit, sizes = 10 * SECOND, [1, 2, 5, 40, 400, 1500] * 3
     cases, counts, expected = chain_cases(spark, limit, sizes)
     found = window_starts(counts, limit, max_group_rows)
     assert calls == {way: 1}
@@ -82,7 +82,7 @@ def test_composed_slices(spark, monkeypatch, span, max_rows, levels):
     assert calls["_entry_deadlines"] >= levels
 
 
-@pytest.mark.parametrize("way", ["slices", "composed", "hops"])
+@pytest.mark.parametrize("way", ["slices", "composed", "lifting"])
 def test_chain_goes_on_from_open_windows(spark, way):
     limit = 10 * SECOND
     cases, _, expected = chain_cases(spark, limit, [2, 30, 60, 400])
@@ -91,13 +91,13 @@ def test_chain_goes_on_from_open_windows(spark, way):
     opened = {name: [us for case, us in expected if case == name and us < halves[name][len(halves[name]) // 2]] for name in cases}
     deadlines = {name: found[-1] + limit for name, found in opened.items() if name != "case0"}
     counts = materialize(spark.createDataFrame(later, "category string, us long"))
-    if way == "hops":
-        found = chain._starts_by_hops(counts.filter("category <> 'case3'"), limit, deadlines)
+    if way == "lifting":
+        found = chain._starts_by_lifting(counts, limit, limit // 7, deadlines)
     else:
         found = chain._starts_by_slices(counts, limit, 2, 10**6 if way == "slices" else 5, deadlines)
     goal = [(name, us) for name, us in expected if us > opened[name][-1] and name != "case0"]
     goal += [("case0", us) for us in fold.openings([us for name, us in later if name == "case0"], limit)]
-    assert opening_rows(found) == sorted(row for row in goal if way != "hops" or row[0] != "case3")
+    assert opening_rows(found) == sorted(goal)
 
 
 def bursty_times(rng, limit, size):
@@ -149,6 +149,27 @@ def test_detection(spark, seed, limit_seconds, size):
     assert counted == overall
 
 
+def test_next_times(spark):
+    rng = random.Random(9)
+    cases = {f"case{i}": sorted(set(random_times(rng, 100, 300))) for i in range(3)}
+    counts = spark.createDataFrame([(name, us) for name, times in cases.items() for us in times], "category string, us long")
+    expected = {(name, us): min((t for t in times if t > us + 100), default=None) for name, times in cases.items() for us in times}
+    for width in (1, 7, 100, 10**9):
+        assert {(r["category"], r["us"]): r["next"] for r in chain._next_times(counts, 100, width).collect()} == expected
+
+
+def test_alerts_stream_through_batches(spark):
+    """Windows cut by the batches that tasks read, the same alerts."""
+    frame, events = entries(spark, random.Random(2), 120 * SECOND, 3000)
+    alerts, _, _ = fold.detect(events, 120 * SECOND)
+    kept = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        assert alert_rows(Bursts(materialize(frame), Params(limit_break=120.0, slice_rows=50)).alerts()) == alerts
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
+
+
 def test_crowded_times_are_numbered_by_bands(spark, monkeypatch):
     monkeypatch.setattr(bursts_module, "_ID_BAND_BITS", 1)
     frame, events = entries(spark, random.Random(5), 20 * SECOND, 1500)

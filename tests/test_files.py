@@ -155,12 +155,12 @@ def test_a_day_is_written_once_whatever_ends_a_run(spark, tmp_path, monkeypatch)
     """A run that ends after staging, or between two days, and is repeated."""
     out = str(tmp_path / "daily")
     lines = reports.daily_lines(materialize(stats.daily_report(entries(spark), PARAMS)), PARAMS)
-    publish = sinks._publish
-    monkeypatch.setattr(sinks, "_publish", lambda *_: 1 / 0)
+    publish = sinks.publish
+    monkeypatch.setattr(sinks, "publish", lambda *_: 1 / 0)
     with pytest.raises(ZeroDivisionError):
         sinks.write_daily_files(lines, out)
     assert not glob.glob(f"{out}/report_date=*")
-    monkeypatch.setattr(sinks, "_publish", publish)
+    monkeypatch.setattr(sinks, "publish", publish)
     staged = glob.glob(f"{out}/_staged-*")[0]
     os.rename(f"{staged}/report_date=2023-12-31", f"{out}/report_date=2023-12-31")  # what a run that ended there leaves
     assert sinks.write_daily_files(lines, out) == ["2024-01-01"]

@@ -1,9 +1,14 @@
 """Golden lines of the text functions."""
 
+import random
+import re
+import timeit
+
 import pytest
 from pyspark.sql import functions as F
 
 from lograin import Params
+from lograin.functions import patterns as P
 from lograin.functions import text as T
 
 
@@ -66,6 +71,41 @@ def test_remove_words_is_one_pass_with_list_order(spark):
     assert evaluate(spark, lines, lambda c: T.remove_words(c, Params())) == lines
 
 
+def removed(text, words):
+    """At each position the first listed word that stands there goes."""
+    out, at = [], 0
+    while at < len(text):
+        word = next((w for w in words if w and text.startswith(w, at)), None)
+        out.append("" if word else text[at])
+        at += len(word) if word else 1
+    return "".join(out)
+
+
+@pytest.mark.parametrize("letters", ["ab", "a.$", "é😀]\\^-["])
+def test_word_lists_keep_their_order(spark, letters):
+    rng = random.Random(letters)
+
+    def text(most):
+        return "".join(rng.choice(letters) for _ in range(rng.randrange(most)))
+
+    for _ in range(6):
+        words = tuple(text(6) for _ in range(rng.randrange(1, 25)))
+        lines = [text(40) for _ in range(50)]
+        assert evaluate(spark, lines, lambda c: T.remove_words(c, Params(words=words))) == [removed(line, words) for line in lines]
+
+
+def test_a_long_list_costs_about_as_much_as_a_short_one(spark):
+    """No choice of the pattern is among more alternatives than there are first letters."""
+    words = tuple(f"{chr(97 + i % 26)}{i * 7919 % 100_003:05}x" for i in range(10_000))
+    lines = ["plain words of a line 12345 and so on", f"a {words[77]}b{words[9000]}"] * 200
+    assert evaluate(spark, lines, lambda c: T.remove_words(c, Params(words=words))) == [lines[0], "a b"] * 200
+    # Python's engine needs another spelling of code points, and goes through alternatives in order as well
+    patterns = [re.compile(re.sub(r"\\x\{(\w+)\}", lambda m: chr(int(m[1], 16)), P.any_word(some))) for some in (words, words[:10])]
+    took = [min(timeit.repeat(lambda: [p.sub("", line) for line in lines], number=5, repeat=3)) for p in patterns]
+    assert took[0] < 20 * took[1]
+    assert P.any_word(("", "")) == "" and P.any_word(["x" * 5000]).count("x") > 4990
+
+
 def test_trim_space(spark):
     space = " \x85\v\f\r\n "
     assert evaluate(spark, [f"{space}a b{space}", "​x"], T.trim_space) == ["a b", "​x"]
