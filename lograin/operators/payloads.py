@@ -17,60 +17,55 @@ def _rfc3339(ts: Column) -> Column:
     return F.concat(F.regexp_replace(payload_time(ts), r"\.?0*Z\z", ""), F.lit("Z"))
 
 
-def _bucket(text: Column, buckets: Column) -> Column:
-    return F.pmod(F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long"), buckets)
+def _segments(stats: DataFrame, params: Params, keys: tuple[str, ...], group: list[str], listed: bool) -> DataFrame:
+    """Texts of about ``params.payload_messages`` messages that make up, in the order of ``segment``, one JSON text per group.
 
-
-def origin_payload(stats: DataFrame, params: Params, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Per origin a JSON object listing its messages.
-
-    An origin with more than ``params.payload_messages`` messages is spread over
-    several objects of about that many, numbered by ``part`` of ``parts``.
+    Messages are range partitioned in the order in which they are written, so their places in it
+    deal them out to segments and no group is put together in one task. What opens and
+    closes an origin, or the list of all of them, stands at its first and its last place.
     """
-    stats = materialize(stats)
-    group = [*keys, "source"]
-    parts = stats.groupBy(*group).agg(
-        F.ceil(F.count("*") / params.payload_messages).alias("parts")
-    )
-    item = F.struct(
-        "count",
-        _rfc3339(F.col("first_seen")).alias("firstSeen"),
-        _rfc3339(F.col("last_seen")).alias("lastSeen"),
-        "message",
-    )
-    items = F.array_sort(F.collect_list(F.struct("message", item.alias("item"))))
-    data = F.transform(F.col("_items"), lambda entry: entry["item"]).alias("data")
-    return (
-        stats.join(parts, group)
-        .withColumn("part", _bucket(F.col("message"), F.col("parts")))
-        .groupBy(*group, "part", "parts")
-        .agg(items.alias("_items"), F.count("*").alias("messages"))
-        .select(*group, "part", "parts", "messages", F.to_json(F.struct(F.col("source").alias("origin"), data)).alias("payload"))
+    order = [*keys, "source", "message"]
+    item = F.to_json(
+        F.struct("count", _rfc3339(F.col("first_seen")).alias("firstSeen"), _rfc3339(F.col("last_seen")).alias("lastSeen"), "message")
     )
+    ranged = stats.repartitionByRange(*order).sortWithinPartitions(*order)
+    items = materialize(ranged.select(*keys, "source", item.alias("item"), F.monotonically_increasing_id().alias("place")))
+    bounds = [F.min("place").alias("first"), F.max("place").alias("last")]
+    origins = items.groupBy(*keys, "source").agg(*bounds)
+    # the header of an object is that of an empty one, cut open
+    opening = F.regexp_replace(F.to_json(F.struct(F.col("source").alias("origin"), F.array().cast("array<int>").alias("data"))), r"\]\}\z", "")
+    opens = origins.select(F.col("first").alias("place"), opening.alias("opening"))
+    closes = origins.select(F.col("last").alias("place"), F.lit("]}").alias("closing"))
+    if listed:
+        lists = items.groupBy(*keys).agg(*bounds).filter("first is not null")
+        begins = lists.select(F.col("first").alias("place"), F.lit("[").alias("begin"))
+        ends = lists.select(F.col("last").alias("place"), F.lit("]").alias("end"))
+        opens = opens.join(begins, "place", "left").select("place", F.concat(F.coalesce("begin", F.lit(",")), "opening").alias("opening"))
+        closes = closes.join(ends, "place", "left").select("place", F.concat("closing", F.coalesce("end", F.lit(""))).alias("closing"))
+    # places are unique: joins of one row with one row
+    placed = items.join(opens, "place", "left").join(closes, "place", "left")
+    text = F.concat(F.coalesce("opening", F.lit(",")), "item", F.coalesce("closing", F.lit("")))
+    segment = F.floor(F.col("place") / params.payload_messages).alias("segment")
+    texts = F.array_sort(F.collect_list(F.struct("place", text.alias("text"))))
+    return placed.groupBy(*group, segment).agg(F.count("*").alias("messages"), F.array_join(F.transform(texts, lambda t: t["text"]), "").alias("payload"))
+
+
+def origin_payload(stats: DataFrame, params: Params, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Per origin one JSON object that lists its messages, as texts that follow each other by ``segment``."""
+    return _segments(stats, params, keys, [*keys, "source"], listed=False)
 
 
 def report_payload(stats: DataFrame, params: Params, keys: tuple[str, ...] = ()) -> DataFrame:
-    """JSON arrays over all origins of a report.
+    """One JSON array over all origins of a report, as texts that follow each other by ``segment``."""
+    return _segments(stats, params, keys, list(keys), listed=True).drop("messages").withColumnRenamed("payload", "body")
 
-    A report within ``params.payload_messages`` is a single body. In a larger
-    one every part of a spread origin is a body of its own and the remaining
-    origins share bodies of about that many messages.
-    """
-    payloads = materialize(origin_payload(stats, params, keys))
-    whole = F.when(F.col("parts") == 1, F.col("messages"))
-    bodies = F.ceil(F.sum(whole) / params.payload_messages)
-    if keys:
-        payloads = payloads.join(payloads.groupBy(*keys).agg(bodies.alias("_bodies")), list(keys))
-    else:
-        payloads = payloads.withColumn("_bodies", payloads.agg(bodies).scalar())
-    shared = _bucket(F.col("source"), F.col("_bodies")).cast("string")
-    own = F.concat(F.col("source"), F.lit("#"), F.col("part"))
-    objects = F.array_join(F.array_sort(F.collect_list("payload")), ",")
-    return (
-        payloads.withColumn("body_no", F.when(F.col("parts") == 1, shared).otherwise(own))
-        .groupBy(*keys, "body_no")
-        .agg(F.concat(F.lit("["), objects, F.lit("]")).alias("body"))
-    )
+
+def joined(segments: DataFrame, keys: tuple[str, ...], text: str) -> DataFrame:
+    """Whole texts, for groups that are known to be small."""
+    parts = F.array_sort(F.collect_list(F.struct("segment", F.col(text).alias("text"))))
+    whole = F.array_join(F.transform(parts, lambda part: part["text"]), "").alias(text)
+    sums = [F.sum("messages").alias("messages")] if "messages" in segments.columns else []
+    return segments.groupBy(*keys).agg(*sums, whole).filter(F.col(text) != "")
 
 
 def day_payloads(daily: DataFrame, params: Params) -> DataFrame:
@@ -118,6 +113,6 @@ def integration_fanout(reports: DataFrame, params: Params) -> DataFrame:
 
 
 def integration_outbox(stats: DataFrame, params: Params, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Requests to post: url, headers and body of every enabled integration."""
+    """Requests to post: url, headers and body of every enabled integration; bodies are sent in the order of ``segment``."""
     bodies = payload_formatter(params.destination)(stats, params, keys)
-    return integration_fanout(bodies, params).select(*keys, "body_no", "url", "headers", "body")
+    return integration_fanout(bodies, params).select(*keys, "segment", "url", "headers", "body")

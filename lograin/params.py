@@ -37,7 +37,7 @@ class Params:
     cooldown: float = 5.0  # seconds
     alert_cap: int = 10
 
-    # Bounds the size of one payload row, see operators.payloads.
+    # Messages in one row of a payload, see operators.payloads.
     payload_messages: int = 10_000
     # Distinct timestamps one task should take, and the most it may, see operators.chain.
     slice_rows: int = 100_000

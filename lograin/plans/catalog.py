@@ -322,36 +322,36 @@ def json_report(spark, sf_dir):
 
 @query
 def origin_payload(spark, sf_dir):
-    return payloads.origin_payload(log_stats(spark, sf_dir), PARAMS)
+    return payloads.joined(payloads.origin_payload(log_stats(spark, sf_dir), PARAMS), ("source",), "payload")
 
 
 @query
 def origin_payload_parts(spark, sf_dir):
-    """Origins spread over objects of about four messages each."""
+    """The same objects, written in segments of four messages."""
     small = Params(id_log=inputs.ID_LOG, payload_messages=4)
-    return payloads.origin_payload(log_stats(spark, sf_dir), small)
+    return payloads.joined(payloads.origin_payload(log_stats(spark, sf_dir), small), ("source",), "payload")
 
 
 @query
 def report_payload(spark, sf_dir):
-    return payloads.report_payload(log_stats(spark, sf_dir), PARAMS)
+    return payloads.joined(payloads.report_payload(log_stats(spark, sf_dir), PARAMS), (), "body")
 
 
 @query
 def report_payload_parts(spark, sf_dir):
-    """Bodies of about twelve messages."""
+    """The same array, written in segments of twelve messages."""
     small = Params(id_log=inputs.ID_LOG, payload_messages=12)
-    return payloads.report_payload(log_stats(spark, sf_dir), small)
+    return payloads.joined(payloads.report_payload(log_stats(spark, sf_dir), small), (), "body")
 
 
 @query
 def payload_formatter(spark, sf_dir):
-    return payloads.payload_formatter("json")(log_stats(spark, sf_dir), PARAMS)
+    return payloads.joined(payloads.payload_formatter("json")(log_stats(spark, sf_dir), PARAMS), (), "body")
 
 
 @query
 def day_payloads(spark, sf_dir):
-    return payloads.day_payloads(daily_report(spark, sf_dir), PARAMS)
+    return payloads.joined(payloads.day_payloads(daily_report(spark, sf_dir), PARAMS), ("report_day", "window_start"), "body")
 
 
 @query
@@ -371,7 +371,7 @@ def integration_fanout(spark, sf_dir):
 @query
 def integration_outbox(spark, sf_dir):
     outbox = payloads.integration_outbox(interval_report(spark, sf_dir), PARAMS, ("window_start",))
-    return outbox.withColumn("headers", F.to_json("headers"))
+    return payloads.joined(outbox.withColumn("headers", F.to_json("headers")), ("window_start", "url", "headers"), "body")
 
 
 # --- bursts -----------------------------------------------------------------

@@ -165,30 +165,19 @@ def _lines_of(rows: str, title: str, entry: str, keys: str = "") -> str:
       union all select distinct {keys} 2, '', '{RULE}' from {rows})"""
 
 
-def _bucket(text: str, buckets: str) -> str:
-    return f"('0x' || substr(md5({text}), 1, 15))::bigint % {buckets}"
-
-
-def _payloads(rows: str, size: int, keys: str = "") -> str:
-    parts = f"cast(ceil(count(*) over (partition by {keys} source) / {size}) as bigint)"
+def _payloads(rows: str, keys: str = "") -> str:
     item = (
         "{'count': count, 'firstSeen': " + _rfc3339("first_seen") + ", 'lastSeen': " + _rfc3339("last_seen")
         + ", 'message': message}"
     )
-    return f"""select {keys} source, part, parts, count(*) as messages,
-      cast(to_json({{'origin': source, 'data': list(item order by message)}}) as varchar) as payload
-      from (select *, {_bucket('message', 'parts')} as part
-            from (select {keys} source, message, {item} as item, {parts} as parts from {rows}))
-      group by {keys} source, part, parts"""
+    return f"""select {keys} source, count(*) as messages,
+      cast(to_json({{'origin': source, 'data': list({item} order by message)}}) as varchar) as payload
+      from {rows} group by {keys} source"""
 
 
-def _bodies(rows: str, keys: str = "", size: int = 10_000) -> str:
-    by = f"partition by {keys.rstrip(', ')}" if keys else ""
-    bodies = f"cast(ceil(sum(messages) filter (where parts = 1) over ({by}) / {size}) as bigint)"
-    number = f"""case when parts = 1 then cast({_bucket('source', bodies)} as varchar)
-      else source || '#' || cast(part as varchar) end"""
-    return f"""select {keys} body_no, '[' || string_agg(payload, ',' order by payload) || ']' as body
-      from (select *, {number} as body_no from ({_payloads(rows, size, keys)})) group by {keys} body_no"""
+def _bodies(rows: str, keys: str = "") -> str:
+    by = f"group by {keys.rstrip(', ')}" if keys else ""
+    return f"select {keys} '[' || string_agg(payload, ',' order by source) || ']' as body from ({_payloads(rows, keys)}) {by}"
 
 
 _HEX = "regexp_full_match({}, '([0-9A-Fa-f]{{2}})*')"
@@ -390,16 +379,16 @@ def oracle_sql() -> dict[str, str]:
         "json_shape_counts": f"with {SHAPE_COUNTS} select * from counts",
         "json_report": f"with {SHAPE_COUNTS} "
         + _lines_of("counts", "\tRESULT", "concat('- Data: [', message, '] - Count: [', cast(count as varchar), ']')"),
-        "origin_payload": f"with {STATS} " + _payloads("stats", 10_000),
-        "origin_payload_parts": f"with {STATS} " + _payloads("stats", 4),
+        "origin_payload": f"with {STATS} " + _payloads("stats"),
+        "origin_payload_parts": f"with {STATS} " + _payloads("stats"),
         "report_payload": f"with {STATS} " + _bodies("stats"),
-        "report_payload_parts": f"with {STATS} " + _bodies("stats", size=12),
+        "report_payload_parts": f"with {STATS} " + _bodies("stats"),
         "payload_formatter": f"with {STATS} " + _bodies("stats"),
         "day_payloads": f"with {DAILY} " + _bodies("daily", "report_day, window_start,"),
         "enabled_integrations": """select url, page_id % 2 = 0 as on_aggregation from pages where page_id % 2 = 0""",
         "integration_fanout": f"""with {INTERVALS} select window_start, window_end, count(*) as messages,
           'https://example.org/ingest' as url from intervals group by window_start, window_end""",
-        "integration_outbox": f"""with {INTERVALS} select window_start, body_no, 'https://example.org/ingest' as url,
+        "integration_outbox": f"""with {INTERVALS} select window_start, 'https://example.org/ingest' as url,
           '{{"X-Token":"t1","User-Agent":"lograin/1"}}' as headers, body from ({_bodies('intervals', 'window_start,')})""",
         "severity_windows": f"""with recursive {SEVERE}
           select event_id, ts, category as level, window_start, place as count from severe""",

@@ -3,6 +3,8 @@
 import datetime as dt
 import json
 
+from pyspark.sql import functions as F
+
 from lograin import Integration, Params
 from lograin.operators import notify, payloads
 
@@ -15,29 +17,47 @@ def stats(spark, sizes):
     return spark.createDataFrame(rows, STATS)
 
 
-def test_one_body_holds_a_small_report(spark):
-    (row,) = payloads.report_payload(stats(spark, {"b": 1, "a": 2}), Params()).collect()
-    body = json.loads(row["body"])
+def whole(rows, text="body"):
+    return "".join(r[text] for r in sorted(rows, key=lambda r: r["segment"]))
+
+
+def test_a_report_is_one_array(spark):
+    text = whole(payloads.report_payload(stats(spark, {"b": 1, "a": 2}), Params()).collect())
+    body = json.loads(text)
     assert [origin["origin"] for origin in body] == ["a", "b"]
     assert body[1]["data"] == [
         {"count": 1, "firstSeen": "2024-01-01T01:02:03.12Z", "lastSeen": "2024-01-01T01:02:03Z", "message": 'm0 "q" é'}
     ]
-    assert row["body"].startswith('[{"origin":"a","data":[{"count":1,"firstSeen":')
-
-
-def test_a_hot_origin_is_spread_without_losing_messages(spark):
-    params = Params(payload_messages=50)
-    sizes = {"hot": 3000, "x": 3, "y": 60}
-    rows = payloads.report_payload(stats(spark, sizes), params).collect()
-    assert 60 <= len(rows) <= 64
-    found = {}
-    for row in rows:
-        objects = json.loads(row["body"])
-        assert sum(len(origin["data"]) for origin in objects) < 2 * params.payload_messages
-        for origin in objects:
-            found.setdefault(origin["origin"], []).extend(entry["message"] for entry in origin["data"])
-    assert {name: len(set(messages)) for name, messages in found.items()} == sizes
+    assert text.startswith('[{"origin":"a","data":[{"count":1,"firstSeen":')
+    assert payloads.report_payload(stats(spark, {}), Params()).count() == 0
+
+
+def test_segments_of_any_size_make_up_the_same_bytes(spark):
+    """A hot origin lies in many rows of bounded size, and still is one object of one array."""
+    sizes = {"hot": 3000, 'x]} "': 3, "y": 60}
+    texts = set()
+    for most in (1, 50, 10_000):
+        rows = payloads.report_payload(stats(spark, sizes), Params(payload_messages=most)).collect()
+        assert max(row["body"].count('"firstSeen"') for row in rows) <= most
+        texts.add(whole(rows))
+    (text,) = texts
+    found = {origin["origin"]: [entry["message"] for entry in origin["data"]] for origin in json.loads(text)}
     assert {name: len(messages) for name, messages in found.items()} == sizes
+    assert all(messages == sorted(messages, key=str.encode) for messages in found.values()) and list(found) == sorted(found, key=str.encode)
+
+
+def test_origins_and_keys_have_texts_of_their_own(spark):
+    rows = stats(spark, {"a": 7, "b": 5}).withColumn("day", F.col("count") % 2)
+    found = payloads.origin_payload(rows, Params(payload_messages=2), ("day",)).collect()
+    groups = {(r["day"], r["source"]) for r in found}
+    assert groups == {(d, s) for d in (0, 1) for s in "ab"} and sum(r["messages"] for r in found) == 12
+    for day, source in groups:
+        one = json.loads(whole([r for r in found if (r["day"], r["source"]) == (day, source)], "payload"))
+        assert one["origin"] == source and {entry["count"] % 2 for entry in one["data"]} == {day}
+    bodies = payloads.report_payload(rows, Params(payload_messages=3), ("day",)).collect()
+    for day in (0, 1):
+        body = json.loads(whole([r for r in bodies if r["day"] == day]))
+        assert [origin["origin"] for origin in body] == ["a", "b"]
 
 
 def test_outbox(spark):

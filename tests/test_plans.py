@@ -7,6 +7,7 @@ import shutil
 
 import pytest
 
+from lograin.operators import payloads
 from lograin.operators.bursts import Bursts
 from lograin.plans.catalog import PARAMS, QUERIES
 from lograin.plans import inputs
@@ -120,7 +121,7 @@ def test_intervals_and_days_are_flushed_once(spark, tmp_path):
     assert set(sinks.published(spark, f"{out}/reports")) == {f"{s:%Y-%m-%dT%H%M%S}" for s in starts}
     written = sorted(tuple(r) for r in spark.read.text(f"{out}/daily").selectExpr("cast(report_date as string)", "value").collect())
     assert written == sorted(tuple(r) for r in QUERIES["daily_file"](spark, SF_DIR).collect())
-    requests = spark.read.parquet(f"{out}/outbox").select("body").collect()
+    requests = payloads.joined(spark.read.parquet(f"{out}/outbox"), ("window_start", "url"), "body").select("body").collect()
     expected = QUERIES["integration_outbox"](spark, SF_DIR).select("body").collect()
     assert sorted(map(tuple, requests)) == sorted(map(tuple, expected))
 
