@@ -35,7 +35,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from lograin.llm.chunks import ChunkCache
+from lograin.llm.chunks import ChunkCache, keep_garbage
 
 #: Characters matched in one go and bytes merged in one go; what is longer is halved.
 LEAF_CHARS = 1 << 16
@@ -342,6 +342,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, ids: bool =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if own not in _WORKER:
+            keep_garbage()
             _WORKER.clear()
             _WORKER[own] = _cached(TreeEncoder(ranks, pattern))
         encoder, cache = _WORKER[own]

@@ -8,6 +8,7 @@ characters up to the next run. Texts with any other white space are one chunk.
 
 from __future__ import annotations
 
+import gc
 import re
 from collections.abc import Callable, Iterable
 
@@ -15,6 +16,11 @@ CHUNKS = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 OTHER_SPACE = re.compile(r"[^\S \n]")
 
 
+def keep_garbage() -> None:
+    """Let a worker look for cyclic garbage rarely: its caches hold millions of strings and no cycles."""
+    gc.set_threshold(2_000_000, 50, 50)
+
+
 def chunks(text: str) -> list[str]:
     return [text] if OTHER_SPACE.search(text) else CHUNKS.findall(text)
 

@@ -11,6 +11,8 @@ Documents go to ranges of ids (shards) by quantiles of the id column, so the tex
 encoded once and only ids are shuffled. A shard is one sorted stream through a
 task, never held whole.
 
+Strings of added tokens in a text become their ids, as the tokenizers library has it by default.
+
 Defined cases: a null text is empty, such a document consists of the end id alone; null
 ids come last; rows repeating an id stand next to each other, ordered by their token
 ids; an empty table gives empty files; other columns are ignored.
@@ -22,7 +24,7 @@ import os
 import zlib
 from array import array
 from collections.abc import Iterator
-from itertools import chain
+from itertools import accumulate, chain
 
 import numpy as np
 import pandas as pd
@@ -33,7 +35,7 @@ from pyspark.sql.types import LongType
 
 from lograin.llm import rans
 from lograin.llm.bpe import text_slices
-from lograin.llm.chunks import ChunkCache
+from lograin.llm.chunks import ChunkCache, keep_garbage
 from lograin.session import materialize
 
 SHARD_BYTES = 8 << 20
@@ -67,12 +69,13 @@ def _cache(definition: str, width: str) -> ChunkCache:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_str(definition)
-        tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
 
         def ids(parts: list[str]) -> Iterator[bytes]:
             for start in range(0, len(parts), 20_000):
-                for found in tokenizer.encode_batch_fast(parts[start : start + 20_000], add_special_tokens=False):
-                    yield array(width, found.ids).tobytes()
+                found = [x.ids for x in tokenizer.encode_batch_fast(parts[start : start + 20_000], add_special_tokens=False)]
+                packed, size = array(width, chain.from_iterable(found)).tobytes(), array(width).itemsize
+                stops = list(accumulate(map(len, found), initial=0))
+                yield from [packed[size * a : size * b] for a, b in zip(stops, stops[1:])]
 
         stops = dict(zip(".,", ids([".", ","])))
 
@@ -84,6 +87,7 @@ def _cache(definition: str, width: str) -> ChunkCache:
             for part, word in zip(parts, words):
                 yield known[word] if part is word else known[word] + stops[part[-1]]
 
+        keep_garbage()
         _WORKER.clear()
         _WORKER[key] = ChunkCache(encode, limit=1_200_000)
     return _WORKER[key]

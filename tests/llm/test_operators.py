@@ -161,10 +161,12 @@ def token_rows(docs, tokenizer):
 def test_token_files(spark, documents, awkward, empty):
     path = public_tokenizers.path("byte_bpe_50k.json")
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     assert found(queries.op3_token_files(spark, SF_DIR), "doc_id", "start", "n_tokens", "ids_crc32") == token_rows(documents, tokenizer)
     definition = open(path, encoding="utf-8").read()
-    for docs, rows in ((awkward, [r[:2] for r in AWKWARD]), (empty, [])):
+    special = [(1, "end <|endoftext|> here"), (2, "a<|endoftext|>"), (3, "<|endoftext|>  \n<|endoftext|>."), (4, "plain")]
+    tables = ((awkward, [r[:2] for r in AWKWARD]), (empty, []), (spark.createDataFrame(special, "doc_id long, text string"), special))
+    assert tokenizer.encode(special[0][1], add_special_tokens=False).ids.count(50256) == 1
+    for docs, rows in tables:
         out = scratch_path(spark, "tokens")
         token_files.write(docs, definition, out)
         assert found(token_files.read(spark, out), "doc_id", "start", "n_tokens", "ids_crc32") == token_rows(rows, tokenizer)
@@ -246,6 +248,15 @@ def test_tree_equals_plain_merging(encodings, monkeypatch):
         assert tree.decode(tree.encode(text)) == text.encode()
 
 
+def test_strings_merged_together_equal_single_ones(encodings):
+    tree, plain = encodings
+    rng = np.random.default_rng(6)
+    strings = [rng.choice(list(b"abcdeersting \xc3\xa9\xe4\xff0123"), n).astype(np.uint8).tobytes() for n in rng.integers(0, 33, 3000)]
+    merged = bpe.Merger(tree.ranks).merge(strings)
+    for s in strings:
+        assert np.frombuffer(merged[s], "<u2").tolist() == tree.merge(s)
+
+
 # --- 6 sharding ------------------------------------------------------------------
 
 
