@@ -5,8 +5,9 @@ binned and densified). A tree sends each set down to children by the tokens at o
 positions that the node chooses at random, 1 / threshold on average, so a pair that
 is as similar as the threshold keeps meeting along some path. Nodes that are small are
 compared exhaustively, large ones branch on; independent trees repeat this. With ten
-trees a pair at the threshold fails to meet with probability below 1e-4 (one level:
-1e-8, three levels: 2e-5).
+trees a pair exactly at the threshold fails to meet with a probability of 1e-8 after one level, 3e-5
+after three, 2e-4 after four and, with the spread of the share of equal tokens, up to 2.6e-3 after five; levels
+four and five come up only among over 64 different texts that share much.
 
 Comparing tokens only proposes. Sets that may be linked form candidate groups; within
 each, links are confirmed on the full sets. Both steps return a spanning forest of
