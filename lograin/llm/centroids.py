@@ -194,10 +194,11 @@ def cluster(vectors: DataFrame, k: int = 16, rounds: int = 3, dims: int = 64, sc
         centroids = _moved(stored, frame, centroids, dims)
 
     assigned = materialize(stored.mapInArrow(partial(_assign, frame, centroids, dims), ASSIGNED))
-    hashes = [(n, hashlib.sha256(",".join(map(str, c)).encode()).hexdigest()) for n, c in enumerate(centroids)]
-    inertia = assigned.groupBy("cluster").agg(F.sum("distance").alias("cluster_inertia"))
-    total = assigned.agg(F.sum("distance").alias("inertia"))
-    numbers = spark.createDataFrame(hashes, "cluster int, centroid_sha256 string").join(inertia, "cluster").crossJoin(total)  # k rows and one row
+    # one row per centroid
+    inertia = {r["cluster"]: r["n"] for r in assigned.groupBy("cluster").agg(F.sum("distance").alias("n")).collect()}
+    hashes = [hashlib.sha256(",".join(map(str, c)).encode()).hexdigest() for c in centroids]
+    rows = [(number, hashes[number], own, sum(inertia.values())) for number, own in inertia.items()]
+    numbers = spark.createDataFrame(rows, "cluster int, centroid_sha256 string, cluster_inertia long, inertia long")
     return assigned.join(F.broadcast(numbers), "cluster").select(
         "vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256", "measured"
     )

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lograin.llm.skew import join_to_one
-from lograin.session import discard, materialize
+from lograin.session import discard, materialize, scratch_path
 
 WORD = r"[^\x20\x09-\x0D]+"
 PIECES = ["p0", "p1", "p2", "p3"]
@@ -199,16 +199,26 @@ def _coin(node: str, turn: int) -> Column:
 
 def subtree_totals(tree: DataFrame) -> DataFrame:
     """(node, leaves, saved): sums over each node's subtree of a tree (node, parent, leaves, saved); the top's parent is null."""
-    zero = F.lit(0).cast("long")
+    spark, zero = tree.sparkSession, F.lit(0).cast("long")
+    folder, done = scratch_path(spark, "totals"), []
+
+    def finish(rows: DataFrame) -> None:
+        done.append(f"{folder}/{len(done)}")
+        rows.select("node", "leaves", "saved").write.parquet(done[-1])
+
+    def finished(paths: list[str]) -> DataFrame:
+        """Totals known from some folders, as one scan."""
+        return spark.read.schema("node long, leaves long, saved long").parquet(*paths)
+
     active = materialize(tree.select("node", "parent", "leaves", "saved", zero.alias("edge_leaves"), zero.alias("edge_saved")))
-    raked, compressed = [], []
+    compressed = []
     while not active.isEmpty():
-        turn = len(raked)
+        turn = len(compressed)
         kids = active.filter("parent is not null").groupBy("parent").agg(F.count("*").alias("n"), F.min("node").alias("child"))
         state = materialize(active.join(kids.withColumnRenamed("parent", "of"), F.col("node") == F.col("of"), "left").drop("of"))
         discard(active)
         leaves, inner = state.filter("n is null"), state.filter("n is not null")
-        raked.append(materialize(leaves.select("node", "leaves", "saved")))
+        finish(leaves)
         given = leaves.filter("parent is not null").groupBy(F.col("parent").alias("to")).agg(
             F.sum(F.col("leaves") + F.col("edge_leaves")).alias("more_leaves"), F.sum(F.col("saved") + F.col("edge_saved")).alias("more_saved")
         )
@@ -237,12 +247,14 @@ def subtree_totals(tree: DataFrame) -> DataFrame:
             plus("edge_leaves", "edge_more_leaves"), plus("edge_saved", "edge_more_saved"),
         ))
         discard(state)
-    done = tree.select("node", "leaves", "saved").limit(0)
-    for finished, passed in zip(reversed(raked), reversed(compressed)):
-        known = done.select(F.col("node").alias("child"), F.col("leaves").alias("sub_leaves"), F.col("saved").alias("sub_saved"))
-        undone = passed.join(known, "child").select("node", (F.col("leaves") + F.col("sub_leaves")).alias("leaves"), (F.col("saved") + F.col("sub_saved")).alias("saved"))
-        done = done.unionByName(materialize(undone)).unionByName(finished)
-    return done
+    # a compressed node's child was finished in a later round, or is by now
+    chains: list[str] = []
+    for turn, passed in reversed(list(enumerate(compressed))):
+        known = finished(done[turn + 1 : len(compressed)] + chains or done[:1]).withColumnsRenamed({"node": "child", "leaves": "sub_leaves", "saved": "sub_saved"})
+        undone = passed.join(known, "child")
+        finish(undone.select("node", (F.col("leaves") + F.col("sub_leaves")).alias("leaves"), (F.col("saved") + F.col("sub_saved")).alias("saved")))
+        chains.append(done[-1])
+    return finished(done) if done else tree.select("node", "leaves", "saved")
 
 
 def prefix_trie(conversations: DataFrame, block: int = 20, heads: int = 4) -> DataFrame:

@@ -16,10 +16,9 @@ def join_to_one(many: DataFrame, one: DataFrame, keys: list[str]) -> DataFrame:
     rows of ``one`` that have such a key are repeated, and the list of heavy keys has at
     most HEAVY rows. ``many`` should be a table: it is read twice.
     """
-    counted = many.groupBy(*keys).agg(F.count("*").alias("_rows"))
-    share = many.agg((F.floor(F.count("*") / HEAVY) + 1).alias("_share"))
-    heavy = counted.join(F.broadcast(share), F.col("_rows") > F.col("_share"))  # one row is broadcast
-    salts = F.broadcast(heavy.select(*keys, F.ceil(F.col("_rows") / F.col("_share")).alias("_salts")))
+    share = many.count() // HEAVY + 1
+    heavy = many.groupBy(*keys).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > share)
+    salts = F.broadcast(heavy.select(*keys, F.ceil(F.col("_rows") / share).alias("_salts")))
     spread = F.coalesce("_salts", F.lit(1))
     left = many.join(salts, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(*many.columns), spread)).drop("_salts")
     right = one.join(salts, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), spread - 1))).drop("_salts")
