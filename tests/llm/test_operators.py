@@ -418,15 +418,47 @@ def test_index_inserts_deletes_and_finds(spark):
     assert index.insert(gone).lookup(gone).count() == 100
 
 
+def test_index_decides_by_its_filters(spark):
+    rows = [(i, f"text {i % 600}") for i in range(900)]
+    marked = cuckoo.digests(spark.createDataFrame(rows, "doc_id long, text string"))
+    first = cuckoo.CuckooIndex.empty(spark, 10).insert(marked.filter("doc_id < 600"))
+    assert first.hits(marked.filter("doc_id >= 600")).count() == 300 and first.later.count() == 0
+    unknown = cuckoo.digests(spark.createDataFrame([(i, f"new {i}") for i in range(500)], "doc_id long, text string"))
+    assert first.hits(unknown).count() < 10
+    then = first.insert(marked.filter("doc_id >= 600"))
+    assert then.live.count() == 600 and then.later.count() == 300
+    # a key that the filter doesn't know is not found, stored or not
+    blind = cuckoo.CuckooIndex(first.filters.limit(0), first.live, first.later, first.shards, first.buckets)
+    assert blind.lookup(marked).count() == 0 and then.lookup(marked).filter("copies = 2").count() == 300
+
+
+def test_overflow_builds_the_filter_from_stored_keys(spark):
+    marked = cuckoo.digests(spark.createDataFrame([(i, f"text {i}") for i in range(9000)], "doc_id long, text string"))
+    index = cuckoo.CuckooIndex.empty(spark, 10).insert(marked.filter("doc_id < 2000"))
+    small = {r["shard"]: r["buckets"] for r in index.filters.collect()}
+    index = index.insert(marked.filter("doc_id >= 2000"))
+    assert all(r["buckets"] > small[r["shard"]] == 64 for r in index.filters.collect())
+    assert index.lookup(marked).count() == index.keys().count() == 9000
+
+
+@pytest.mark.parametrize("batches", [1, 3, 7])
+def test_exact_dedup_of_any_number_of_batches(spark, documents, batches):
+    docs = spark.createDataFrame(documents, "doc_id long, text string")
+    groups = {}
+    for doc, text in documents:
+        groups.setdefault((text or "").translate(str.maketrans(cuckoo.UPPER, cuckoo.LOWER)), []).append(doc)
+    expected = sorted(((d, max(g), len(g)) for g in groups.values() for d in g), key=repr)
+    assert found(cuckoo.exact_dedup(docs, batches), "doc_id", "keep_id", "group_size") == expected
+
+
 def test_filter_overflow_is_resized():
-    shard = cuckoo.Shard(cuckoo._frame([]))
     keys = [base64.b16decode(reference.sha(str(i).encode()).upper()) for i in range(3000)]
-    for i, key in enumerate(keys):
-        shard.put(key, i, 1)
-    assert shard.filter.buckets > 64 and all(k in shard.filter for k in keys)
+    assert not all(map(cuckoo.Filter(64).add, keys))
+    known = cuckoo.Filter.holding(keys, 64)
+    assert known.buckets > 64 and all(k in known for k in keys)
     for key in keys[:1500]:
-        assert shard.drop(key) == "deleted"
-    assert all(k in shard.filter for k in keys[1500:]) and sum(k in shard.filter for k in keys[:1500]) < 20
+        known.remove(key)
+    assert all(k in known for k in keys[1500:]) and sum(k in known for k in keys[:1500]) < 20
 
 
 # --- pipeline ----------------------------------------------------------------------
