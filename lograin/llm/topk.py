@@ -9,12 +9,17 @@ list's smallest), so only such entries are collected, and dropped when the parts
 collected plus the threshold for the others stay below. Phase 3 resolves the rest
 exactly and keeps, per query, what reaches the cutoff.
 
-Queries and candidates meet as blocks of bounded size, each pair of blocks once. A block hands on at
-most ``k`` entries per query, so equal vectors cannot flood the result.
+Queries and candidates meet as blocks of bounded size, candidates in order of bands of their length.
+Phase 1 multiplies each pair of blocks once. A product is at most the product of the lengths, so a
+block of queries is not sent to the bands that are too short for its cutoffs, and in a
+pair of blocks the queries and candidates that cannot meet are left out before anything is
+multiplied in phases 2 and 3. Vectors of one length leave nothing to prune by it. A block hands on at
+most ``k`` entries per query, so equal vectors cannot flood the result, and best scores are merged
+:data:`MERGED` lists at a time, ``k`` of which go on.
 
 Defined cases: vectors that are null or hold null or non-finite components take no
 part, nor do rows without an id; shorter vectors count as padded with zeros; rows
-repeating an id are candidates each, and queries each; an empty vector scores 0; an empty
+repeating an id are candidates each, also of one another, and queries each; an empty vector scores 0; an empty
 table gives no rows; other columns are ignored. Scores must fit a long.
 """
 
@@ -24,14 +29,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lograin.session import materialize
 
 CANDIDATE_BLOCK, QUERY_BLOCK, SLICE = 4096, 512, 128
 GROUPS = 4
-BLOCK_SQL = "block int, ids binary, matrix binary"
+#: Lists of best scores that are merged at a time, and bands of vector lengths.
+MERGED, BANDS = 64, 64
+#: Part of a bound that rounding may cost.
+ROUNDING = 1e-9
+BLOCK_SQL = "block int, ids binary, own binary, matrix binary, lengths array<double>"
 
 
 def _pack(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
@@ -42,22 +51,45 @@ def _pack(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
     lengths = np.diff(vectors.offsets.to_numpy())
     matrix = np.zeros((len(lengths), int(lengths.max(initial=0))), "<i8")
     matrix[np.arange(matrix.shape[1]) < lengths[:, None]] = vectors.flatten().to_numpy()
-    ids = rows.column("vec_id").to_numpy().astype("<i8")
-    return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "ids": [ids.tobytes()], "matrix": [matrix.tobytes()]})
+    found = {n: [rows.column(c).to_numpy().astype("<i8").tobytes()] for n, c in (("ids", "vec_id"), ("own", "row"))}
+    lengths = pa.array([_lengths(matrix)], pa.list_(pa.float64()))
+    return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), **found, "matrix": [matrix.tobytes()], "lengths": lengths})
 
 
-def _blocks(vectors: DataFrame, size: int) -> tuple[DataFrame, int]:
-    count = max(1, -(-vectors.count() // size))
-    block = F.pmod(F.xxhash64("vec_id"), F.lit(count)).cast("int").alias("block")
-    packed = vectors.select("vec_id", "vector", block).groupBy("block").applyInArrow(_pack, BLOCK_SQL)
-    return materialize(packed), count
+def _lengths(matrix: np.ndarray) -> np.ndarray:
+    return np.sqrt((matrix.astype(np.float64) ** 2).sum(axis=1))
+
+
+def _blocks(vectors: DataFrame, size: int) -> tuple[DataFrame, list[tuple[int, float]]]:
+    """Blocks of about ``size`` vectors by bands of length, and (blocks, largest length) of each band, shortest first."""
+    cuts = vectors.agg(F.percentile_approx("length", [i / BANDS for i in range(1, BANDS)])).first()[0] or []
+    cuts = sorted(set(cuts))
+    band = sum((F.col("length") > c).cast("int") for c in cuts) if cuts else F.lit(0)
+    banded = vectors.withColumn("band", band)
+    stats = {r["band"]: r for r in banded.groupBy("band").agg(F.count("*").alias("n"), F.max("length").alias("longest")).collect()}
+    bands, first, pick = [], 0, F.lit(0)
+    for b in sorted(stats):
+        count = -(-stats[b]["n"] // size)
+        pick = F.when(F.col("band") == b, first + F.pmod(F.xxhash64("row"), F.lit(count))).otherwise(pick)
+        bands.append((count, stats[b]["longest"]))
+        first += count
+    packed = banded.select("vec_id", "row", "vector", pick.cast("int").alias("block")).groupBy("block").applyInArrow(_pack, BLOCK_SQL)
+    return materialize(packed), bands
+
+
+def first_block(reach: Column, bands: list[tuple[int, float]]) -> Column:
+    """The first block of the first band with a vector as long as ``reach``."""
+    short = F.lit(0)
+    for count, longest in bands[:-1]:
+        short = short + F.when(F.lit(longest) < reach, count).otherwise(0)
+    return short.cast("int")
 
 
 class _Cell:
     """One block of queries against one block of candidates."""
 
     def __init__(self, row: dict):
-        self.query_ids, self.ids = (np.frombuffer(row[n], "<i8") for n in ("query_ids", "ids"))
+        self.query_ids, self.ids, self.query_own, self.own = (np.frombuffer(row[n], "<i8") for n in ("query_ids", "ids", "query_own", "own"))
         queries, items = (
             np.frombuffer(row[n], "<i8").reshape(len(i), -1) for n, i in (("queries", self.query_ids), ("matrix", self.ids))
         )
@@ -69,11 +101,12 @@ class _Cell:
         self.lowest = -np.inf if exact is np.float64 else np.iinfo(np.int64).min
         self.groups = [slice(g * dims // GROUPS, (g + 1) * dims // GROUPS) for g in range(GROUPS)]
 
-    def slices(self) -> Iterator[tuple[slice, list[np.ndarray], np.ndarray]]:
-        """Queries of a slice, their lists, and which entries are the query itself."""
-        for start in range(0, len(self.query_ids), SLICE):
-            part = slice(start, start + SLICE)
-            yield part, [self.queries[part, g] @ self.items[g] for g in self.groups], self.query_ids[part, None] == self.ids
+    def slices(self, queries: np.ndarray, items: np.ndarray | slice = slice(None)) -> Iterator[tuple[np.ndarray, list[np.ndarray], np.ndarray]]:
+        """Some queries of a slice, their lists over some candidates, and which entries are the query itself."""
+        columns, own = self.items[:, items], self.own[items]
+        for start in range(0, len(queries), SLICE):
+            part = queries[start : start + SLICE]
+            yield part, [self.queries[part, g] @ columns[g] for g in self.groups], self.query_own[part, None] == own
 
 
 def _best(scores: np.ndarray, k: int) -> np.ndarray:
@@ -83,22 +116,21 @@ def _best(scores: np.ndarray, k: int) -> np.ndarray:
 
 
 def _gather(k: int):
-    schema = pa.schema([("query_block", pa.int32()), ("query", pa.int32()), ("scores", pa.list_(pa.int64()))])
+    schema = pa.schema([("query_block", pa.int32()), ("block", pa.int32()), ("query", pa.int32()), ("scores", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 cell = _Cell(row)
-                for part, lists, own in cell.slices():
+                for part, lists, own in cell.slices(np.arange(len(cell.query_ids))):
                     listed = np.zeros(own.shape, bool)
                     for scores in lists:
                         np.put_along_axis(listed, _best(np.where(own, cell.lowest, scores), k), True, axis=1)
                     total = np.where(listed & ~own, sum(lists), cell.lowest)
                     top = np.take_along_axis(total, _best(total, k), axis=1)
                     found = [r[r > cell.lowest].astype(np.int64) for r in top]
-                    number = np.arange(part.start, part.start + len(found), dtype=np.int32)
-                    blocks = pa.array(np.full(len(found), row["query_block"], np.int32))
-                    yield pa.RecordBatch.from_arrays([blocks, pa.array(number), pa.array(found, pa.list_(pa.int64()))], schema=schema)
+                    blocks = [pa.array(np.full(len(found), row[n], np.int32)) for n in ("query_block", "block")]
+                    yield pa.RecordBatch.from_arrays([*blocks, pa.array(part.astype(np.int32)), pa.array(found, pa.list_(pa.int64()))], schema=schema)
 
     return run
 
@@ -112,19 +144,30 @@ def _resolve(k: int):
             for row in batch.to_pylist():
                 cell = _Cell(row)
                 cutoffs = np.array(row["cutoffs"], np.int64)
-                for part, lists, own in cell.slices():
+                queries, items = _in_reach(cutoffs, np.array(row["query_lengths"]), np.array(row["lengths"]))
+                for part, lists, own in cell.slices(queries, items):
                     query, item, score = _survivors(lists, own, cutoffs[part])
+                    item = items[item]
                     order = np.lexsort((cell.ids[item], -score, query))
                     query, item, score = query[order], item[order], score[order]
                     rank = np.arange(len(query)) - np.searchsorted(query, query)
                     query, item, score = (a[rank < k] for a in (query, item, score))
-                    query = query + part.start
+                    query = part[query]
                     columns = [np.full(len(query), row["query_block"]), query, cell.query_ids[query], cell.ids[item], score]
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
     return run
 
 
+def _in_reach(cutoffs: np.ndarray, queries: np.ndarray, items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Queries and candidates, by their lengths, that some product of lengths lets reach a cutoff."""
+    slack = ROUNDING * np.abs(cutoffs) + ROUNDING
+    some = np.flatnonzero(queries * items.max(initial=0) >= cutoffs - slack)
+    # the length a candidate needs for the easiest of these queries
+    wanted = np.where(queries[some] > 0, (cutoffs - slack)[some] / np.maximum(queries[some], 1e-300), 0.0)
+    return some, np.flatnonzero(items >= wanted.min(initial=np.inf))
+
+
 def _survivors(lists: list[np.ndarray], own: np.ndarray, cutoff: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Queries, candidates and scores of a slice that reach the cutoff, by phases 2 and 3."""
     least = [scores.min(axis=1) for scores in lists]
@@ -150,24 +193,49 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64) ->
     usable = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     whole = F.transform("embedding", lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("vector")
     rows = vectors.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & usable)
-    rows = materialize(rows.select(F.col("vec_id").cast("long").alias("vec_id"), whole))
-    items, item_blocks = _blocks(rows, CANDIDATE_BLOCK)
+    rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), whole)
+    length = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x)).alias("length")
+    rows = materialize(rows.select("vec_id", "vector", length, F.monotonically_increasing_id().alias("row")))
+    items, bands = _blocks(rows, CANDIDATE_BLOCK)
     queries, _ = _blocks(rows.filter(F.col("vec_id") % every == 0), QUERY_BLOCK)
-    queries = queries.select(F.col("block").alias("query_block"), F.col("ids").alias("query_ids"), F.col("matrix").alias("queries"))
+    queries = queries.select(
+        F.col("block").alias("query_block"), F.col("ids").alias("query_ids"), F.col("own").alias("query_own"),
+        F.col("matrix").alias("queries"), F.col("lengths").alias("query_lengths"),
+    )
+    last = max(sum(count for count, _ in bands) - 1, 0)
 
-    def cells(left: DataFrame) -> DataFrame:
-        met = left.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(item_blocks - 1))))
+    def cells(left: DataFrame, first: Column) -> DataFrame:
+        met = left.withColumn("block", F.explode(F.sequence(first, F.lit(last))))
         return met.join(items.hint("shuffle_hash"), "block")
 
-    gathered = cells(queries).mapInArrow(_gather(k), "query_block int, query int, scores array<long>")
-    ordered = F.sort_array(F.flatten(F.collect_list("scores")), asc=False)
-    kth = F.coalesce(F.get(ordered, F.lit(k - 1)), F.lit(-(1 << 62)))
-    cutoffs = gathered.groupBy("query_block", "query").agg(kth.alias("cutoff")).groupBy("query_block").agg(
+    gathered = cells(queries, F.lit(0)).mapInArrow(_gather(k), "query_block int, block int, query int, scores array<long>")
+    cutoffs = _cutoffs(gathered, k, last + 1).groupBy("query_block").agg(
         F.sort_array(F.collect_list(F.struct("query", "cutoff"))).getField("cutoff").alias("cutoffs")
     )
-    cutoffs = materialize(cutoffs)
-    found = cells(queries.join(cutoffs, "query_block")).mapInArrow(
+    waiting = queries.join(materialize(cutoffs), "query_block")
+    found = cells(waiting, first_block(shortest_reach(), bands)).mapInArrow(
         _resolve(k), "query_block int, query int, query_id long, vec_id long, score long"
     )
     rank = F.row_number().over(Window.partitionBy("query_block", "query").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _cutoffs(gathered: DataFrame, k: int, blocks: int) -> DataFrame:
+    """(query_block, query, cutoff) of (query_block, block, query, scores): the k-th best score, or none."""
+    best = F.slice(F.sort_array(F.flatten(F.collect_list("scores")), asc=False), 1, k).alias("scores")
+    while blocks > 1:
+        gathered = gathered.groupBy("query_block", "query", F.floor(F.col("block") / MERGED).cast("int").alias("block")).agg(best)
+        blocks = -(-blocks // MERGED)
+    ordered = F.sort_array("scores", asc=False)
+    kth = F.coalesce(F.get(ordered, F.lit(k - 1)), F.lit(-(1 << 62))).alias("cutoff")
+    return gathered.select("query_block", "query", kth)
+
+
+def shortest_reach() -> Column:
+    """The length a candidate needs to reach the cutoff of the easiest query of a block."""
+
+    def one(query: Column) -> Column:
+        cutoff = query["cutoffs"] - ROUNDING * F.abs(query["cutoffs"]) - ROUNDING
+        return F.when(query["query_lengths"] > 0, cutoff / query["query_lengths"]).otherwise(0.0)
+
+    return F.array_min(F.transform(F.arrays_zip("cutoffs", "query_lengths"), one))

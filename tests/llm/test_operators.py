@@ -205,6 +205,31 @@ def test_top_k_awkward(spark):
     assert topk.top_k(vectors.limit(0), 7, 20).count() == 0
 
 
+def test_top_k_of_repeated_ids_and_vectors_of_all_lengths(spark, monkeypatch):
+    monkeypatch.setattr(topk, "CANDIDATE_BLOCK", 16)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 4)
+    monkeypatch.setattr(topk, "MERGED", 3)
+    rng = np.random.default_rng(3)
+    rows = [(int(i), (rng.normal(size=8) * 1.5 ** (i % 17)).round(3).tolist()) for i in range(300)]
+    rows += [(40, [1.0] * 8)] * 3 + [(41, [0.0] * 8), (60, [0.0] * 8), (80, rows[5][1]), (5, rows[5][1])]
+    whole = np.floor(np.array([v for _, v in rows]) * 64).astype(np.int64)
+    ids, expected = np.array([i for i, _ in rows]), []
+    for at in np.flatnonzero(ids % 20 == 0):
+        others = np.delete(np.arange(len(rows)), at)
+        best = sorted((-int(whole[at] @ whole[o]), int(ids[o])) for o in others)[:7]
+        expected += [(int(ids[at]), rank, vec, -score) for rank, (score, vec) in enumerate(best, 1)]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 7, 20)
+    assert found(got, "query_id", "rank", "vec_id", "score") == sorted(expected, key=repr)
+
+
+def test_short_candidates_are_not_multiplied(spark):
+    bands = [(3, 1.0), (2, 5.0), (4, 9.0)]
+    rows = spark.createDataFrame([([40, 90], [10.0, 10.0]), ([70, 90], [10.0, 10.0]), ([-5, 90], [10.0, 0.0])], "cutoffs array<long>, query_lengths array<double>")
+    assert [r[0] for r in rows.select(topk.first_block(topk.shortest_reach(), bands)).collect()] == [3, 5, 0]
+    queries, items = topk._in_reach(np.array([50, 90]), np.array([10.0, 10.0]), np.array([1.0, 5.0, 8.0]))
+    assert queries.tolist() == [0] and items.tolist() == [1, 2]
+
+
 # --- 5 BPE ---------------------------------------------------------------------
 
 
