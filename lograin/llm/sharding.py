@@ -1,5 +1,9 @@
 """Sharding by a k-d tree over document metadata.
 
+The dimensions are the length of the text and, where the table has them, its language and source, which
+get a place each by their names' hash. Equal texts take the smallest value of their group in every
+dimension, so they lie at one point whatever their rows say.
+
 Every node splits along its widest metadata dimension at the weighted median (weight:
 bytes), all nodes of a level at once, until each leaf holds its share of the bytes.
 A dimension's order is one long: the scaled value, then bits of the text's hash, so
@@ -9,7 +13,7 @@ bin border as soon as that border is near enough. Only where a single key outwei
 the tolerance - a large group of equal texts - its documents are divided by the hash
 of their ids, so no group keeps a shard from its share.
 
-Defined cases: a null text has no bytes and the checksum of the empty text; rows that
+Defined cases: null metadata is a value of its own, at the lower end; a null text has no bytes and the checksum of the empty text; rows that
 repeat an id and text may meet in either shard; fewer documents than shards leave
 shards empty; an empty table gives no rows; other columns are ignored.
 """
@@ -18,6 +22,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,6 +38,7 @@ TOLERANCE = 1e-3
 #: ... or by this part where it would divide equal texts otherwise.
 GROUP_TOLERANCE = 1e-2
 SLOT_ROWS = 20_000
+SALTS = 16
 
 
 @dataclass
@@ -50,14 +57,27 @@ class _Cut:
         return max(1, -(-(self.hi - self.lo) // BINS))
 
 
-def text_metadata() -> dict[str, Column]:
-    """Default dimensions; each depends on the text alone, so equal texts stay together."""
-    chars = F.greatest(F.length("text"), F.lit(1))
-    return {
-        "script": F.octet_length("text") / chars,
-        "spacing": F.length(F.replace("text", F.lit(" "), F.lit(""))) / chars,
-        "mark": F.crc32(F.col("text").cast("binary")) / float(1 << 32),
-    }
+def metadata(docs: DataFrame) -> dict[str, Column]:
+    """Default dimensions: log of the length, and language and source as places between 0 and 1."""
+    named = [c for c in ("lang", "source") if c in docs.columns]
+    places = {c: (F.crc32(F.col(c).cast("string").cast("binary")) + 1) / float(1 << 32) for c in named}
+    return {"length": F.log2(F.octet_length(F.coalesce("text", F.lit(""))) + 1.0), **places}
+
+
+def _agreed(measured: DataFrame, dims: list[str]) -> DataFrame:
+    """Rows of equal texts with the smallest value of each dimension in their group.
+
+    Only groups whose rows differ are joined, each dealt in :data:`SALTS` parts.
+    """
+    edges = [f(d).alias(f"{f.__name__}_{d}") for d in dims for f in (F.min, F.max)]
+    differ = reduce(or_, [F.col(f"min_{d}") < F.col(f"max_{d}") for d in dims])
+    mixed = measured.groupBy("mark", "text_crc32").agg(*edges).filter(differ)
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    mixed = mixed.select("mark", "text_crc32", salts, *[f"min_{d}" for d in dims])
+    salted = measured.withColumn("salt", F.pmod("tie", F.lit(SALTS)).cast("int"))
+    joined = salted.join(mixed, ["mark", "text_crc32", "salt"], "left")
+    others = [c for c in measured.columns if c not in dims]
+    return joined.select(*others, *[F.coalesce(f"min_{d}", d).alias(d) for d in dims])
 
 
 def _sums(rows: DataFrame, key: Column, ranges: dict[int, tuple[int, int, int]]) -> dict[int, dict[int, int]]:
@@ -110,19 +130,19 @@ def _search(rows: DataFrame, cuts: dict[int, _Cut], key: Column, slack: float, k
 def shard_by_metadata(
     docs: DataFrame, shards: int = 16, dimensions: Mapping[str, Column] | None = None
 ) -> DataFrame:
-    """Deal all documents to ``shards`` leaves of near equal bytes.
+    """Deal all documents to ``shards`` leaves of near equal bytes along ``dimensions``, or :func:`metadata`.
 
     Columns: doc_id, size (UTF-8 bytes + 1), text_crc32, shard, slot (from 0 in each shard).
     """
-    values = dict(dimensions or text_metadata())
-    plain = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    measured = plain.select(
-        F.col("doc_id"), (F.octet_length("text") + 1).cast("long").alias("size"),
-        F.crc32(F.col("text").cast("binary")).alias("text_crc32"), F.xxhash64("text").alias("mark"),
+    values = dict(dimensions or metadata(docs))
+    text = F.coalesce("text", F.lit(""))
+    measured = docs.select(
+        F.col("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("mark"),
         F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("tie")), 1).alias("tie"),
         *[F.coalesce(v.cast("double"), F.lit(0.0)).alias(f"d{i}") for i, v in enumerate(values.values())],
     )
-    measured = materialize(measured)
+    measured = materialize(_agreed(materialize(measured), [f"d{i}" for i in range(len(values))]))
     dims = range(len(values))
     bounds = measured.agg(*[f(f"d{i}") for i in dims for f in (F.min, F.max)], F.sum("size")).first()
     total = bounds[-1] or 0

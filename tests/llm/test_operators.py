@@ -301,6 +301,41 @@ def test_a_large_group_is_divided(spark):
     assert len(shards) == 5 and max(r["bytes"] for r in shards) < 1.05 * sum(r["bytes"] for r in shards) / 5
 
 
+def test_shards_follow_the_metadata(spark):
+    """The cuts separate sources, then lengths; equal texts meet whatever their rows say."""
+    rows = [(i, f"{i:06d} some words of a text", "en", f"source {i % 2}") for i in range(400)]
+    schema = "doc_id long, text string, lang string, source string"
+    dealt = sharding.shard_by_metadata(spark.createDataFrame(rows, schema), 2)
+    assert len({(r["doc_id"] % 2, r["shard"]) for r in dealt.collect()}) == 2
+    lengths = [(i, f"{i:06d}" + "x" * (10 + 3 * i), "en", "one") for i in range(400)]
+    dealt = sharding.shard_by_metadata(spark.createDataFrame(lengths, schema), 4).collect()
+    spans = {}
+    for r in dealt:
+        spans.setdefault(r["shard"], []).append(r["size"])
+    ordered = sorted((min(v), max(v)) for v in spans.values())
+    assert all(a[1] < b[0] for a, b in zip(ordered, ordered[1:]))
+    copies = [(i, f"text {i // 4} of four copies", ("en", "de", None, "fr")[i % 4], f"source {i % 3}") for i in range(2000)]
+    dealt = sharding.shard_by_metadata(spark.createDataFrame(copies, schema), 8).collect()
+    places = {}
+    for r in dealt:
+        places.setdefault(r["text_crc32"], set()).add(r["shard"])
+    assert len(places) == 500 and all(len(p) == 1 for p in places.values())
+    weights = [sum(r["size"] for r in dealt if r["shard"] == n) for n in range(8)]
+    assert max(weights) < 1.05 * sum(weights) / 8
+
+
+def test_equal_texts_stay_together(spark):
+    """Every text of the table lies in one shard, but groups too large for that."""
+    big = "/root/testdata/sf0.01"
+    dealt = queries.op6_sharding(spark, big).collect()
+    places, total = {}, sum(r["size"] for r in dealt)
+    for r in dealt:
+        shards, size = places.get((r["text_crc32"], r["size"]), (set(), 0))
+        places[r["text_crc32"], r["size"]] = shards | {r["shard"]}, size + r["size"]
+    assert {r["law"] for r in dealt} == {"bytes"}
+    assert all(len(shards) == 1 or size > sharding.GROUP_TOLERANCE * total / 16 for shards, size in places.values())
+
+
 def test_shards_of_awkward_rows(awkward, empty):
     got = found(sharding.shard_by_metadata(awkward, 3), "doc_id", "size", "text_crc32")
     expected = [(d, len((t or "").encode()) + 1, reference.crc((t or "").encode())) for d, t, *_ in AWKWARD]
