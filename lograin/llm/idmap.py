@@ -40,9 +40,16 @@ def thin(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
 
 def split_by_map(rows: DataFrame, key: Column, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows whose key may be in ``ids``, and rows whose key is not."""
-    keyed = rows.withColumn("_key", key)
-    bit = _bit(F.col("_key"))
-    small = F.broadcast(ids.select(F.col("bucket").alias("_bucket"), F.col("bits").alias("_bits")))  # 2 MB at most
-    met = keyed.join(small, F.shiftright(bit, BUCKET_BITS) == F.col("_bucket"), "left")
-    hit = F.coalesce(_holds(bit, F.col("_bits")), F.lit(False))
+    bit, bucket, bits = _bit(key), free_name(rows, "bucket"), free_name(rows, "bits")
+    small = F.broadcast(ids.select(F.col("bucket").alias(bucket), F.col("bits").alias(bits)))  # 2 MB at most
+    met = rows.join(small, F.shiftright(bit, BUCKET_BITS) == F.col(bucket), "left")
+    hit = F.coalesce(_holds(bit, F.col(bits)), F.lit(False))
     return met.filter(hit).select(*rows.columns), met.filter(~hit).select(*rows.columns)
+
+
+def free_name(rows: DataFrame, wanted: str) -> str:
+    """``wanted``, or a longer name that no column of ``rows`` has."""
+    taken = {c.lower() for c in rows.columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted

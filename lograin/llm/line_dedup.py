@@ -310,6 +310,16 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     ``text`` is the text left; columns n_lines, n_equal and n_near count its lines and those
     that went as equal to an earlier line or as near one. The other columns are those of ``docs``.
     """
+    # columns of the caller travel as one, so that their names meet none of ours
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    wrapped = docs.select("doc_id", "text", F.struct(F.lit(0).alias("none"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(others)]).alias("rest"))
+    left = {c: F.col(f"rest.c{i}") for i, c in enumerate(others)} | {"doc_id": F.col("doc_id"), "text": F.col("text")}
+    counts = ("n_lines", "n_equal", "n_near")
+    return _dedup_lines(wrapped).select(*[left[c].alias(c) for c in docs.columns if c not in counts], *counts)
+
+
+def _dedup_lines(docs: DataFrame) -> DataFrame:
+    """The same for tables of doc_id, text and rest."""
     near, row = F.col("near"), F.xxhash64("_at", "_own")
     gone = dropped_lines(docs).groupBy(F.col("at").alias("_at"), F.col("own").alias("_own")).agg(
         F.collect_set(F.when(~near, F.col("line_no"))).alias("_same"), F.collect_set(F.when(near, F.col("line_no"))).alias("_close")
@@ -336,7 +346,4 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     equal = F.when(F.col("_copy"), F.coalesce(F.size(lines) - F.size(blank), F.lit(0)).cast("long")).otherwise(F.col("_equal"))
     close = F.when(F.col("_copy"), F.lit(0).cast("long")).otherwise(F.col("_near"))
     counted = both.withColumns({"n_lines": F.coalesce(F.when(F.col("text") == "", 0).otherwise(F.size(lines)), F.lit(0)).cast("long"), "_left": text})
-    return counted.select(
-        *[F.col("_left").alias("text") if c == "text" else F.col(c) for c in docs.columns if c not in ("n_lines", "n_equal", "n_near")],
-        "n_lines", equal.alias("n_equal"), close.alias("n_near"),
-    )
+    return counted.select("doc_id", F.col("_left").alias("text"), "rest", "n_lines", equal.alias("n_equal"), close.alias("n_near"))

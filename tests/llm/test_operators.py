@@ -391,6 +391,17 @@ def test_banded_distance():
         assert got.tolist() == [reference.within_edits(texts[i], texts[j], tau) for i, j in zip(a, b)]
 
 
+def test_lines_keep_clashing_columns(spark):
+    """Columns of the caller come out as they went in, whatever they are called."""
+    names = ["_key", "_gone", "_own", "_at", "_bits", "_bucket", "bucket", "bits", "_rows", "_row", "_same", "_copy", "near", "rest", "c0"]
+    rows = [(i, f"a shared line of some length\nown line {i} of a text", *[f"{n} {i}" for n in names]) for i in range(6)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", *names])
+    got = line_dedup.dedup_lines(docs.unionByName(docs.filter("doc_id = 3")))
+    assert got.columns == [*docs.columns, "n_lines", "n_equal", "n_near"]
+    assert found(got, "doc_id", *names) == sorted([(r[0], *r[2:]) for r in [*rows, rows[3]]], key=repr)
+    assert {r["doc_id"] for r in got.filter("n_equal = 0").collect()} == {0}
+
+
 # --- 8 quality -------------------------------------------------------------------
 
 
@@ -408,6 +419,12 @@ def test_quality_of_awkward_rows(spark, awkward, empty):
     assert rules.score_quality(empty, labels).count() == 0
 
 
+def test_sample_is_the_first_by_hash(spark):
+    known = spark.range(30_000).select(F.col("id").alias("doc_id"), *[F.rand(i).alias(c) for i, c in enumerate(rules.STATISTICS)], (F.col("id") % 2).alias("label"))
+    plain = known.orderBy(F.xxhash64("doc_id", *rules.STATISTICS), "label").limit(500)
+    assert found(rules.first_rows(known, 500), "doc_id") == found(plain, "doc_id")
+
+
 def test_rules_mean_the_same_on_both_sides(spark):
     rng = np.random.default_rng(3)
     x = rng.random((400, len(rules.STATISTICS)))
