@@ -62,8 +62,9 @@ def _lengths(matrix: np.ndarray) -> np.ndarray:
 
 def _blocks(vectors: DataFrame, size: int) -> tuple[DataFrame, list[tuple[int, float]]]:
     """Blocks of about ``size`` vectors by bands of length, and (blocks, largest length) of each band, shortest first."""
-    cuts = vectors.agg(F.percentile_approx("length", [i / BANDS for i in range(1, BANDS)])).first()[0] or []
-    cuts = sorted(set(cuts))
+    wanted = min(BANDS, -(-vectors.count() // size))  # no more bands than whole blocks
+    shares = [i / wanted for i in range(1, wanted)]
+    cuts = sorted(set(vectors.agg(F.percentile_approx("length", shares)).first()[0] or [])) if shares else []
     band = sum((F.col("length") > c).cast("int") for c in cuts) if cuts else F.lit(0)
     banded = vectors.withColumn("band", band)
     stats = {r["band"]: r for r in banded.groupBy("band").agg(F.count("*").alias("n"), F.max("length").alias("longest")).collect()}
