@@ -7,6 +7,8 @@ logarithmic number of joins. Only documents that deep take part in it.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,15 +52,16 @@ def sort_keys(value: Column) -> Column:
     return F.transform(sorted_members(value), lambda member: member["key"])
 
 
-def _children(value: Column) -> Column:
-    """Children of either container with the texts around them, NULL for scalars.
+def _children(value: Column, stepped: bool = False) -> Column:
+    """Children of either container with the texts around them, NULL for scalars; ``stepped``, with the steps of paths instead.
 
     One list for both kinds keeps nested expressions linear in their depth.
     """
 
     def child(name, item, post, step):
-        pre = F.concat(name, F.lit(":"))
-        return F.struct(pre.alias("pre"), item.alias("v"), F.lit(post).alias("post"), F.concat(*step).alias("step"))
+        if stepped:
+            return F.struct(item.alias("v"), F.concat(*step).alias("step"))
+        return F.struct(F.concat(name, F.lit(":")).alias("pre"), item.alias("v"), F.lit(post).alias("post"))
 
     return F.coalesce(
         F.transform(
@@ -71,27 +74,34 @@ def _children(value: Column) -> Column:
     )
 
 
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that it names more than once and that is worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _leaf(value: Column) -> Column:
-    kind, text = F.schema_of_variant(value), value.cast("string")
-    return (
-        F.when(kind == "STRING", F.when(json_is_id(text), "<ID>").otherwise(text))
-        .when(kind == "BOOLEAN", "<BOOL>")
-        .when(kind == "VOID", "")
-        .when(~kind.rlike("^(OBJECT|ARRAY)"), "<NUM>")
-    )
+    """Text of a scalar in fingerprints, NULL for containers."""
+
+    def of_kind(kind: Column) -> Column:
+        text = _bound(value.cast("string"), lambda t: F.when(json_is_id(t), "<ID>").otherwise(t))
+        return (
+            F.when(kind == "STRING", text)
+            .when(kind == "BOOLEAN", "<BOOL>")
+            .when(kind == "VOID", "")
+            .when(~(kind.startswith("OBJECT") | kind.startswith("ARRAY")), "<NUM>")
+        )
 
+    return _bound(F.schema_of_variant(value), of_kind)
 
-def _pieces(value: Column, depth: int) -> Column:
-    """Fingerprint in pieces; NULL wherever a container lies too deep."""
-    leaf = F.array(_leaf(value))
-    leaf = F.when(F.get(leaf, F.lit(0)).isNotNull(), leaf)
+
+def _shape(value: Column, depth: int) -> Column:
+    """Fingerprint of a value; NULL wherever a container lies too deep."""
+    leaf = _leaf(value)
     if depth == 0:
         return leaf
-    inner = F.transform(
-        _children(value),
-        lambda c: F.concat(F.array(c["pre"]), _pieces(c["v"], depth - 1), F.array(c["post"])),
-    )
-    return F.coalesce(F.flatten(inner), leaf)
+    inner = F.transform(_children(value), lambda c: F.concat(c["pre"], _shape(c["v"], depth - 1), c["post"]))
+    joined = _bound(inner, lambda texts: F.when(~F.exists(texts, F.isnull), F.array_join(texts, "")))
+    return F.coalesce(joined, leaf)
 
 
 def with_shape(documents: DataFrame, document: str = "document", depth: int = DEPTH) -> DataFrame:
@@ -101,7 +111,7 @@ def with_shape(documents: DataFrame, document: str = "document", depth: int = DE
     deeper through :func:`_deep_values`.
     """
     keep = [name for name in documents.columns if name != document]
-    shaped = documents.withColumn("shape", F.array_join(_pieces(F.col(document), depth), ""))
+    shaped = documents.withColumn("shape", _shape(F.col(document), depth))
     deeper = F.when(F.col("shape").isNull(), F.col(document)).alias("_value")
     shaped = materialize(shaped.select(*keep, "shape", deeper, F.monotonically_increasing_id().alias("_key")))
     deep = shaped.filter("_value is not null")
@@ -134,7 +144,7 @@ def _below(value: Column, path: Column, depth: int) -> Column:
             return F.array(_node(own, c["v"], F.when(_leaf(c["v"]).isNull(), c["v"])))
         return F.concat(F.array(_node(own, c["v"], F.lit(None).cast("variant"))), _below(c["v"], own, depth - 1))
 
-    return F.coalesce(F.flatten(F.transform(_children(value), child)), F.array().cast(NODES))
+    return F.coalesce(F.flatten(F.transform(_children(value, stepped=True), child)), F.array().cast(NODES))
 
 
 def json_nodes(documents: DataFrame, document: str = "document", depth: int = NODE_DEPTH) -> DataFrame:
