@@ -106,21 +106,25 @@ def json_values(bodies: DataFrame, body: str = "body") -> DataFrame:
     """Every JSON value of each text, in ``value``; what is none has its text in ``rejected`` and a ``fault``.
 
     Texts of a single value, the usual case, stay in native code. Only others go through
-    a decoder that goes on after each value. Of equal keys in one object the last counts in
+    a decoder that goes on after each value; a text is parsed once to tell. Of equal keys in one object the last counts in
     sessions that :func:`lograin.session.prepare` has set up.
     """
-    nothing = F.lit(None).cast("string")
     rest = [name for name in bodies.columns if name != body]
     parsed = bodies.withColumn("_value", _single(F.col(body)))
-    whole = parsed.filter("_value is not null").select(*rest, F.col("_value").alias("value"), nothing.alias("rejected"), nothing.alias("fault"))
-    decode = F.pandas_udf(lambda texts: texts.map(_decode), "array<struct<text:string,fault:string>>")
-    parts = parsed.filter("_value is null").select(*rest, F.explode(decode(F.coalesce(F.col(body), F.lit("")))).alias("_part"))
-    value = F.when(F.col("_part.fault").isNull(), F.try_parse_json(F.col("_part.text")))
-    parts = parts.withColumn("value", value).select(
-        *rest, "value", F.when(F.col("value").isNull(), F.col("_part.text")).alias("rejected"),
-        F.when(F.col("value").isNull(), F.coalesce("_part.fault", F.lit("nested too deep"))).alias("fault"),
-    )
-    return whole.unionByName(parts)
+    decode = F.pandas_udf(lambda texts: texts.map(_decode, na_action="ignore"), "array<struct<text:string,fault:string>>")
+    # a filter would move below the parser and parse again, so a row's parts are NULL or a list
+    others = F.when(F.col("_value").isNull(), F.coalesce(F.col(body), F.lit("")))
+    split = parsed.select(*rest, "_value", decode(others).alias("_parts"))
+    row = "array<struct<value:variant,rejected:string,fault:string>>"
+    whole = F.array(F.struct(F.col("_value"), F.lit(None), F.lit(None))).cast(row)
+
+    def part(p: Column) -> Column:
+        value = F.when(p["fault"].isNull(), F.try_parse_json(p["text"]))
+        fault = F.coalesce(p["fault"], F.lit("nested too deep"))
+        return F.get(F.transform(F.array(value), lambda v: F.struct(v, F.when(v.isNull(), p["text"]), F.when(v.isNull(), fault))), 0)
+
+    found = F.when(F.col("_value").isNotNull(), whole).otherwise(F.transform("_parts", part).cast(row))
+    return split.select(*rest, F.inline(found))
 
 
 def json_rejects(bodies: DataFrame, body: str = "body") -> DataFrame:

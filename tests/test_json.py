@@ -152,3 +152,18 @@ def test_is_id(spark):
     golden = {"abc": True, "abcd": False, "": False, "two words": False, "a" * 20: False, "a" * 22: True, "é" * 11: True, "ab\n": True}
     rows = spark.createDataFrame(list(enumerate(golden)), "no int, value string").orderBy("no")
     assert [row[0] for row in rows.select(J.json_is_id(F.col("value"))).collect()] == list(golden.values())
+
+
+def test_a_text_is_parsed_once(spark):
+    """One pass over the texts whatever they hold, and one look at the kind of each scalar."""
+    bodies = ['{"a":"b c"}', '{"a":1} [2,{"b":null}]', "{broken", "", None, "[" * 1100 + "]" * 1100]
+    values = files.json_values(spark.createDataFrame(list(enumerate(bodies)), "no int, body string"))
+    plan = values.filter("fault is null")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan and plan.count("LogicalRDD") + plan.count("LocalRelation") == 1
+    rows = values.select("no", F.to_json("value").alias("value"), F.substring("rejected", 1, 7).alias("rejected"), "fault").collect()
+    assert sorted(map(tuple, rows), key=str) == [
+        (0, '{"a":"b c"}', None, None), (1, '[2,{"b":null}]', None, None), (1, '{"a":1}', None, None),
+        (2, None, "{broken", "malformed"), (5, None, "[" * 7, "nested too deep"),
+    ]
+    shape = spark.range(1).select(J._shape(F.parse_json(F.lit("1")), 1))._jdf.queryExecution().analyzed().toString()
+    assert shape.count("schema_of_variant") + shape.count("schemaOfVariant") <= 4  # two of them in the name of the column
