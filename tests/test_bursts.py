@@ -82,6 +82,21 @@ def test_composed_slices(spark, monkeypatch, span, max_rows, levels):
     assert calls["_entry_deadlines"] >= levels
 
 
+@pytest.mark.parametrize("max_rows", [10**6, 20])
+def test_slices_stream_through_their_tasks(spark, max_rows):
+    """No slice, nor all step functions of a category, are handed to a task as one group; slices may lie across batches."""
+    limit, size = 10 * SECOND, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    _, counts, expected = chain_cases(spark, limit, [1, 3, 50, 800, 1500])
+    before = spark.conf.get(size)
+    try:
+        spark.conf.set(size, 7)
+        found = chain._starts_by_slices(counts, limit, 2, max_rows, {})
+        assert opening_rows(found) == expected
+    finally:
+        spark.conf.set(size, before)
+    assert "InPandas" not in found._jdf.queryExecution().toString()
+
+
 @pytest.mark.parametrize("way", ["slices", "composed", "lifting"])
 def test_chain_goes_on_from_open_windows(spark, way):
     limit = 10 * SECOND
