@@ -6,11 +6,14 @@ import decimal
 import shutil
 
 import pytest
+from pyspark.sql import DataFrameWriter
+from pyspark.sql import functions as F
 
 from lograin.operators import payloads
 from lograin.operators.bursts import Bursts
 from lograin.plans.catalog import PARAMS, QUERIES
 from lograin.plans import inputs
+from lograin.session import scratch_path
 from lograin.sources import sinks
 from lograin.streaming import alerts as alert_stream
 from lograin.streaming import queries as streams
@@ -140,3 +143,18 @@ def test_alerts_come_while_the_feed_goes_on(spark, tmp_path):
     names = ["category", "window_start", "ts", "count", "ip"]
     found = alert_stream.stream_alerts(spark, out)
     assert sorted(map(str, found.select(*names).collect())) == sorted(map(str, expected.select(*names).collect()))
+
+
+def test_feed_makes_its_lines_once(spark, monkeypatch):
+    """The table is rendered in one pass whatever the number of pieces; each piece is later than the one before."""
+    whole, made = inputs.event_entries(spark, SF_DIR), []
+    monkeypatch.setattr(streams.inputs, "event_entries", lambda spark, sf_dir: whole.filter(F.expr("ts > timestamp_ntz'1970-01-01'")))
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path, write=DataFrameWriter.parquet: (made.append(self._df), write(self, path))[1])
+    feed, names = streams.ordered_feed(spark, SF_DIR, 4), ["event_id", "ts", "content"]
+    assert sum("took" in df._jdf.queryExecution().optimizedPlan().toString() for df in made) == 1
+    path = scratch_path(spark, "read")
+    feed.writeStream.foreachBatch(lambda rows, batch: rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")).trigger(availableNow=True).start().awaitTermination()
+    pieces = spark.read.parquet(path)
+    ends = pieces.groupBy("batch").agg(F.min("ts"), F.max("ts")).orderBy("batch").collect()
+    assert len(ends) == 4 and all(a[2] < b[1] for a, b in zip(ends, ends[1:]))
+    assert sorted(map(tuple, pieces.select(*names).collect())) == sorted(map(tuple, whole.select(*names).collect()))
