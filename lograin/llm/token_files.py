@@ -20,11 +20,14 @@ ids; an empty table gives empty files; other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from array import array
-from collections.abc import Iterator
-from itertools import accumulate, chain
+from codecs import charmap_decode
+from collections.abc import Iterable, Iterator
+from itertools import accumulate, chain, compress
 
 import numpy as np
 import pandas as pd
@@ -34,8 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from lograin.llm import rans
-from lograin.llm.bpe import text_slices
-from lograin.llm.chunks import ChunkCache, keep_garbage
+from lograin.llm.chunks import LETTERS, ColumnCache, column_slices, keep_garbage
 from lograin.session import materialize
 
 SHARD_BYTES = 8 << 20
@@ -51,8 +53,15 @@ FILE = pa.schema(
 )
 FILE_SQL = f"shard int, block int, first long, n int, states binary, places array<int>, checks array<long>, words binary, {PIECES_SQL}"
 
+#: The pretokenizer's matches in chunks of ASCII and Latin letters.
+LATIN = re.compile(rf"[\x00-\x7f{LETTERS}]*")
+MATCHES = re.compile(
+    rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[0-9]+| ?[^ \n{LETTERS}0-9]+|[ \n]+(?![^ \n])|[ \n]+"
+)
+
+
 #: Tokenizer cache of this Python worker, kept from task to task.
-_WORKER: dict[int, ChunkCache] = {}
+_WORKER: dict[int, ColumnCache | Words] = {}
 
 
 def _width(definition: str) -> str:
@@ -62,34 +71,86 @@ def _width(definition: str) -> str:
     return "H" if Tokenizer.from_str(definition).get_vocab_size() <= 1 << 16 else "I"
 
 
-def _cache(definition: str, width: str) -> ChunkCache:
-    key = zlib.crc32(definition.encode())
-    if key not in _WORKER:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+def _known_kind(definition: str, contents: list[str]) -> bool:
+    """Whether texts may be cut into chunks and their words sent to the model: byte-level BPE, nothing else applied."""
+    parts = json.loads(definition)
+    first, model = parts.get("pre_tokenizer") or {}, parts["model"]
+    return (
+        not any(parts.get(name) for name in ("normalizer", "truncation", "padding"))
+        and first.get("type") == "ByteLevel" and first.get("use_regex", True) and not first.get("add_prefix_space", True)
+        and model.get("type") == "BPE" and not model.get("dropout")
+        and not any(token[flag] for token in parts.get("added_tokens") or [] for flag in ("single_word", "lstrip", "rstrip"))
+        and not any(re.search(r"\s", content) or re.fullmatch(r"\w+[.,]?", content) for content in contents)
+    )
+
 
-        tokenizer = Tokenizer.from_str(definition)
+def _byte_letters() -> str:
+    """The character that stands for each byte in a byte-level vocabulary."""
+    kept = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = iter(range(0x100, 0x200))
+    return "".join(chr(b if b in kept else next(others)) for b in range(256))
 
-        def ids(parts: list[str]) -> Iterator[bytes]:
-            for start in range(0, len(parts), 20_000):
-                found = [x.ids for x in tokenizer.encode_batch_fast(parts[start : start + 20_000], add_special_tokens=False)]
-                packed, size = array(width, chain.from_iterable(found)).tobytes(), array(width).itemsize
-                stops = list(accumulate(map(len, found), initial=0))
-                yield from [packed[size * a : size * b] for a, b in zip(stops, stops[1:])]
 
-        stops = dict(zip(".,", ids([".", ","])))
+class Words:
+    """Packed ids of chunks of a text.
 
-        def encode(parts: list[str]) -> Iterator[bytes]:
-            # a stop after a letter is a match of its own, so words with and without it are encoded once
-            words = [p[:-1] if p[-1] in stops and p[-2:-1].isalpha() else p for p in parts]
-            fresh = list(set(words))
-            known = dict(zip(fresh, ids(fresh)))
-            for part, word in zip(parts, words):
-                yield known[word] if part is word else known[word] + stops[part[-1]]
+    Pretokenizing costs the library more than its merges do. So chunks of ASCII and Latin letters are
+    matched here and its model gets each different match; all others go to the whole tokenizer.
+    """
 
+    def __init__(self, definition: str, width: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer, self.width = Tokenizer.from_str(definition), width
+        contents = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
+        self.known_kind, self.model = _known_kind(definition, contents), self.tokenizer.model
+        self.added = re.compile("|".join(map(re.escape, contents)) or r"(?!)")
+        self.letters = _byte_letters()
+
+    def _packed(self, found: list[list[int]]) -> list[bytes]:
+        packed, size = array(self.width, chain.from_iterable(found)).tobytes(), array(self.width).itemsize
+        stops = [size * n for n in accumulate(map(len, found), initial=0)]
+        return [packed[a:b] for a, b in zip(stops, stops[1:])]
+
+    def whole(self, text: str) -> bytes:
+        return self._packed([self.tokenizer.encode(text, add_special_tokens=False).ids])[0]
+
+    def _model_ids(self, matches: Iterable[str]) -> list[bytes]:
+        tokenize, letters = self.model.tokenize, self.letters
+        return self._packed([[token.id for token in tokenize(charmap_decode(m.encode(), "strict", letters)[0])] for m in matches])
+
+    def _library_ids(self, parts: list[str]) -> Iterator[bytes]:
+        for start in range(0, len(parts), 20_000):
+            yield from self._packed([x.ids for x in self.tokenizer.encode_batch_fast(parts[start : start + 20_000], add_special_tokens=False)])
+
+    def encode(self, parts: list[str]) -> Iterator[bytes]:
+        plain = [(p[1:] if p[:1] == " " else p).isalpha() and (p.isascii() or LATIN.fullmatch(p) is not None) for p in parts]
+        words = iter(self._model_ids(compress(parts, plain)))
+        others = self._mixed_ids([part for part, alone in zip(parts, plain) if not alone])
+        return (next(words) if alone else next(others) for alone in plain)
+
+    def _mixed_ids(self, parts: list[str]) -> Iterator[bytes]:
+        """Ids of chunks of several matches, or of other letters."""
+        matches = [MATCHES.findall(p) if (p.isascii() or LATIN.fullmatch(p)) and not self.added.search(p) else None for p in parts]
+        fresh = list(set(chain.from_iterable(filter(None, matches))))
+        known = dict(zip(fresh, self._model_ids(fresh)))
+        uncut = self._library_ids([part for part, found in zip(parts, matches) if found is None])
+        for found in matches:
+            yield next(uncut) if found is None else b"".join(map(known.__getitem__, found))
+
+    def values_of(self, texts: pa.Array, end: bytes) -> pa.Array:
+        """Every text on its own, for tokenizers of another kind."""
+        return pa.array([self.whole(text or "") + end for text in texts.to_pylist()], pa.binary())
+
+
+def _cache(definition: str, width: str) -> ColumnCache | Words:
+    key = zlib.crc32(definition.encode())
+    if key not in _WORKER:
+        words = Words(definition, width)
         keep_garbage()
         _WORKER.clear()
-        _WORKER[key] = ChunkCache(encode, limit=1_200_000)
+        _WORKER[key] = ColumnCache(words.encode, words.whole, limit=500_000) if words.known_kind else words
     return _WORKER[key]
 
 
@@ -102,12 +163,12 @@ def _tokens(docs: DataFrame, definition: str, width: str, end_id: int, bounds: l
         cache = _cache(definition, width)
         for batch in batches:
             keys = batch.column("doc_id")
-            for start, texts in text_slices(batch, "text"):
+            for start, texts in column_slices(batch.column("text")):
                 own = keys.slice(start, len(texts))
-                ids = [b"".join(v) + end for v in cache.values_of(texts)]
+                ids = cache.values_of(texts, end)
                 shard = np.searchsorted(edges, own.fill_null(0).to_numpy(), side="left").astype(np.int32)
                 shard[own.is_null().to_numpy(zero_copy_only=False)] = len(edges)
-                yield pa.RecordBatch.from_arrays([own, pa.array(shard), pa.array(ids, pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([own, pa.array(shard), ids], schema=schema)
 
     return docs.mapInArrow(run, "doc_id long, shard int, ids binary")
 

@@ -5,10 +5,13 @@ repeated rows and extra columns whose names clash with those that operators use.
 """
 
 import base64
+import json
 import os
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -172,6 +175,49 @@ def test_token_files(spark, documents, awkward, empty):
         assert found(token_files.read(spark, out), "doc_id", "start", "n_tokens", "ids_crc32") == token_rows(rows, tokenizer)
 
 
+def test_columns_of_texts_equal_the_library():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    definition, tokenizer = open(path, encoding="utf-8").read(), Tokenizer.from_file(path)
+    words = token_files.Words(definition, "H")
+    cache = chunks.ColumnCache(words.encode, words.whole, limit=500, longest=6)
+    rng = np.random.default_rng(3)
+    parts = [" ", " ", " ", "\n", "  ", "\n\n", ".", ",", "...", "a", "words", "s", "'s", "'ll", "'", "é", "ñ", "ß", "×", "ª", "١", "ɏ", "ɐ", "中", "😀"]
+    parts += ["0", "12", "-", '"', "_", "<|endoftext|>", "<|", "\t", "\0", "\x01", "\x1c", "\x7f", "\x85", "\xa0", "\u3000", "\u200b"]
+    texts = ["".join(rng.choice(parts, n)) for n in rng.integers(0, 14, 8000)] + [None, "", "x" * 5000, " one word" * 1000]
+    for start in range(0, len(texts), 2500):
+        for first, column in chunks.column_slices(pa.array(texts[start : start + 2500]), 3000):
+            assert column[0].as_py() == texts[start + first]
+            for text, found in zip(column.to_pylist(), cache.values_of(column, b"\2\0").to_pylist(), strict=True):
+                assert np.frombuffer(found, "<u2").tolist() == tokenizer.encode(text or "", add_special_tokens=False).ids + [2], text
+
+
+def test_different_words_of_a_column_are_encoded_once_by_the_model_alone():
+    words = token_files.Words(open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8").read(), "H")
+    words.tokenizer = None  # the whole tokenizer, pretokenizing
+    met = []
+    cache = chunks.ColumnCache(lambda parts: (met.extend(parts), words.encode(parts))[1], words.whole)
+    for _ in range(2):
+        cache.values_of(pa.array(["Été or tea, not tea. It's 5 past\nnoon, " + "tea " * 50 + "tea"] * 20))
+    assert met.count(" tea") == met.count(",") == met.count(" or") == met.count("\nnoon") == 1
+
+
+def test_tokenizers_of_another_kind_encode_whole_texts():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    parts = json.load(open(path, encoding="utf-8"))
+    parts["pre_tokenizer"]["add_prefix_space"] = True
+    changed = json.dumps(parts)
+    texts = ["one two", "", None, " three. "]
+    rows = token_files._cache(changed, "H").values_of(pa.array(texts), b"\2\0").to_pylist()
+    expected = [Tokenizer.from_str(changed).encode(t or "", add_special_tokens=False).ids + [2] for t in texts]
+    assert [np.frombuffer(r, "<u2").tolist() for r in rows] == expected
+
+
+def test_white_space_of_both_expressions_is_the_same():
+    letters = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    found = pc.match_substring_regex(pa.array(letters), chunks.UNCUT).to_pylist()
+    assert found == [c == "\0" or bool(chunks.OTHER_SPACE.search(c)) for c in letters]
+
+
 @pytest.mark.parametrize("sizes", [[0, 1, 31, 32, 33], [rans.SEGMENT, rans.SEGMENT + 1, rans.BLOCK], []])
 def test_rans_round_trip(sizes):
     rng = np.random.default_rng(0)
