@@ -149,7 +149,7 @@ def _marked(texts: pa.Array) -> pa.Array:
     return pc.if_else(odd, marked, cut) if pc.any(odd).as_py() else cut
 
 
-def column_slices(column: pa.Array, most: int = 1 << 23) -> Iterable[tuple[int, pa.Array]]:
+def column_slices(column: pa.Array, most: int = 1 << 24) -> Iterable[tuple[int, pa.Array]]:
     """Slices of a column of texts of about ``most`` bytes: first row, texts."""
     ends = np.cumsum(pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
     start = 0
